@@ -183,3 +183,16 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     root = saved(grouped.join(least, "root").select(F.col("node").alias("key"), "component_id"), "roots")
     alone = copies.join(root, "key", "left_anti")
     return result(root.unionByName(alone))
+
+
+def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that have their component's smallest id, with all columns. Rows without an id stay;
+    rows of one id stay or go together."""
+    found = near_components(docs.select(id_col, text_col), id_col=id_col, text_col=text_col)
+    gone = saved(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("bigint").alias("_id")).distinct(), "gone")
+    test = bitmap(gone, "_id")
+    if test is None:
+        return docs
+    d = docs.withColumn("_id", F.col(f"`{id_col}`").cast("bigint"))
+    test = F.coalesce(test, F.lit(False))
+    return d.where(~test).unionByName(d.where(test).join(gone, "_id", "left_anti")).select(*docs.columns)
