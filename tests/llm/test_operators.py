@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, decontam, linededup, near, packing, quality, queries, sharding, urls
+from foliospark.llm import chat, decontam, linededup, near, packing, quality, queries, sharding, substrings, urls
 from foliospark.llm.ranks import salted_rank
 
 from . import brute
@@ -262,3 +262,35 @@ def test_salted_rank(spark):
     d = spark.range(5000).select((F.col("id") % 3).alias("g"), "id")
     for g in range(3):
         assert sorted(r.r for r in salted_rank(d, ["g"], ["id"], "r", 7).where(F.col("g") == g).collect()) == list(range(len([i for i in range(5000) if i % 3 == g])))
+
+
+def test_substrings_match_brute_force(spark, table):
+    got = rows(queries.op10_substring_dedup(spark, SF), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == sorted(brute.substring_dedup(table))
+    assert sum(r[2] > 0 for r in got) > 50
+
+
+def test_substrings_odd_rows(spark):
+    import random
+
+    rng = random.Random(5)
+    made = [*ODD, (9, "word " * 200), (10, "word " * 70 + "other " + "word " * 60)]
+    base = [f"b{i}" for i in range(400)]
+    for k in range(60):
+        a = rng.randrange(350)
+        text = [f"u{k}_{i}" for i in range(rng.randrange(60))] + base[a : a + rng.randrange(40, 180)]
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(len(text))] = rng.choice(["x", "y"])
+        made.append((1000 - k, " ".join(text + base[: rng.randrange(70)])))
+    made += [(2000, " ".join(base[:49])), (2001, " ".join(base[:50])), (2002, " ".join(base[:50] * 3))]
+    got = substrings.dedup_substrings(docs_of(spark, made), block=64)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, brute.sha(r.kept)) for r in got.collect()) == sorted(brute.substring_dedup(made))
+    assert substrings.dedup_substrings(docs_of(spark, [])).count() == 0
+    nulls = substrings.dedup_substrings(docs_of(spark, [(None, " ".join(base)), (1, " ".join(base)), (None, None)])).collect()
+    assert sorted(r.n_removed for r in nulls) == [0, 0, 400]
+
+
+def test_factors_over_a_boundary():
+    ref = substrings.Reference([f"a{i}".encode() for i in range(60)] + [f"b{i}".encode() for i in range(60)], 50)
+    words = [f"a{i}".encode() for i in range(30, 60)] + [f"b{i}".encode() for i in range(40)]
+    assert {p for a, z in ref.windows([b"q", *words, b"q"]) for p in range(a, z + 1)} == set(range(1, 22))
