@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, near, packing, quality, sharding, substrings, urls
+from . import chat, decontam, linededup, lm, near, packing, quality, sharding, substrings, urls
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -21,6 +21,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.judge_quality(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
@@ -65,6 +69,6 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_line_dedup, op7_format_chats, op8_pack, op9_shard, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_line_dedup, op7_format_chats, op8_pack, op9_shard, op10_substring_dedup)}
 
 ORACLE: dict[str, str] = {}

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from foliospark.llm import chat, decontam, linededup, near, packing, quality, queries, sharding, substrings, urls
+from foliospark.llm import chat, decontam, linededup, lm, near, packing, quality, queries, sharding, substrings, urls
 from foliospark.llm.ranks import salted_rank
 
 from . import brute
@@ -294,3 +294,44 @@ def test_factors_over_a_boundary():
     ref = substrings.Reference([f"a{i}".encode() for i in range(60)] + [f"b{i}".encode() for i in range(60)], 50)
     words = [f"a{i}".encode() for i in range(30, 60)] + [f"b{i}".encode() for i in range(40)]
     assert {p for a, z in ref.windows([b"q", *words, b"q"]) for p in range(a, z + 1)} == set(range(1, 22))
+
+
+def lm_base(docs):
+    import math
+
+    held = {i: zlib.crc32(str(d).encode()) % 5 == 1 for i, (d, _) in enumerate(docs)}
+    tokens = [[*brute.words((t or "").translate(brute.UP)), None] for _, t in docs]
+    c = Counter(x for i, t in enumerate(tokens) if not held[i] for x in t)
+    n, v = sum(c.values()), len(c)
+    return sorted((d, held[i], len(t), sum(c[x] > 0 for x in t), n, round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t), 6)) for i, ((d, _), t) in enumerate(zip(docs, tokens)))
+
+
+def test_lm_base_and_score(spark, table):
+    got = queries.op2_lm_score(spark, SF).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == lm_base(table)
+    total = lambda c, held: sum(r[c] for r in got if r.held_out == held)
+    assert total("score", True) > total("base_score", True) and total("score", False) > total("base_score", False)
+
+
+def test_lm_odd_rows_and_large_filters(spark):
+    made = [r for r in ODD if r[0] != 5] + [(20 + k, f"the cat sat on the mat {k}") for k in range(30)]
+    one = lm.score_documents(docs_of(spark, made)).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in one) == lm_base(made)
+    two = lm.score_documents(docs_of(spark, made), most_filter=0, slice_shard_bytes=100).collect()
+    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in one} == {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in two}
+    three = lm.score_documents(docs_of(spark, made), most_filter=1 << 20, slice_shard_bytes=100).collect()
+    assert {r.doc_id: round(r.score, 6) for r in two} == {r.doc_id: round(r.score, 6) for r in three}
+    assert lm.score_documents(docs_of(spark, [])).count() == 0
+    assert len(lm.score_documents(docs_of(spark, [(None, None), (None, "x")])).collect()) == 2
+
+
+def test_filter_levels():
+    import numpy as np
+
+    keys = lm.mix(np.arange(1, 20001).astype(np.uint64))
+    counts = np.random.default_rng(2).zipf(1.5, 20000).clip(max=10**6)
+    f = lm.Filter([lm.Filter.part(keys[:10000], counts[:10000])])
+    got = f.levels(keys, np.zeros(20000, int))
+    want = np.searchsorted(lm.THRESHOLDS, counts, "right")
+    assert (got[:10000] >= want[:10000]).all() and (got[:10000] == want[:10000]).mean() > 0.97
+    assert (got[10000:] == 0).mean() > 0.97
