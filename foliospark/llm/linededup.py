@@ -1,111 +1,172 @@
-"""Line deduplication as an exact set-similarity join, in DataFrame operations only.
+"""Line deduplication as an exact set-similarity join.
 
 A line's tokens are its distinct words. Tokens are ordered by rarity, prefix, length and positional filters give
 candidate pairs, their Jaccard similarity is computed, and every line with an earlier match goes. Lines are in
 the order of (document id, line number).
 
-Rarity comes from counts of all words in CELLS cells by word hash: a table of fixed size, so that it can be a
-literal of the plan. Any order gives the same matches; rarer cells first gives fewer candidates.
+Rarity comes from counts of all words in CELLS cells by word hash, a table of fixed size. Any order gives the same
+matches; rarer words first gives fewer candidates. Finding the words and ordering them is numpy code over Arrow
+batches (the all-DataFrame form took too much CPU time and disk, see README); joins, filters and the verification
+are DataFrame operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .setjoin import bitmap, hub_pairs, live_entries, prefix_size, rest_pairs, similar
+from .lm import packed, unpacked
+from .setjoin import bitmap, hub_pairs, keys_of, live_entries, rest_pairs, with_texts
 from .shared import saved
+from .words import NOT_SPACE, mix, slices, words_of
 
 NUM, DEN = 4, 5
-CELLS = 1 << 16
+CELLS, CELL_BITS, PART = 1 << 22, 22, 1 << 16
 HEAVY = 1000
 _LINE_BITS = 24
+_NO_ID = -(1 << 38)
+
+
+def line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word hashes of each line with a word (ascending), each line's first, its row and its number there."""
+    w = words_of(column, NOT_SPACE)
+    breaks = np.flatnonzero(w.padded[:-8] == 10)
+    # the line of a word: line breaks before it; numbers start anew in each row
+    line = np.searchsorted(breaks, w.starts)
+    no = line - np.searchsorted(breaks, w.text_at[:-1])[w.row]
+    value = w.hashes()
+    order = np.lexsort((value, no, w.row))
+    row, no, value = w.row[order], no[order], value[order]
+    same_line = np.zeros(len(row), bool)
+    same_line[1:] = (row[1:] == row[:-1]) & (no[1:] == no[:-1])
+    keep = ~same_line
+    keep[1:] |= value[1:] != value[:-1]
+    row, no, value, opens = row[keep], no[keep], value[keep], ~same_line[keep]
+    first = np.append(np.flatnonzero(opens), len(row))
+    return value, first, row[first[:-1]], no[first[:-1]]
+
+
+def _numbers(batch: pa.RecordBatch, row: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """The id and the line's number in one, in the order of both."""
+    if len(no) and no.max() >= 1 << _LINE_BITS:
+        raise ValueError("a text has too many lines")
+    return np.asarray(batch.column("_id").fill_null(_NO_ID), np.int64)[row] * (1 << _LINE_BITS) + no
+
+
+def _classes(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(mix(value), out=total[1:])
+    return mix(total[first[1:]] - total[first[:-1]] ^ mix(np.diff(first).astype(np.uint64))).view(np.int64)
+
+
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line (e, class), and at the end rows of packed cell counts (part, cells)."""
+    cells, names = np.zeros(CELLS, np.uint32), ["e", "class", "part", "cells"]
+    for batch in slices(batches, "_text"):
+        value, first, row, no = line_sets(batch.column("_text"))
+        cells += np.bincount((value >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+        n = len(row)
+        yield pa.RecordBatch.from_arrays([pa.array(_numbers(batch, row, no)), pa.array(_classes(value, first)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
+    if cells.any():
+        n = CELLS // PART
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([packed(cells[i * PART : (i + 1) * PART]) for i in range(n)], pa.binary())], names=names)
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """Frequency classes of a part's cells, four to a doubling."""
+    total = sum(unpacked(x, "<u4").astype(np.int64) for x in table.column("cells").to_pylist())
+    ranks = np.minimum(255, np.floor(4 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
+    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "ranks": pa.array([ranks.tobytes()], pa.binary()), "total": pa.array([int(total.sum())], pa.int64())})
+
+
+def _entries(ranks_b, limit: int, common: dict[int, int]):
+    """Prefix tokens of each line. Of a common class only the first line has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, hot = ranks_b.value, np.array(sorted(common), np.int64)
+        firsts = np.array([common[int(k)] for k in hot], np.int64)
+        for batch in slices(batches, "_text", 1 << 20):
+            value, first, row, no = line_sets(batch.column("_text"))
+            e, n = _numbers(batch, row, no), np.diff(first)
+            take = np.ones(len(n), bool)
+            if len(hot):
+                k = _classes(value, first)
+                at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
+                take = (hot[at] != k) | (firsts[at] == e)
+            line = np.repeat(np.arange(len(n)), n)
+            token = (ranks[(value >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (mix(value) >> np.uint64(9))
+            token = token[np.lexsort((token, line))]
+            size = np.where(take, n - -(-NUM * n // DEN) + 1, 0)
+            own = np.repeat(np.arange(len(n)), size)
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            t = token[first[:-1][own] + pos]
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(e[own]), pa.array(n[own] << 32 | pos), pa.array((t >> np.uint64(55)) > limit)], names=["token", "key", "at", "heavy"])
+
+    return run
 
 
 def _words(line: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a line."""
-    return F.filter(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), lambda x: x != "")
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(e, line) of each line with a word; docs: (_id, _text)."""
+    """(e, line) of each line; docs: (_id, _text). e is the id and the line's number in one."""
     line = docs.where(F.col("_text").isNotNull()).select("_id", F.posexplode(F.split("_text", "\n")).alias("_no", "line"))
-    e = F.coalesce(F.col("_id"), F.lit(-(1 << 38))) * (1 << _LINE_BITS) + F.when(F.col("_no") < 1 << _LINE_BITS, F.col("_no")).otherwise(F.raise_error(F.lit("a text has too many lines")))
+    e = F.coalesce(F.col("_id"), F.lit(_NO_ID)) * (1 << _LINE_BITS) + F.when(F.col("_no") < 1 << _LINE_BITS, F.col("_no")).otherwise(F.raise_error(F.lit("a text has too many lines")))
     return line.select(e.alias("e"), "line")
 
 
-def _cell(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 48).cast("int")
-
-
-def _tokens(lines: DataFrame, ranks: str) -> DataFrame:
-    """(e, s, key, n): the line's tokens as numbers in global order (rarity in the upper bits, then hash)."""
-    table = F.expr(f"cast(split('{ranks}', ',') as array<int>)")
-    number = lambda w: F.shiftleft(F.get(table, _cell(F.xxhash64(w))).cast("long"), 54).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 54) - 1)))
-    d = lines.select("e", F.array_sort(F.array_distinct(F.transform(_words(F.col("line")), number))).alias("s"))
-    return d.withColumn("n", F.size("s")).where("n > 0").withColumn("key", F.xxhash64("s"))
+def _similar(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The later line of each pair that is similar enough."""
+    keys = keys_of(pairs)
+    by_id, by_line = bitmap(keys.select(F.shiftright("key", _LINE_BITS).alias("_id")), "_id"), bitmap(keys.withColumnRenamed("key", "e"), "e")
+    if by_id is None:
+        return pairs.select(F.col("x").alias("key"))
+    lines = _lines(docs.where(by_id | F.col("_id").isNull())).where(by_line).select(F.col("e").alias("key"), F.col("line").alias("text"))
+    sets = with_texts(pairs, lines).select("x", "y", *(F.array_distinct(F.transform(_words(F.col(f"{c}_text")), lambda w: F.xxhash64(w))).alias(f"{c}_s") for c in "xy"))
+    both = sets.withColumn("_o", F.size(F.array_intersect("x_s", "y_s")))
+    return both.where(den * F.col("_o") >= num * (F.size("x_s") + F.size("y_s") - F.col("_o"))).select(F.greatest("x", "y").alias("key")).distinct()
 
 
-def removed_lines(docs: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def removed_lines(docs: DataFrame) -> DataFrame:
     """e of every line that has an earlier match; docs: (_id bigint, _text)."""
-    lines = _lines(docs)
-    counted = lines.select(F.explode(_words(F.col("line"))).alias("w")).groupBy(_cell(F.xxhash64("w")).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    sizes = {r[0]: r[1] for r in counted}
-    total = sum(sizes.values())
-    rank = lambda n: min(500, int(8 * n.bit_length() + (n >> max(0, n.bit_length() - 4)) % 8))  # noqa: E731  grows with n, eight steps to each doubling
-    ranks = ",".join(str(rank(sizes.get(c, 0))) for c in range(CELLS))
-    limit = rank(max(1, total // HEAVY))
-    tokens = _tokens(lines, ranks)
-    classes = tokens.select("key", "e").groupBy("key").agg(F.min("e").alias("e0"), F.count(F.lit(1)).alias("c"))
-    classes = saved(classes, "classes")
-    n_lines = classes.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    # of classes with a thousandth of the lines, of which there are a thousand at most, only the first line gives entries
-    common = {r[0]: r[1] for r in classes.where(F.col("c") > max(8, n_lines // HEAVY)).select("key", "e0").collect()}
-    firsts = tokens if not common else tokens.where(~F.col("key").isin(list(common)) | F.col("e").isin(list(common.values())))
-    entries = firsts.select("key", "e", "n", F.posexplode(F.slice("s", F.lit(1), prefix_size(F.col("n"), num, den))).alias("pos", "token"))
-    entries = entries.withColumn("heavy", F.shiftrightunsigned("token", 54) > limit)
+    summary = saved(docs.mapInArrow(_summary, "e bigint, class bigint, part int, cells binary"), "lines")
+    lines = summary.where("e is not null").select("e", "class")
+    ranks, total = np.zeros(CELLS, np.uint8), 0
+    for r in summary.where("part is not null").select("part", "cells").groupBy("part").applyInArrow(_add, "part int, ranks binary, total bigint").collect():  # CELLS bytes
+        ranks[r[0] * PART : (r[0] + 1) * PART] = np.frombuffer(r[1], np.uint8)
+        total += r[2]
+    classes = saved(lines.groupBy("class").agg(F.min("e").alias("first"), F.count(F.lit(1)).alias("c")), "classes")
+    n_lines = lines.count()
+    # of classes with a thousandth of the lines, a thousand at most, only the first line gives entries
+    common = {r[0]: r[1] for r in classes.where(F.col("c") > max(8, n_lines // HEAVY)).select("class", "first").collect()}
+    limit = int(4 * np.log2(max(2, 2 * total / CELLS + total / HEAVY / 10)))
+    entries = docs.mapInArrow(_entries(docs.sparkSession.sparkContext.broadcast(ranks), limit, common), "token bigint, key bigint, at bigint, heavy boolean")
     live = saved(live_entries(entries), "live")
-    test = bitmap(live.select((F.col("e") / (1 << _LINE_BITS)).alias("x")).select(F.floor("x").alias("_id")), "_id")
-    copies = _copies(tokens, classes)
-    if test is None:
-        return copies
-    some = _tokens(_lines(docs.where(test | F.col("_id").isNull())), ranks)
-    wanted = live.groupBy("key").agg(F.min("e").alias("e"))
-    sets = saved(some.join(wanted, ["key", "e"], "left_semi").groupBy("key").agg(F.first("s").alias("s")), "sets")
-    one = similar(hub_pairs(live, num, den), sets, num, den)
-    order = classes.select("key", "e0")
-    settled = _later(one, order)
-    settled = saved(settled, "settled")
-    two = similar(rest_pairs(live, settled.withColumn("g", F.col("key")), num, den, later_only=True), sets, num, den)
-    near = settled.unionByName(_later(two, order)).distinct()
-    return copies.unionByName(classes.join(near, "key", "left_semi").select(F.col("e0").alias("e")))
-
-
-def _later(pairs: DataFrame, order: DataFrame) -> DataFrame:
-    """The later class of each pair."""
-    x = order.select(F.col("key").alias("x"), F.col("e0").alias("xe"))
-    y = order.select(F.col("key").alias("y"), F.col("e0").alias("ye"))
-    return pairs.join(x, "x").join(y, "y").select(F.when(F.col("xe") > F.col("ye"), F.col("x")).otherwise(F.col("y")).alias("key")).distinct()
-
-
-def _copies(tokens: DataFrame, classes: DataFrame) -> DataFrame:
-    """e of the lines that aren't the first of their class."""
-    more = classes.where("c > 1").select("key", "e0")
-    return tokens.select("key", "e").join(more, "key").where("e > e0").select("e")
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", num: int = NUM, den: int = DEN) -> DataFrame:
+    copies = saved(lines.join(classes.where("c > 1").select("class", "first"), "class").where("e > first").select("e").distinct(), "copies")
+    one = hub_pairs(live, NUM, DEN).join(copies.withColumnRenamed("e", "x"), "x", "left_anti")
+    settled = saved(_similar(docs, saved(one, "pairs"), NUM, DEN).unionByName(copies.withColumnRenamed("e", "key")), "settled")
+    rest = saved(rest_pairs(live, settled.withColumn("g", F.col("key")), NUM, DEN, later_only=True), "pairs")
+    return settled.unionByName(_similar(docs, rest, NUM, DEN)).select(F.col("key").alias("e")).distinct()
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with all their columns, without the lines that match an earlier line, and n_lines_removed.
 
-    Two lines match where the Jaccard similarity of their sets of words is num/den or more. Lines without a
+    Two lines match where the Jaccard similarity of their sets of words is 0.8 or more. Lines without a
     word stay. A null text stays null, an empty one empty. The id must be an integer below 2**38; a null id
     comes first of all. Rows with the same id are treated alike, as one document.
     """
     d = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("bigint"), "_text": F.col(f"`{text_col}`").cast("string")})
-    gone = removed_lines(d.select("_id", "_text"), num, den)
-    gone = gone.distinct().groupBy(F.floor(F.col("e") / (1 << _LINE_BITS)).alias("_id")).agg(F.collect_list(F.pmod("e", F.lit(1 << _LINE_BITS)).cast("int")).alias("_gone"))
+    gone = removed_lines(d.select("_id", "_text"))
+    gone = gone.distinct().groupBy(F.shiftright("e", _LINE_BITS).alias("_id")).agg(F.collect_list(F.pmod("e", F.lit(1 << _LINE_BITS)).cast("int")).alias("_gone"))
     gone = saved(gone, "gone")
-    gone = gone.withColumn("_id", F.when(F.col("_id") != -(1 << 38), F.col("_id")))
+    gone = gone.withColumn("_id", F.when(F.col("_id") != _NO_ID, F.col("_id")))
     test = bitmap(gone.where("_id is not null"), "_id")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if test is None and not gone.take(1):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .setjoin import bitmap, hub_pairs, live_entries, rest_pairs, similar
+from .setjoin import bitmap, central_hubs, hub_pairs, keys_of, live_entries, rest_pairs, with_texts
 from .shared import saved
 from .words import NOT_SPACE, gram_hashes, lists, mix, slices, words_of
 
@@ -88,7 +88,7 @@ def _base(n: np.ndarray) -> np.ndarray:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _matches(token: np.ndarray, first: np.ndarray, counts: np.ndarray, usual: float) -> np.ndarray:
+def _matches(token: np.ndarray, first: np.ndarray, usual: float) -> np.ndarray:
     """How many tokens a document's prefix must share: one more for each factor 8 of its mean candidates over the usual."""
     n = np.diff(first)
     base = np.where(n > 0, _base(n), 0)
@@ -99,40 +99,58 @@ def _matches(token: np.ndarray, first: np.ndarray, counts: np.ndarray, usual: fl
     return np.minimum(1 + more, np.minimum(MOST_MATCHES, np.maximum(n - base + 1, 1)))
 
 
-def _entries(ranks_b, counts_usual: float, limit: int, common: dict[int, int]):
+def _entries(ranks_b, limit: int, common: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_b.value
         hot = np.array(sorted(common), np.int64)
         for batch in slices(batches, "_text", 1 << 20):
             value, first = shingle_sets(batch.column("_text"))
+            ids = np.asarray(batch.column("_id"), np.int64)
             key = _signature(value, first).view(np.int64)
             n = np.diff(first)
             take = n > 0
-            if len(hot):
-                ids = batch.column("_id").to_pylist()
-                for i in np.flatnonzero(np.isin(key, hot)).tolist():
-                    take[i] &= ids[i] == common[int(key[i])]
+            for i in np.flatnonzero(np.isin(key, hot)).tolist() if len(hot) else ():
+                take[i] &= ids[i] == common[int(key[i])]
             token = _ordered(value, first, ranks)
             size = np.where(take, _base(n), 0)
             row = np.repeat(np.arange(len(n)), size)
             pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             t = token[first[:-1][row] + pos]
             heavy = (t >> np.uint64(63 - RANK_BITS)) > limit
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(key[row]), pa.array(key[row]), pa.array(n[row], pa.int32()), pa.array(pos, pa.int32()), pa.array(heavy)], names=["token", "key", "e", "n", "pos", "heavy"])
+            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(ids[row]), pa.array(n[row] << 32 | pos), pa.array(heavy)], names=["token", "key", "at", "heavy"])
 
     return run
 
 
-def _sets(ranks_b, usual: float):
+def _similar(ranks_b, usual: float):
+    """Pairs whose prefixes share as many tokens as they must, and whose sets are then similar enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_b.value
-        for batch in slices(batches, "_text", 1 << 20):
-            value, first = shingle_sets(batch.column("_text"))
-            token = _ordered(value, first, ranks)
-            n = np.diff(first)
-            l = _matches(token, first, None, usual)
-            prefix = np.where(n > 0, _base(n) + l - 1, 0)
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(_signature(value, first).view(np.int64)), lists(token.view(np.int64), first, pa.int64()), pa.array(prefix, pa.int32()), pa.array(l, pa.int32())], names=["doc", "key", "s", "p", "l"])
+
+        def common(x, y, most_x, most_y) -> np.ndarray:
+            """Common tokens of each row's first most_x and most_y tokens."""
+            (a, fa), (b, fb) = x, y
+            ka, kb = np.arange(len(a)) - fa[_row_of(fa)], np.arange(len(b)) - fb[_row_of(fb)]
+            ka, kb = ka < most_x[_row_of(fa)], kb < most_y[_row_of(fb)]
+            row, value = np.concatenate([_row_of(fa)[ka], _row_of(fb)[kb]]), np.concatenate([a[ka], b[kb]])
+            order = np.lexsort((value, row))
+            row, value = row[order], value[order]
+            twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+            return np.bincount(row[1:][twice], minlength=len(fa) - 1)
+
+        for batch in slices(batches, "x_text", 1 << 20):
+            sides = []
+            for name in ("x_text", "y_text"):
+                value, first = shingle_sets(batch.column(name))
+                sides.append((_ordered(value, first, ranks), first))
+            x, y = sides
+            n, m = np.diff(x[1]), np.diff(y[1])
+            lx, ly = _matches(*x, usual), _matches(*y, usual)
+            ok = common(x, y, _base(n) + lx - 1, _base(m) + ly - 1) >= np.minimum(lx, ly)
+            both = common(x, y, np.where(ok, n, 0), np.where(ok, m, 0))
+            ok &= DEN * both >= NUM * (n + m - both)
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(ok)), batch.column("y").filter(pa.array(ok))], names=["x", "y"])
 
     return run
 
@@ -141,8 +159,9 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """A row for each row of `docs`: the id, n_shingles and component_id, the smallest id reachable by links.
 
     Documents link when their sets have Jaccard 0.75 or more. Without words (or with a null text) the set is
-    empty and the document its own component. Ids are integers; a row with a null id takes its component's id.
-    Repeated rows stay repeated and have one component. An empty table gives no rows.
+    empty and the document its own component. Ids are integers; a row with a null id takes the component of a
+    document with the same set, and links with no other. Repeated rows stay repeated and have one component. An
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
@@ -158,31 +177,30 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     usual = float(np.median(counts)) if counts.any() else 1.0
     limit = int(_ranks(np.array([2 * counts.sum() / CELLS + n_docs / HEAVY + 1]))[0])
     # of classes with a thousandth of the documents, a thousand at most, only the first document gives entries
-    common = {r[0]: r[1] for r in classes.where(F.col("c") > max(8, n_docs // HEAVY)).select("key", "first").collect()}
+    common = {r[0]: r[1] for r in classes.where((F.col("c") > max(8, n_docs // HEAVY)) & F.col("first").isNotNull()).select("key", "first").collect()}
     ranks_b = spark.sparkContext.broadcast(ranks)  # CELLS numbers
-    entries = d.mapInArrow(_entries(ranks_b, usual, limit, common), "token bigint, key bigint, e bigint, n int, pos int, heavy boolean")
+    named = d.where("_id is not null")
+    entries = named.mapInArrow(_entries(ranks_b, limit, common), "token bigint, key bigint, at bigint, heavy boolean")
     live = saved(live_entries(entries), "live")
-    wanted = live.select("key").distinct().join(classes.select("key", F.col("first").alias("doc")), "key")
-    wanted = saved(wanted, "wanted")
-    test = bitmap(wanted.select(F.col("doc").alias("_id")), "_id")
-    result = lambda root: own.join(root, "key", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component_id", "doc")).alias("component_id"))
-    copies = classes.where("c > 1").select("key", F.col("first").alias("component_id"))
-    if test is None and not wanted.take(1):
-        return result(copies)
-    some = d.where(F.col("_id").isNull() if test is None else test | F.col("_id").isNull()).mapInArrow(_sets(ranks_b, usual), "doc bigint, key bigint, s array<bigint>, p int, l int")
-    sets = some.join(wanted.select("key", F.col("doc").alias("_d")), "key").where(F.col("doc").eqNullSafe(F.col("_d"))).drop("doc", "_d")
-    sets = saved(sets.groupBy("key").agg(*(F.first(c).alias(c) for c in ("s", "p", "l"))), "sets")
-    shared = F.size(F.array_intersect(F.slice("x_s", F.lit(1), F.col("x_p")), F.slice("y_s", F.lit(1), F.col("y_p")))) >= F.least("x_l", "y_l")
-    one = saved(similar(hub_pairs(live, NUM, DEN), sets, NUM, DEN, shared), "links")
-    group = components(one, "x", "y")
-    two = similar(rest_pairs(live, group.withColumnsRenamed({"node": "key", "root": "g"}), NUM, DEN, later_only=False), sets, NUM, DEN, shared)
-    two = saved(two, "links")
-    group = components(one.unionByName(two), "x", "y") if two.take(1) else group
-    grouped = group.join(classes.select(F.col("key").alias("node"), "first"), "node")
-    least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    root = saved(grouped.join(least, "root").select(F.col("node").alias("key"), "component_id"), "roots")
-    alone = copies.join(root, "key", "left_anti")
-    return result(root.unionByName(alone))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        pairs = saved(pairs, "pairs")
+        test = bitmap(keys_of(pairs).withColumnRenamed("key", "_id"), "_id")
+        if test is None:
+            return pairs
+        texts = named.where(test).select(F.col("_id").alias("key"), F.col("_text").alias("text"))
+        return saved(with_texts(pairs, texts).mapInArrow(_similar(ranks_b, usual), "x bigint, y bigint").distinct(), "links")
+
+    copies = own.join(classes.where("c > 1 and first is not null").select("key", "first"), "key").where("doc <> first").select(F.col("doc").alias("x"), F.col("first").alias("y"))
+    links = similar(hub_pairs(central_hubs(live, NUM, DEN), NUM, DEN)).unionByName(copies)
+    group = components(links, "x", "y")
+    more = similar(rest_pairs(live, group.withColumnsRenamed({"node": "key", "root": "g"}), NUM, DEN, later_only=False))
+    if more.take(1):
+        group = components(group.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more), "x", "y")
+    group = group.select(F.col("node").alias("_node"), F.col("root").alias("component_id"))
+    unnamed = own.where("doc is null").join(classes.select("key", F.col("first").alias("_node")), "key", "left").join(group, "_node", "left").select("doc", "n", F.coalesce("component_id", "_node").alias("component_id"))
+    found = own.where("doc is not null").join(group, F.col("doc") == F.col("_node"), "left").select("doc", "n", F.coalesce("component_id", "doc").alias("component_id"))
+    return found.unionByName(unnamed).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

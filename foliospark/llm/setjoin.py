@@ -1,12 +1,16 @@
 """The common part of the exact set-similarity joins: from prefix tokens to candidate pairs to verified pairs.
 
-Sets with equal contents are one class, named by a hash (`key`); `e` orders classes by their first member.
-Each class has a row for each token of its prefix: (token, key, e, n, pos) with the set's size and the token's
-place in the global order, rare tokens first. Two sets of Jaccard t or more share a prefix token.
+Each set has a number, `key`, and a row for each token of its prefix: (token, key, at), where `at` holds the set's
+size and the token's place in the global order, rare tokens first. Two sets of Jaccard t or more share a token of
+their prefixes. Texts themselves are only joined to the pairs that are left.
 
 Candidates come in two steps, so that a group of M similar sets costs about M pairs and not M * M:
-1. every class is paired with the first class (`hub`) of each of its tokens;
-2. classes that step 1 didn't settle are paired with all others of their tokens within the length and positional bounds.
+1. every set is paired with one set (`hub`) of each of its tokens, the first or the most central one;
+2. sets that step 1 didn't settle are paired with all others of their tokens.
+A pair goes on to verification if its sizes allow the similarity (length filter), if from its first common token
+on enough tokens are left (positional filter), and if its common prefix tokens together with all later ones are
+enough (matches: pairs that share a token by chance end here).
+
 All of it is DataFrame code. Tokens flagged `heavy` (common in the corpus) are summed up before a shuffle and
 joined back, where Spark can split them; the others are brought together once.
 """
@@ -27,63 +31,88 @@ def prefix_size(n: Column, num: int, den: int) -> Column:
     return n - F.ceil((num * n).cast("double") / den - 1e-9).cast("int") + 1
 
 
+def at(n: Column, pos: Column) -> Column:
+    return F.shiftleft(n.cast("bigint"), 32).bitwiseOR(pos.cast("bigint"))
+
+
+def size_of(x: Column) -> Column:
+    return F.shiftright(x, 32).cast("int")
+
+
+def left_of(x: Column) -> Column:
+    """How many tokens there are from this place on."""
+    return size_of(x) - x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
 def live_entries(entries: DataFrame) -> DataFrame:
-    """Entries whose token more than one class has, once for each token and class, with the token's hub."""
-    light = entries.where("not heavy").drop("heavy")
+    """Entries whose token more than one set has, once for each token and set, with the token's first set."""
+    once = lambda d: d.groupBy("token", "key").agg(*(F.min(c).alias(c) for c in ("at", "hub", "hub_at", "c")))
     w = W.partitionBy("token")
-    light = light.withColumns({"_a": F.min("key").over(w), "_z": F.max("key").over(w), "hub": F.min_by("key", "e").over(w), "hub_n": F.min_by("n", "e").over(w), "hub_pos": F.min_by("pos", "e").over(w)}).where("_a <> _z").drop("_a", "_z")
-    heavy = entries.where("heavy").drop("heavy")
-    top = heavy.groupBy("token").agg(F.min("key").alias("_a"), F.max("key").alias("_z"), F.min_by("key", "e").alias("hub"), F.min_by("n", "e").alias("hub_n"), F.min_by("pos", "e").alias("hub_pos")).where("_a <> _z").drop("_a", "_z")
-    both = light.unionByName(heavy.join(top, "token"))
-    return both.groupBy("token", "key").agg(*(F.min(c).alias(c) for c in ("e", "n", "pos", "hub", "hub_n", "hub_pos")))
+    light = entries.where("not heavy").select("token", "key", "at")
+    light = light.withColumns({"hub": F.min("key").over(w), "_z": F.max("key").over(w), "hub_at": F.min_by("at", "key").over(w), "c": F.count(F.lit(1)).over(w)}).where("hub <> _z").drop("_z")
+    heavy = entries.where("heavy").select("token", "key", "at")
+    top = heavy.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("_z"), F.min_by("at", "key").alias("hub_at"), F.count(F.lit(1)).alias("c")).where("hub <> _z").drop("_z")
+    return once(light).unionByName(once(heavy.join(top, "token")))
 
 
-def _possible(n: Column, pos: Column, m: Column, mpos: Column, num: int, den: int) -> Column:
-    """Length filter, and positional filter for the first common token: what can still be shared from here on."""
+def _likely(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs: x, y, n, m (sizes), k (common prefix tokens), left (what is left from the first of them on)."""
+    n, m = F.col("n"), F.col("m")
     need = overlap_needed(n, m, num, den)
-    return (den * F.least(n, m) >= num * F.greatest(n, m)) & (F.least(n - pos, m - mpos) >= need)
+    after = F.greatest(n - prefix_size(n, num, den), m - prefix_size(m, num, den))
+    return pairs.where((den * F.least(n, m) >= num * F.greatest(n, m)) & (F.col("left") >= need) & (F.col("k") + after >= need)).select("x", "y")
+
+
+def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """rows: (x, y, x_at, y_at) for each common token found."""
+    found = rows.groupBy("x", "y").agg(F.min(size_of(F.col("x_at"))).alias("n"), F.min(size_of(F.col("y_at"))).alias("m"), F.count(F.lit(1)).alias("k"), F.max(F.least(left_of(F.col("x_at")), left_of(F.col("y_at")))).alias("left"))
+    return _likely(found, num, den)
 
 
 def hub_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y): each class and the hubs of its tokens."""
-    ok = _possible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), num, den)
-    # the token need not be the first common one, so the positional bound counts what may lie before it
-    return live.where((F.col("key") != F.col("hub")) & (ok | (F.least("pos", "hub_pos") > 0))).select(F.col("key").alias("x"), F.col("hub").alias("y")).distinct()
+    """(x, y): each set and the hubs of its tokens. What a hub's other tokens would add isn't known here; step 2 is exact."""
+    return _pairs(live.where("key <> hub").select(F.col("key").alias("x"), F.col("hub").alias("y"), F.col("at").alias("x_at"), F.col("hub_at").alias("y_at")), num, den)
+
+
+def central_hubs(live: DataFrame, num: int, den: int) -> DataFrame:
+    """The same entries, where a token's hub is its set with the largest share of common prefix tokens: of a text and
+    its edited copies that is the text, which they all resemble more than one another."""
+    share = live.groupBy("key").agg((F.count(F.lit(1)) * 1000 / F.min(prefix_size(size_of(F.col("at")), num, den))).cast("bigint").alias("w"))
+    best = live.select("token", "key", "at").join(share, "key").withColumn("w", F.col("w") * (1 << 20) + F.pmod(F.xxhash64("key"), F.lit(1 << 20)))
+    best = best.groupBy("token").agg(F.max_by("key", "w").alias("hub"), F.max_by("at", "w").alias("hub_at"))
+    return live.drop("hub", "hub_at").join(best, "token")
 
 
 def rest_pairs(live: DataFrame, group: DataFrame, num: int, den: int, *, later_only: bool) -> DataFrame:
-    """(x, y) for classes that still need partners. group: (key, g); classes of one g need no pair.
+    """(x, y) for sets that still need partners. group: (key, g); sets of one g need no pair.
 
-    With `later_only`, x is a class without a g, and y any earlier class.
+    With `later_only`, x is a set without a g, and y any set of a smaller key.
     """
-    d = live.drop("hub", "hub_n", "hub_pos").join(group, "key", "left")
-    d = d.withColumn("_own", F.coalesce("g", "key"))
-    # sizes in bands: partners are in the same band or the next
-    d = d.withColumn("_band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num))).cast("int"))
-    some = d.groupBy("token").agg(F.min("_own").alias("_a"), F.max("_own").alias("_z"), F.max(F.col("g").isNull()).alias("_open")).where("_a <> _z" + (" and _open" if later_only else "")).select("token")
-    d = d.join(some, "token", "left_semi")
-    x = d.select("token", F.col("key").alias("x"), F.col("e").alias("xe"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("_own").alias("xo"), F.col("g").isNull().alias("xopen"), F.explode(F.array(F.col("_band") - 1, F.col("_band"), F.col("_band") + 1)).alias("band"))
-    y = d.select("token", F.col("key").alias("y"), F.col("e").alias("ye"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("_own").alias("yo"), F.col("_band").alias("band"))
-    if later_only:
-        x = x.where("xopen")
-    # a pair is taken at its first common prefix token or a later one; at the first, the bound holds exactly
-    pairs = x.join(y, ["token", "band"]).where((F.col("xo") != F.col("yo")) & (F.col("ye") < F.col("xe") if later_only else (F.col("x") < F.col("y"))) & _possible(F.col("xn"), F.col("xp"), F.col("yn"), F.col("yp"), num, den))
-    return pairs.select("x", "y").distinct()
-
-
-def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int, before: Column | None = None) -> DataFrame:
-    """Those pairs whose sets have Jaccard num/den or more. sets: (key, s array<bigint>) and columns for `before`,
-    a cheaper test, on x_<column> and y_<column>, that comes first."""
-    xs = sets.select(*(F.col(c).alias("x" if c == "key" else f"x_{c}") for c in sets.columns))
-    ys = sets.select(*(F.col(c).alias("y" if c == "key" else f"y_{c}") for c in sets.columns))
-    both = pairs.join(xs, "x").join(ys, "y")
-    if before is not None:
-        both = both.where(before)
-    both = both.withColumn("_o", F.size(F.array_intersect("x_s", "y_s")))
-    return both.where(den * F.col("_o") >= num * (F.size("x_s") + F.size("y_s") - F.col("_o"))).select("x", "y")
+    d = live.select("token", "key", "at", "c").join(group, "key", "left").select("token", "key", "at", "c", F.coalesce("g", "key").alias("own"), F.col("g").isNull().alias("open"))
+    if not later_only:
+        some = d.groupBy("token").agg(F.min("own").alias("_a"), F.max("own").alias("_z")).where("_a <> _z").select("token")
+        d = d.join(some, "token", "left_semi")
+    # a token of many sets is split by bands of size: partners are in the same band or the next
+    size_band = F.floor(F.log(size_of(F.col("at")).cast("double")) / F.log(F.lit(den / num))).cast("int")
+    d = d.withColumn("band", F.when(F.col("c") > MANY, size_band).otherwise(0))
+    x = d.where("open") if later_only else d
+    x = x.select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), "own", F.explode(F.when(F.col("c") > MANY, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
+    y = d.select("token", F.col("key").alias("y"), F.col("at").alias("y_at"), F.col("own").alias("y_own"), "band")
+    n, m = size_of(F.col("x_at")), size_of(F.col("y_at"))
+    return _pairs(x.join(y, ["token", "band"]).where((F.col("own") != F.col("y_own")) & (F.col("y") < F.col("x")) & (den * F.least(n, m) >= num * F.greatest(n, m))), num, den)
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(x, y, x_text, y_text); texts: (key, text)."""
+    return pairs.join(texts.select(F.col("key").alias("x"), F.col("text").alias("x_text")), "x").join(texts.select(F.col("key").alias("y"), F.col("text").alias("y_text")), "y")
+
+
+def keys_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
 
 
 BITS = 1 << 20
+MANY = 1000
 
 
 def bitmap(keys: DataFrame, column: str) -> Column | None:

@@ -146,11 +146,6 @@ def test_line_dedup_groups_and_odd_rows(spark):
     assert rows(nulls, "doc_id", "text") == [(None, None), (None, "a b c"), (1, "")]
 
 
-def test_line_dedup_is_native(spark):
-    plan = linededup.dedup_lines(docs_of(spark, ODD))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
-
-
 def test_chat_query(spark):
     got = {r.conv_id: r for r in queries.op7_format_chats(spark, SF).collect()}
     turns = defaultdict(list)
