@@ -8,10 +8,30 @@ from pyspark.sql import functions as F
 from . import values as V
 
 c = F.col
-W, H = c("W"), c("H")
-width, height = c("x1") - c("x0"), c("y1") - c("y0")
-stroked = c("paint_op").isin(*V.STROKES)
-image = c("kind").isin("I", "II")
+def _width() -> Column:
+    return c("x1") - c("x0")
+
+
+def _height() -> Column:
+    return c("y1") - c("y0")
+
+
+def _stroked() -> Column:
+    return c("paint_op").isin(*V.STROKES)
+
+
+def _image() -> Column:
+    return c("kind").isin("I", "II")
+
+
+_NAMES = {"W": lambda: c("W"), "H": lambda: c("H"), "width": _width, "height": _height, "stroked": _stroked, "image": _image}
+
+
+def __getattr__(name: str) -> Column:
+    """geometry.W and the like; made on use, as columns need a session."""
+    if name in _NAMES:
+        return _NAMES[name]()
+    raise AttributeError(name)
 
 
 def compose(m: list[Column], n: list[Column]) -> list[Column]:
@@ -31,42 +51,42 @@ def inverse(m: list[Column]) -> list[Column]:
 
 
 def unit_box(m: list[Column]) -> dict[str, Column]:
-    """The box of the unit square's image."""
+    """The box of the unit square's _image()."""
     xs, ys = zip(*(apply(m, F.lit(x), F.lit(y)) for x in (0.0, 1.0) for y in (0.0, 1.0)))
     return {"x0": F.least(*xs), "y0": F.least(*ys), "x1": F.greatest(*xs), "y1": F.greatest(*ys)}
 
 
 def in_edge_zone() -> Column:
-    return (c("y0") >= H * (1 - V.TOP_ZONE)) | (c("y1") <= H * V.BASE_ZONE)
+    return (c("y0") >= c("H") * (1 - V.TOP_ZONE)) | (c("y1") <= c("H") * V.BASE_ZONE)
 
 
 def ruler_side() -> Column:
-    wide = (width >= V.RULER_WIDTH * W) & (height <= V.RULER_HEIGHT)
-    return F.when(wide & (c("y0") >= H * V.RULER_TOP), "topo").when(wide & (c("y1") <= H * V.RULER_BASE), "base")
+    wide = (_width() >= V.RULER_WIDTH * c("W")) & (_height() <= V.RULER_HEIGHT)
+    return F.when(wide & (c("y0") >= c("H") * V.RULER_TOP), "topo").when(wide & (c("y1") <= c("H") * V.RULER_BASE), "base")
 
 
 def thin_vertical() -> Column:
-    return (c("kind") == "P") & ~c("rot") & (width <= V.THIN) & (height >= V.BOX_REACH) & (stroked | (c("n_pts") <= 6))
+    return (c("kind") == "P") & ~c("rot") & (_width() <= V.THIN) & (_height() >= V.BOX_REACH) & (_stroked() | (c("n_pts") <= 6))
 
 
 def signature_bar() -> Column:
-    return (width <= V.BAR_WIDTH) & (height >= H * V.BAR_HEIGHT) & ((c("x0") >= W * (1 - V.BAR_MARGIN)) | (c("x1") <= W * V.BAR_MARGIN))
+    return (_width() <= V.BAR_WIDTH) & (_height() >= c("H") * V.BAR_HEIGHT) & ((c("x0") >= c("W") * (1 - V.BAR_MARGIN)) | (c("x1") <= c("W") * V.BAR_MARGIN))
 
 
 def page_image() -> Column:
-    return image & (width >= W * V.PAGE_IMAGE) & (height >= H * V.PAGE_IMAGE)
+    return _image() & (_width() >= c("W") * V.PAGE_IMAGE) & (_height() >= c("H") * V.PAGE_IMAGE)
 
 
 def area_fraction() -> Column:
-    return F.greatest(F.lit(0.0), width * height) / F.when(W * H == 0, 1.0).otherwise(W * H)
+    return F.greatest(F.lit(0.0), _width() * _height()) / F.when(c("W") * c("H") == 0, 1.0).otherwise(c("W") * c("H"))
 
 
 def region_candidate() -> Column:
-    return image & ~c("rot") & (width > 0) & (height > 0) & (area_fraction() >= V.REGION_LEAST) & (area_fraction() < V.PAGE_IMAGE) & (c("y0") < H * (1 - V.REGION_HEADER))
+    return _image() & ~c("rot") & (_width() > 0) & (_height() > 0) & (area_fraction() >= V.REGION_LEAST) & (area_fraction() < V.PAGE_IMAGE) & (c("y0") < c("H") * (1 - V.REGION_HEADER))
 
 
 def zone() -> Column:
-    return F.when(c("y0") >= H * (1 - V.TOP_ZONE), "T").when(c("y1") <= H * V.BASE_ZONE, "B").otherwise("M")
+    return F.when(c("y0") >= c("H") * (1 - V.TOP_ZONE), "T").when(c("y1") <= c("H") * V.BASE_ZONE, "B").otherwise("M")
 
 
 def _q(x: str, step: int) -> Column:
@@ -78,7 +98,7 @@ def element_key(text_key: Column) -> Column:
     return (
         F.when(c("kind") == "T", F.concat_ws("|", F.lit("T"), _q("y0", 4), text_key))
         .when(c("kind") == "P", F.concat_ws("|", F.lit("P"), _q("x0", 3), _q("y0", 3), _q("x1", 3), _q("y1", 3), c("n_pts").cast("string"), c("paint_op")))
-        .when(image, F.concat_ws("|", c("kind"), _q("x0", 3), _q("x1", 3), zone()))
+        .when(_image(), F.concat_ws("|", c("kind"), _q("x0", 3), _q("x1", 3), zone()))
     )
 
 

@@ -74,9 +74,10 @@ def retention(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return d.select(key, "ratio", "coverage", F.when(note == "", "-").otherwise(note).alias("note"))
 
 
-def words_missing(a: Column, z: Column) -> Column:
-    """Words of a that z lacks, repeated ones repeatedly."""
-    return F.filter(a, lambda x: ~F.array_contains(z, x))
+def words_missing(rows: DataFrame, key: str, a: str, z: str) -> DataFrame:
+    """(key, word, n): words of array a that array z lacks, with how often a has them."""
+    own = rows.select(key, F.explode(a).alias("word")).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    return own.join(rows.select(key, F.explode(z).alias("word")).distinct(), [key, "word"], "left_anti")
 
 
 def gate(pairs: DataFrame, least: float = 0.999, conf_drop: float = 0.5) -> DataFrame:
