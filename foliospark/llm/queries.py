@@ -71,4 +71,40 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_line_dedup, op7_format_chats, op8_pack, op9_shard, op10_substring_dedup)}
 
-ORACLE: dict[str, str] = {}
+_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ESCAPED = "(length({0}) + 4 * (length({0}) - length(replace({0}, '&', ''))) + 3 * (length({0}) - length(replace(replace({0}, '<', ''), '>', ''))))"
+
+
+def _term(terms) -> str:
+    return f"regexp_matches(u, '(^|[^a-z0-9])({'|'.join(terms)})($|[^a-z0-9])')"
+
+
+ORACLE: dict[str, str] = {
+    "op1_decontaminate": f"""
+with d as (select doc_id, coalesce(regexp_extract_all({_AZ.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from documents),
+b as (select item_id, regexp_extract_all({_AZ.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from benchmark where text is not null),
+bw as (select item_id, least(13, len(w)) as m, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0),
+p as (select distinct item_id, m, array_to_string(w[i:i + m - 1], ' ') as t from bw),
+dw as (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) as i from d, (select distinct m from p) where len(w) >= m),
+h as (select doc_id, i, p.m, item_id from (select doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') as t from dw) x join p on p.m = x.m and p.t = x.t),
+hit as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + m)) as k from h) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as names from (select distinct doc_id, cast(item_id as varchar) as x from h) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hit using (doc_id) left join its using (doc_id)""",
+    "op5_url_filter": f"""
+with p as (select page_id, {_AZ.format("coalesce(url, '')")} as u, {_AZ.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+r as (select * from (values {", ".join(f"('{v}', '{x}', '{x.partition('/')[0]}', '/{x.partition('/')[2]}')" for v, x in RULES)}) as t(v, rule, rh, rp)),
+m as (select page_id, arg_max(rule, length(rule)) as rule, arg_max(v, length(rule)) as v from p join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id)
+select p.page_id, host, path, m.rule, coalesce(m.v, case when {_term(urls.STRICT)} or {" + ".join(f"cast({_term([t])} as int)" for t in urls.SOFT)} >= {urls.SOFT_HITS} then 'block' else 'allow' end) as verdict from p left join m using (page_id)""",
+    "op7_format_chats": f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', '\\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\\### Assistant: </turn> ok')
+select conv_id, count(*) as n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' order by turn, role, text)) as turns_sha256, cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(17 + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) as bigint) as formatted_chars from t group by conv_id""",
+    "op10_substring_dedup": """
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) as w from documents),
+x as (select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50)),
+f as (select h, min(doc_id) as a from x group by h having min(doc_id) <> max(doc_id)),
+c as (select distinct doc_id, unnest(range(i, i + 50)) as k from x join f using (h) where doc_id > a),
+k as (select doc_id, count(*) filter (c.k is not null) as n_removed, string_agg(word, ' ' order by p.k) filter (c.k is null) as kept from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from d) p left join c using (doc_id, k) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+}
