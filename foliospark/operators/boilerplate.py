@@ -49,9 +49,9 @@ def rulers(elements: DataFrame) -> DataFrame:
     return side.join(ends.where("left and right"), [*PAGE, "el_ix"], "left_anti")
 
 
-def page_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
+def page_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, rules: DataFrame | None = None) -> DataFrame:
     """(file, page, cut_top, cut_base) from rulers at a height that enough pages of the group share."""
-    r = rulers(elements).withColumn("bucket", F.rint(c("y0") / 6))
+    r = (rulers(elements) if rules is None else rules).withColumn("bucket", F.rint(c("y0") / 6))
     n = r.groupBy(*GROUP, "side", "bucket").agg(F.countDistinct("page_id").alias("pages")).join(group_sizes(elements), GROUP)
     n = n.where(c("pages") >= threshold(c("n_pages"), fraction)).select(*GROUP, "side", "bucket")
     r = r.join(n, [*GROUP, "side", "bucket"], "left_semi")
@@ -87,17 +87,17 @@ def top_clusters(elements: DataFrame) -> DataFrame:
     return line.withColumn("key", F.concat_ws("|", F.lit("PL"), q("y"), q("x0"), q("x1"), c("n").cast("string"), (c("pts") % V.CLUSTER_MOD).cast("string")))
 
 
-def repeated_clusters(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
+def repeated_clusters(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, clusters: DataFrame | None = None) -> DataFrame:
     """Lines of top_clusters whose key repeats on enough pages of the group."""
-    lines = top_clusters(elements)
+    lines = top_clusters(elements) if clusters is None else clusters
     n = lines.groupBy(*GROUP, "key").agg(F.countDistinct("page_id").alias("pages")).join(group_sizes(elements), GROUP)
     return lines.join(n.where(c("pages") >= threshold(c("n_pages"), fraction)), [*GROUP, "key"], "left_semi")
 
 
-def own_page_cuts(elements: DataFrame) -> DataFrame:
+def own_page_cuts(elements: DataFrame, rules: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """(file, page, cut_top, cut_base) from a page's own rulers; the top cut goes down over header lines that follow closely."""
-    r = rulers(elements).groupBy(*PAGE, "W", "H").agg(F.min(F.when(c("side") == "topo", c("y0"))).alias("top"), F.max(F.when(c("side") == "base", c("y1"))).alias("base"))
-    lines = top_clusters(elements).select(*PAGE, c("y").alias("ly"), c("line"))
+    r = (rulers(elements) if rules is None else rules).groupBy(*PAGE, "W", "H").agg(F.min(F.when(c("side") == "topo", c("y0"))).alias("top"), F.max(F.when(c("side") == "base", c("y1"))).alias("base"))
+    lines = (top_clusters(elements) if clusters is None else clusters).select(*PAGE, c("y").alias("ly"), c("line"))
     below = r.join(lines, PAGE).where("ly < top")
     w = Win.partitionBy(*PAGE).orderBy(F.desc("ly"), "line")
     below = below.withColumn("far", (F.coalesce(F.lag("ly").over(w), c("top")) - c("ly") > V.HEADER_GAP).cast("int"))
@@ -105,12 +105,12 @@ def own_page_cuts(elements: DataFrame) -> DataFrame:
     return r.join(below, PAGE, "left").select(*PAGE, F.coalesce("low", "top").alias("cut_top"), c("base").alias("cut_base"))
 
 
-def short_document_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
+def short_document_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, rules: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """Cuts of all pages: in files of few pages own rulers count too, and where there is none a fixed strip."""
     pages = elements.select(*PAGE, "W", "H").distinct()
     short = pages.groupBy("file_id").agg((F.countDistinct("page_id") <= V.SHORT_DOC).alias("short"))
-    own = own_page_cuts(elements).select(*PAGE, c("cut_top").alias("ot"), c("cut_base").alias("ob"))
-    d = pages.join(short, "file_id").join(page_cuts(elements, fraction), PAGE, "left").join(own, PAGE, "left")
+    own = own_page_cuts(elements, rules, clusters).select(*PAGE, c("cut_top").alias("ot"), c("cut_base").alias("ob"))
+    d = pages.join(short, "file_id").join(page_cuts(elements, fraction, rules), PAGE, "left").join(own, PAGE, "left")
     top = F.when(c("short"), F.coalesce(F.least("cut_top", "ot"), G.H * (1 - V.SHORT_TOP))).otherwise(c("cut_top"))
     base = F.when(c("short"), F.coalesce(F.greatest("cut_base", "ob"), G.H * V.SHORT_BASE)).otherwise(c("cut_base"))
     return d.select(*PAGE, top.alias("cut_top"), base.alias("cut_base")).where("cut_top is not null or cut_base is not null")

@@ -21,16 +21,18 @@ def _flag(elements: DataFrame, rows: DataFrame, on: list[str], name: str) -> Dat
 
 def context(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
     """Elements with all that the rules ask of their page and file."""
-    keys = B.repeated_keys(elements, fraction)
-    lines = B.repeated_clusters(elements, fraction)
+    rules, clusters = B.rulers(elements).persist(), B.top_clusters(elements).persist()  # small, and read several times
+    keys = B.repeated_keys(elements, fraction).persist()
+    lines = B.repeated_clusters(elements, fraction, clusters).persist()
     d = _flag(elements, keys.select(*GROUP, "key"), [*GROUP, "key"], "repeats")
-    d = d.join(B.short_document_cuts(elements, fraction), PAGE, "left").join(Z.signature_columns(elements), PAGE, "left")
+    d = d.join(B.short_document_cuts(elements, fraction, rules, clusters), PAGE, "left").join(Z.signature_columns(elements), PAGE, "left")
     d = d.join(Z.scanned_strips(elements).select(*PAGE, c("protect").alias("strips")), PAGE, "left")
     d = _flag(d, lines.select(*PAGE, F.explode("members").alias("el_ix")), [*PAGE, "el_ix"], "in_line")
     spans = lines.select(*PAGE, c("x0").alias("s0"), c("x1").alias("s1"), c("y").alias("sy"))
-    close = d.where("kind = 'P'").join(spans, PAGE).where((c("s0") - 12 <= c("x0")) & (c("x1") <= c("s1") + 12) & (F.abs(c("y0") - c("sy")) <= 7) & (c("y0") >= G.H * (1 - V.TOP_ZONE)))
+    # flags are looked up on the elements themselves, so that the steps don't pile up
+    close = elements.where("kind = 'P'").join(spans, PAGE).where((c("s0") - 12 <= c("x0")) & (c("x1") <= c("s1") + 12) & (F.abs(c("y0") - c("sy")) <= 7) & (c("y0") >= G.H * (1 - V.TOP_ZONE)))
     d = _flag(d, close, [*PAGE, "el_ix"], "orphan")
-    low = d.where((c("kind") == "P") & (c("y1") <= G.H * V.BASE_ZONE)).join(B.base_bands(elements, fraction), GROUP).where("y0 between lo and hi")
+    low = elements.where((c("kind") == "P") & (c("y1") <= G.H * V.BASE_ZONE)).join(B.base_bands(elements, fraction), GROUP).where("y0 between lo and hi")
     d = _flag(d, low, [*PAGE, "el_ix"], "in_band")
     return _flag(d, Z.in_zones(elements, Z.table_zones(elements)), [*PAGE, "el_ix"], "in_table")
 
@@ -88,6 +90,6 @@ def page_loss(judged: DataFrame) -> DataFrame:
 
 def verdicts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
     """Elements with the final `reason`: none on pages that are rolled back."""
-    judged = reasons(elements, fraction)
+    judged = reasons(elements, fraction).persist()
     d = judged.join(page_loss(judged).select(*PAGE, "rolled_back"), PAGE)
     return d.withColumn("reason", F.when(~c("rolled_back"), c("reason")))
