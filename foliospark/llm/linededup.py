@@ -147,7 +147,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     common = {r[0]: r[1] for r in classes.where(F.col("c") > max(8, n_lines // HEAVY)).select("class", "first").collect()}
     limit = int(4 * np.log2(max(2, 2 * total / CELLS + total / HEAVY / 10)))
     entries = docs.mapInArrow(_entries(docs.sparkSession.sparkContext.broadcast(ranks), limit, common), "token bigint, key bigint, at bigint, heavy boolean")
-    live = saved(live_entries(entries), "live")
+    live = live_entries(entries)
     copies = saved(lines.join(classes.where("c > 1").select("class", "first"), "class").where("e > first").select("e").distinct(), "copies")
     one = hub_pairs(live, NUM, DEN).join(copies.withColumnRenamed("e", "x"), "x", "left_anti")
     settled = saved(_similar(docs, saved(one, "pairs"), NUM, DEN).unionByName(copies.withColumnRenamed("e", "key")), "settled")

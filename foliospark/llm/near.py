@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .setjoin import bitmap, central_hubs, hub_pairs, keys_of, live_entries, rest_pairs, with_texts
+from .setjoin import bitmap, hub_pairs, keys_of, live_entries, rest_pairs, with_texts
 from .shared import saved
 from .words import NOT_SPACE, gram_hashes, lists, mix, slices, words_of
 
@@ -181,7 +181,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ranks_b = spark.sparkContext.broadcast(ranks)  # CELLS numbers
     named = d.where("_id is not null")
     entries = named.mapInArrow(_entries(ranks_b, limit, common), "token bigint, key bigint, at bigint, heavy boolean")
-    live = saved(live_entries(entries), "live")
+    live = live_entries(entries, central=True)
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs, "pairs")
@@ -192,7 +192,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return saved(with_texts(pairs, texts).mapInArrow(_similar(ranks_b, usual), "x bigint, y bigint").distinct(), "links")
 
     copies = own.join(classes.where("c > 1 and first is not null").select("key", "first"), "key").where("doc <> first").select(F.col("doc").alias("x"), F.col("first").alias("y"))
-    links = similar(hub_pairs(central_hubs(live, NUM, DEN), NUM, DEN)).unionByName(copies)
+    links = similar(hub_pairs(live, NUM, DEN)).unionByName(copies)
     group = components(links, "x", "y")
     more = similar(rest_pairs(live, group.withColumnsRenamed({"node": "key", "root": "g"}), NUM, DEN, later_only=False))
     if more.take(1):

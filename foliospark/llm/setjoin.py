@@ -11,8 +11,8 @@ A pair goes on to verification if its sizes allow the similarity (length filter)
 on enough tokens are left (positional filter), and if its common prefix tokens together with all later ones are
 enough (matches: pairs that share a token by chance end here).
 
-All of it is DataFrame code. Tokens flagged `heavy` (common in the corpus) are summed up before a shuffle and
-joined back, where Spark can split them; the others are brought together once.
+All of it is DataFrame code. The sets of a token are brought together once; tokens flagged `heavy` (common in the
+corpus) are dealt to several parts, whose sums are joined back, where Spark can split them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 
 def overlap_needed(n: Column, m: Column, num: int, den: int) -> Column:
     """Least intersection for Jaccard num/den: ceil(t / (1 + t) * (n + m))."""
@@ -44,15 +46,24 @@ def left_of(x: Column) -> Column:
     return size_of(x) - x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
-def live_entries(entries: DataFrame) -> DataFrame:
-    """Entries whose token more than one set has, once for each token and set, with the token's first set."""
-    once = lambda d: d.groupBy("token", "key").agg(*(F.min(c).alias(c) for c in ("at", "hub", "hub_at", "c")))
-    w = W.partitionBy("token")
-    light = entries.where("not heavy").select("token", "key", "at")
-    light = light.withColumns({"hub": F.min("key").over(w), "_z": F.max("key").over(w), "hub_at": F.min_by("at", "key").over(w), "c": F.count(F.lit(1)).over(w)}).where("hub <> _z").drop("_z")
-    heavy = entries.where("heavy").select("token", "key", "at")
-    top = heavy.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("_z"), F.min_by("at", "key").alias("hub_at"), F.count(F.lit(1)).alias("c")).where("hub <> _z").drop("_z")
-    return once(light).unionByName(once(heavy.join(top, "token")))
+def live_entries(entries: DataFrame, *, central: bool = False) -> DataFrame:
+    """Entries whose token more than one set has, once for each token and set, with the token's hub and count.
+
+    The hub is the token's first set or, with `central`, the set in which the token stands earliest for its size: of
+    a text and its edited copies that is the text, as each copy has rarer tokens of its own before. Entries are made
+    once; those of heavy tokens are dealt to SALTS parts, whose results are put together afterwards.
+    """
+    place = [F.floor((size_of(F.col("at")) - left_of(F.col("at"))) * 1024 / size_of(F.col("at"))).cast("int").alias("r"), F.xxhash64("key").alias("s")] if central else []
+    best = F.struct(*place, F.col("key").alias("key"), F.col("at").alias("at"))
+    e = entries.withColumn("_salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int"))
+    w = W.partitionBy("token", "_salt")
+    e = e.withColumns({"_a": F.min("key").over(w), "_z": F.max("key").over(w), "_best": F.min(best).over(w), "c": F.count(F.lit(1)).over(w)}).where("heavy or _a <> _z")
+    e = saved(e.groupBy("token", "_salt", "key").agg(*(F.min(c).alias(c) for c in ("at", "heavy", "_a", "_z", "_best", "c"))), "live")
+    named = lambda d: d.select("token", "key", "at", F.col("_best.key").alias("hub"), F.col("_best.at").alias("hub_at"), "c")
+    heavy = e.where("heavy")
+    parts = heavy.groupBy("token", "_salt").agg(*(F.min(c).alias(c) for c in ("_a", "_z", "_best", "c")))
+    top = parts.groupBy("token").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.min("_best").alias("_best"), F.sum("c").alias("c")).where("_a <> _z")
+    return named(e.where("not heavy")).unionByName(named(heavy.select("token", "key", "at").join(top, "token")))
 
 
 def _likely(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -74,24 +85,36 @@ def hub_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
     return _pairs(live.where("key <> hub").select(F.col("key").alias("x"), F.col("hub").alias("y"), F.col("at").alias("x_at"), F.col("hub_at").alias("y_at")), num, den)
 
 
-def central_hubs(live: DataFrame, num: int, den: int) -> DataFrame:
-    """The same entries, where a token's hub is its set with the largest share of common prefix tokens: of a text and
-    its edited copies that is the text, which they all resemble more than one another."""
-    share = live.groupBy("key").agg((F.count(F.lit(1)) * 1000 / F.min(prefix_size(size_of(F.col("at")), num, den))).cast("bigint").alias("w"))
-    best = live.select("token", "key", "at").join(share, "key").withColumn("w", F.col("w") * (1 << 20) + F.pmod(F.xxhash64("key"), F.lit(1 << 20)))
-    best = best.groupBy("token").agg(F.max_by("key", "w").alias("hub"), F.max_by("at", "w").alias("hub_at"))
-    return live.drop("hub", "hub_at").join(best, "token")
+def _mixed(d: DataFrame) -> DataFrame:
+    """Rows of tokens whose sets aren't all of one `own`."""
+    w = W.partitionBy("token")
+    few = d.where(F.col("c") <= MANY).withColumns({"_a": F.min("own").over(w), "_z": F.max("own").over(w)}).where("_a <> _z").drop("_a", "_z")
+    many = d.where(F.col("c") > MANY)
+    some = many.groupBy("token").agg(F.min("own").alias("_a"), F.max("own").alias("_z")).where("_a <> _z").select("token")
+    return few.unionByName(many.join(some, "token", "left_semi"))
+
+
+def _matching(seeds: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
+    """The seeds (x, y, n, m, left) that have enough common prefix tokens; these are counted for seeds alone."""
+    seeds = saved(seeds, "seeds")
+    test = bitmap(keys_of(seeds), "key")
+    if test is None:
+        return seeds.select("x", "y")
+    prefix = saved(live.where(test).groupBy("key").agg(F.collect_list("token").alias("p")), "prefixes")
+    both = seeds.join(prefix.select(F.col("key").alias("x"), F.col("p").alias("x_p")), "x").join(prefix.select(F.col("key").alias("y"), F.col("p").alias("y_p")), "y")
+    return _likely(both.withColumn("k", F.size(F.array_intersect("x_p", "y_p"))), num, den)
 
 
 def rest_pairs(live: DataFrame, group: DataFrame, num: int, den: int, *, later_only: bool) -> DataFrame:
     """(x, y) for sets that still need partners. group: (key, g); sets of one g need no pair.
 
-    With `later_only`, x is a set without a g, and y any set of a smaller key.
+    With `later_only`, x is a set without a g, and y any set of a smaller key. Otherwise a pair is found by those of
+    its common tokens alone that the positional filter lets through (similar sets have one), so that the edited copies
+    of a text don't all meet in the join.
     """
     d = live.select("token", "key", "at", "c").join(group, "key", "left").select("token", "key", "at", "c", F.coalesce("g", "key").alias("own"), F.col("g").isNull().alias("open"))
     if not later_only:
-        some = d.groupBy("token").agg(F.min("own").alias("_a"), F.max("own").alias("_z")).where("_a <> _z").select("token")
-        d = d.join(some, "token", "left_semi")
+        d = saved(_mixed(d), "mixed")
     # a token of many sets is split by bands of size: partners are in the same band or the next
     size_band = F.floor(F.log(size_of(F.col("at")).cast("double")) / F.log(F.lit(den / num))).cast("int")
     d = d.withColumn("band", F.when(F.col("c") > MANY, size_band).otherwise(0))
@@ -99,7 +122,12 @@ def rest_pairs(live: DataFrame, group: DataFrame, num: int, den: int, *, later_o
     x = x.select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), "own", F.explode(F.when(F.col("c") > MANY, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
     y = d.select("token", F.col("key").alias("y"), F.col("at").alias("y_at"), F.col("own").alias("y_own"), "band")
     n, m = size_of(F.col("x_at")), size_of(F.col("y_at"))
-    return _pairs(x.join(y, ["token", "band"]).where((F.col("own") != F.col("y_own")) & (F.col("y") < F.col("x")) & (den * F.least(n, m) >= num * F.greatest(n, m))), num, den)
+    left = F.least(left_of(F.col("x_at")), left_of(F.col("y_at")))
+    fits = (F.col("own") != F.col("y_own")) & (F.col("y") < F.col("x")) & (den * F.least(n, m) >= num * F.greatest(n, m))
+    if later_only:
+        return _pairs(x.join(y, ["token", "band"]).where(fits), num, den)
+    met = x.join(y, ["token", "band"]).where(fits & (left >= overlap_needed(n, m, num, den)))
+    return _matching(met.groupBy("x", "y").agg(F.min(n).alias("n"), F.min(m).alias("m"), F.max(left).alias("left")), live, num, den)
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -113,6 +141,7 @@ def keys_of(pairs: DataFrame) -> DataFrame:
 
 BITS = 1 << 20
 MANY = 1000
+SALTS = 64
 
 
 def bitmap(keys: DataFrame, column: str) -> Column | None:
