@@ -55,15 +55,17 @@ def live_entries(entries: DataFrame, *, central: bool = False) -> DataFrame:
     """
     place = [F.floor((size_of(F.col("at")) - left_of(F.col("at"))) * 1024 / size_of(F.col("at"))).cast("int").alias("r"), F.xxhash64("key").alias("s")] if central else []
     best = F.struct(*place, F.col("key").alias("key"), F.col("at").alias("at"))
-    e = entries.withColumn("_salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int"))
+    salt = F.when(F.col("heavy"), 1 + F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("smallint")
+    # dealt out first, so that what the window compares is made after the shuffle
+    e = entries.select("token", "key", "at", salt.alias("_salt")).repartition("token", "_salt")
     w = W.partitionBy("token", "_salt")
-    e = e.withColumns({"_a": F.min("key").over(w), "_z": F.max("key").over(w), "_best": F.min(best).over(w), "c": F.count(F.lit(1)).over(w)}).where("heavy or _a <> _z")
-    e = saved(e.groupBy("token", "_salt", "key").agg(*(F.min(c).alias(c) for c in ("at", "heavy", "_a", "_z", "_best", "c"))), "live")
+    e = e.withColumn("_b", best).withColumns({"_a": F.min("key").over(w), "_z": F.max("key").over(w), "_best": F.min("_b").over(w), "c": F.count(F.lit(1)).over(w)}).where("_salt > 0 or _a <> _z")
+    e = saved(e.groupBy("token", "_salt", "key").agg(*(F.min(c).alias(c) for c in ("at", "_a", "_z", "_best", "c"))), "live")
     named = lambda d: d.select("token", "key", "at", F.col("_best.key").alias("hub"), F.col("_best.at").alias("hub_at"), "c")
-    heavy = e.where("heavy")
+    heavy = e.where("_salt > 0")
     parts = heavy.groupBy("token", "_salt").agg(*(F.min(c).alias(c) for c in ("_a", "_z", "_best", "c")))
     top = parts.groupBy("token").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"), F.min("_best").alias("_best"), F.sum("c").alias("c")).where("_a <> _z")
-    return named(e.where("not heavy")).unionByName(named(heavy.select("token", "key", "at").join(top, "token")))
+    return named(e.where("_salt = 0")).unionByName(named(heavy.select("token", "key", "at").join(top, "token")))
 
 
 def _likely(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -114,19 +116,22 @@ def rest_pairs(live: DataFrame, group: DataFrame, num: int, den: int, *, later_o
     """
     d = live.select("token", "key", "at", "c").join(group, "key", "left").select("token", "key", "at", "c", F.coalesce("g", "key").alias("own"), F.col("g").isNull().alias("open"))
     if not later_only:
-        d = saved(_mixed(d), "mixed")
+        d = saved(_mixed(d.withColumn("before", F.lag("token").over(W.partitionBy("key").orderBy("token")))), "mixed")
     # a token of many sets is split by bands of size: partners are in the same band or the next
     size_band = F.floor(F.log(size_of(F.col("at")).cast("double")) / F.log(F.lit(den / num))).cast("int")
     d = d.withColumn("band", F.when(F.col("c") > MANY, size_band).otherwise(0))
     x = d.where("open") if later_only else d
-    x = x.select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), "own", F.explode(F.when(F.col("c") > MANY, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
-    y = d.select("token", F.col("key").alias("y"), F.col("at").alias("y_at"), F.col("own").alias("y_own"), "band")
+    more = [] if later_only else ["before"]
+    x = x.select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), "own", *(F.col(c).alias(f"x_{c}") for c in more), F.explode(F.when(F.col("c") > MANY, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
+    y = d.select("token", F.col("key").alias("y"), F.col("at").alias("y_at"), F.col("own").alias("y_own"), *(F.col(c).alias(f"y_{c}") for c in more), "band")
     n, m = size_of(F.col("x_at")), size_of(F.col("y_at"))
     left = F.least(left_of(F.col("x_at")), left_of(F.col("y_at")))
     fits = (F.col("own") != F.col("y_own")) & (F.col("y") < F.col("x")) & (den * F.least(n, m) >= num * F.greatest(n, m))
     if later_only:
         return _pairs(x.join(y, ["token", "band"]).where(fits), num, den)
-    met = x.join(y, ["token", "band"]).where(fits & (left >= overlap_needed(n, m, num, den)))
+    # where both sets have the same token before this one, that one brings the pair
+    new = ~F.coalesce(F.col("x_before") == F.col("y_before"), F.lit(False))
+    met = x.join(y, ["token", "band"]).where(fits & new & (left >= overlap_needed(n, m, num, den)))
     return _matching(met.groupBy("x", "y").agg(F.min(n).alias("n"), F.min(m).alias("m"), F.max(left).alias("left")), live, num, den)
 
 
