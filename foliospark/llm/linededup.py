@@ -17,10 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .lm import packed, unpacked
-from .setjoin import bitmap, hub_pairs, keys_of, live_entries, rest_pairs, with_texts
+from .setjoin import bitmap, hub_pairs, keys_of, rest_pairs, with_texts
 from .shared import saved
 from .words import NOT_SPACE, mix, slices, words_of
 
@@ -109,6 +110,17 @@ def _entries(ranks_b, limit: int, common: dict[int, int]):
     return run
 
 
+def _live_entries(entries: DataFrame) -> DataFrame:
+    """Entries whose token more than one set has, once for each token and set, with the token's first set."""
+    once = lambda d: d.groupBy("token", "key").agg(*(F.min(c).alias(c) for c in ("at", "hub", "hub_at", "c")))
+    w = W.partitionBy("token")
+    light = entries.where("not heavy").select("token", "key", "at")
+    light = light.withColumns({"hub": F.min("key").over(w), "_z": F.max("key").over(w), "hub_at": F.min_by("at", "key").over(w), "c": F.count(F.lit(1)).over(w)}).where("hub <> _z").drop("_z")
+    heavy = entries.where("heavy").select("token", "key", "at")
+    top = heavy.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("_z"), F.min_by("at", "key").alias("hub_at"), F.count(F.lit(1)).alias("c")).where("hub <> _z").drop("_z")
+    return once(light).unionByName(once(heavy.join(top, "token")))
+
+
 def _words(line: Column) -> Column:
     """Words [^\\x20\\x09-\\x0D]+ of a line."""
     return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
@@ -147,7 +159,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     common = {r[0]: r[1] for r in classes.where(F.col("c") > max(8, n_lines // HEAVY)).select("class", "first").collect()}
     limit = int(4 * np.log2(max(2, 2 * total / CELLS + total / HEAVY / 10)))
     entries = docs.mapInArrow(_entries(docs.sparkSession.sparkContext.broadcast(ranks), limit, common), "token bigint, key bigint, at bigint, heavy boolean")
-    live = live_entries(entries)
+    live = saved(_live_entries(entries), "live")
     copies = saved(lines.join(classes.where("c > 1").select("class", "first"), "class").where("e > first").select("e").distinct(), "copies")
     one = hub_pairs(live, NUM, DEN).join(copies.withColumnRenamed("e", "x"), "x", "left_anti")
     settled = saved(_similar(docs, saved(one, "pairs"), NUM, DEN).unionByName(copies.withColumnRenamed("e", "key")), "settled")
