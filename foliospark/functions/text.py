@@ -44,8 +44,12 @@ def plain_words(text: Column) -> Column:
 
 
 def contained(small: Column, large: Column, least: float = V.CONTAINED) -> Column:
-    a = long_words(small)
-    return F.when(F.size(a) == 0, False).otherwise(F.size(F.array_intersect(a, long_words(large))) / F.size(a) >= least)
+    return contained_words(long_words(small), long_words(large), least)
+
+
+def contained_words(small: Column, large: Column, least: float = V.CONTAINED) -> Column:
+    """The same of arrays of distinct words."""
+    return F.when(F.size(small) == 0, False).otherwise(F.size(F.array_intersect(small, large)) / F.size(small) >= least)
 
 
 def fix_ordinals(text: Column) -> Column:

@@ -49,4 +49,6 @@ def blocks(words: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     words the page's text already has. texts: (keys, page_text)."""
     b = words.groupBy(*keys, "region").agg(F.sort_array(F.collect_list(F.struct("word_ix", "text"))).alias("w"), F.avg("conf").alias("conf"))
     b = b.select(*keys, "region", F.array_join("w.text", " ").alias("text"), "conf")
-    return b.join(texts, keys, "left").where(~T.contained(c("text"), c("page_text"))).drop("page_text")
+    # the page's words are found once for a page, not for each region
+    t = texts.select(*keys, T.long_words(c("page_text")).alias("_page"))
+    return b.join(t, keys, "left").where(~T.contained_words(T.long_words(c("text")), F.coalesce("_page", F.array().cast("array<string>")))).drop("_page")

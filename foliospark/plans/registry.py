@@ -490,7 +490,9 @@ with {_WORDS}, a as (select doc_id, word_ix // 40 as region, word_ix, text, cast
 d as (select doc_id, substring(text, 1, 400) as page from documents), s as (select b.*, {_LONG.format('b.text')} as x, {_LONG.format('page')} as y from b join d using (doc_id))
 select doc_id, cast(region as int) as region, text, round(conf, 6) as conf from s where not (len(x) > 0 and len(list_intersect(x, y)) / len(x) >= 0.80)""")
 def block_confidence(spark, sf_dir):
-    page = docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 400).alias("page_text"))
+    # the whole text, in which the words of every third region are others
+    words = F.transform(F.split(F.translate("text", "\n", " "), " "), lambda w, k: F.when(F.floor(k / 40) % 3 == 1, F.reverse(w)).otherwise(w))
+    page = docs(spark, sf_dir).select("doc_id", F.array_join(words, " ").alias("page_text"))
     return O.blocks(O.accepted(_words(spark, sf_dir)), page, ["doc_id"]).select("doc_id", "region", "text", r6("conf", "conf"))
 
 
