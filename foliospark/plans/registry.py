@@ -120,7 +120,7 @@ f as (select doc_id, x, 0 as i, [] :: varchar[] as o from l
     else list_concat(case when len(o) > 0 and trim(o[-1]) <> '' then list_append(o, '') else o end, ['---', '', concat('### ', {_LINE.format('x[i+1]')}), '']) end from f where i < len(x))
 select doc_id, array_to_string(o, chr(10)) as marked from f where i = len(x)""")
 def md_headings(spark, sf_dir):
-    return _marked(docs(spark, sf_dir).where("doc_id % 5 = 0")).select("doc_id", T.mark_headings(c("text")).alias("marked"))
+    return _marked(docs(spark, sf_dir)).select("doc_id", T.mark_headings(c("text")).alias("marked"))
 
 
 _SAMPLE = "case when rn = 1 and source <> 'src3' then concat('Autos 09.2023.0000', cast(3000 + doc_id % 7000 as string), '-4', chr(10), '11ª  Promotoria de Justiça', chr(10), text) else text end"
