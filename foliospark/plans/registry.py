@@ -410,7 +410,7 @@ def ocr_candidates(spark, sf_dir):
 @query(sql("el", "select doc_id as page_id, length(text) < 40 and doc_id in (select page_id from el where kind = 'I' and not rot and (x1-x0)*(y1-y0)/(595*842) >= 0.25) as handwritten from (select doc_id, case when doc_id % 3 = 0 then substring(text, 1, 30) else text end as text from documents where doc_id < 500)"))
 def handwritten(spark, sf_dir):
     e = elements(spark, sf_dir).withColumn("file_id", F.lit(0))
-    t = docs(spark, sf_dir).where("doc_id < 500").select(F.lit(0).alias("file_id"), c("doc_id").alias("page_id"), F.when(c("doc_id") % 3 == 0, F.substring("text", 1, 30)).otherwise(c("text")).alias("text"))
+    t = docs(spark, sf_dir).select(F.lit(0).alias("file_id"), c("doc_id").alias("page_id"), F.when(c("doc_id") % 3 == 0, F.substring("text", 1, 30)).otherwise(c("text")).alias("text"))
     return P.handwritten(t, e).select("page_id", "handwritten")
 
 
