@@ -167,14 +167,35 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return settled.unionByName(_similar(docs, rest, NUM, DEN)).select(F.col("key").alias("e")).distinct()
 
 
+def _apart(d: DataFrame) -> DataFrame:
+    """Where one id (or none) has several texts, _id becomes the text's place in the order of (id, hash of the text);
+    otherwise the rows as they are. d: (_id bigint, _text, ...)."""
+    name = F.xxhash64("_text")
+    texts = d.where("_text is not null").select("_id", name.alias("_name"))
+    if not texts.groupBy("_id").agg(F.min("_name").alias("_a"), F.max("_name").alias("_z")).where("_a <> _z").take(1):
+        return d
+    # numbers in order: those of ranges of the sorted rows, moved up by the rows of the ranges before
+    texts = saved(texts.distinct().withColumn("_known", F.col("_id").isNotNull()).orderBy("_known", "_id", "_name").withColumn("_part", F.spark_partition_id()), "texts")
+    before, total = {}, 0
+    for r in texts.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
+        before[r[0]], total = total, total + r[1]
+    base = d.sparkSession.createDataFrame(list(before.items()), "_part int, _base bigint")
+    own = F.row_number().over(W.partitionBy("_part").orderBy("_known", "_id", "_name"))
+    numbers = texts.withColumn("_own", own).join(F.broadcast(base), "_part").select(F.col("_id").alias("_i"), F.col("_name").alias("_n"), (F.col("_base") + F.col("_own") - 1).alias("_number"))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (name == F.col("_n"))
+    return saved(d.join(saved(numbers, "numbers"), same, "left").withColumn("_id", F.col("_number")).drop("_i", "_n", "_number"), "apart")
+
+
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with all their columns, without the lines that match an earlier line, and n_lines_removed.
 
     Two lines match where the Jaccard similarity of their sets of words is 0.8 or more. Lines without a
     word stay. A null text stays null, an empty one empty. The id must be an integer below 2**38; a null id
-    comes first of all. Rows with the same id are treated alike, as one document.
+    comes first of all. Rows of one id (or none) with different texts are documents of their own, in the order of a
+    hash of their texts; rows with the same id and text are treated alike.
     """
     d = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("bigint"), "_text": F.col(f"`{text_col}`").cast("string")})
+    d = _apart(d)
     gone = removed_lines(d.select("_id", "_text"))
     gone = gone.distinct().groupBy(F.shiftright("e", _LINE_BITS).alias("_id")).agg(F.collect_list(F.pmod("e", F.lit(1 << _LINE_BITS)).cast("int")).alias("_gone"))
     gone = saved(gone, "gone")

@@ -3,7 +3,8 @@
 A word goes when it lies in a window of WINDOW words that also starts in a document with a smaller id.
 
 1. Each window's smallest gram of GRAM words is its anchor (about one anchor for 22 words), so equal windows have
-   equal anchors. Anchors of one document only are dropped; the first document of an anchor is its hub.
+   equal anchors. Anchors of one document only are dropped; the first document of an anchor is its hub. Documents
+   are told apart by their id and a hash of their text (`name`), but only the id says which is before another.
 2. Hubs are cut into reference blocks of BLOCK words around their anchors, each indexed by its sorted suffixes.
    A stretch of a document is parsed against every block that one of its anchors leads to: greedily, the longest
    factor at each place. Windows in factors of WINDOW words or more are duplicates, and where two neighbours are
@@ -62,7 +63,8 @@ def _find(window: int, gram: int):
             same[1:-1] = (value[order][1:] == value[order][:-1]) & (row[order][1:] == row[order][:-1])
             again = np.zeros(len(at), bool)
             again[order] = same[1:] | same[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), batch.column("_id").take(pa.array(row, pa.int64())), pa.array(at - w.first[row], pa.int64()), pa.array(again)], names=["anchor", "doc", "pos", "again"])
+            doc, name = (batch.column(c).take(pa.array(row, pa.int64())) for c in ("_id", "_name"))
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), doc, name, pa.array(at - w.first[row], pa.int64()), pa.array(again)], names=["anchor", "doc", "name", "pos", "again"])
 
     return run
 
@@ -72,45 +74,47 @@ def _name(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(x[:8], "little", signed=True), int.from_bytes(x[8:], "little", signed=True)
 
 
-_CUT = "kind int, hub bigint, block bigint, doc bigint, start bigint, text binary, at array<bigint>, h1 bigint, h2 bigint"
+_CUT = "kind int, hub bigint, hub_name bigint, block bigint, doc bigint, name bigint, start bigint, text binary, at array<bigint>, h1 bigint, h2 bigint"
 
 
 def _cut(window: int, gram: int, size: int):
     """kind 0: a reference block of this hub; 1: a stretch to be parsed against (hub, block), with its anchors'
-    places; 2: a window of a hub whose anchor stands in it more than once."""
+    places; 2: a window of a hub whose anchor stands in it more than once, or of another text with the hub's id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = window - 1
         for batch in slices(batches, "_text", 1 << 20):
             out: list[tuple] = []
-            for doc, text, marks in zip(batch.column("_id").to_pylist(), batch.column("_text").to_pylist(), batch.column("marks").to_pylist()):
+            for doc, name, text, marks in zip(*(batch.column(c).to_pylist() for c in ("_id", "_name", "_text", "marks"))):
                 words = (text or "").encode().split()
                 blocks, ways, twice = set(), {}, set()
                 for m in marks:
-                    if m["hub"] == doc:
+                    if m["hub"] == doc and m["hub_name"] != name:
+                        twice.add(m["pos"])
+                    elif m["hub"] == doc:
                         blocks.add(m["pos"] // size)
                         if m["again"]:
                             twice.add(m["pos"])
                     else:
-                        ways.setdefault((m["hub"], m["hub_pos"] // size), []).append(m["pos"])
+                        ways.setdefault((m["hub"], m["hub_name"], m["hub_pos"] // size), []).append(m["pos"])
                 for b in sorted(blocks):
                     a = max(0, b * size - side)
-                    out.append((0, doc, b, None, a, b" ".join(words[a : (b + 1) * size + gram + side]), None, None, None))
-                for (hub, b), places in sorted(ways.items()):
+                    out.append((0, doc, name, b, None, None, a, b" ".join(words[a : (b + 1) * size + gram + side]), None, None, None))
+                for (hub, hub_name, b), places in sorted(ways.items()):
                     places.sort()
                     lo = 0
                     for k in range(1, len(places) + 1):
                         if k == len(places) or places[k] - places[k - 1] > 2 * window:
                             a = max(0, places[lo] - side)
-                            out.append((1, hub, b, doc, a, b" ".join(words[a : places[k - 1] + gram + side]), [p - a for p in places[lo:k]], None, None))
+                            out.append((1, hub, hub_name, b, doc, name, a, b" ".join(words[a : places[k - 1] + gram + side]), [p - a for p in places[lo:k]], None, None))
                             lo = k
                 if twice:
                     w = words_of(pa.array([text]), NOT_SPACE)
                     for i, p in enumerate(anchors(w.hashes(), window, gram).tolist()):
                         if p in twice:
-                            out.append((2, None, None, doc, i, None, None, *_name(words[i : i + window])))
-            cols = list(zip(*out)) or [()] * 9
-            kinds = (pa.int32(), *[pa.int64()] * 4, pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+                            out.append((2, None, None, None, doc, name, i, None, None, *_name(words[i : i + window])))
+            cols = list(zip(*out)) or [()] * 11
+            kinds = (pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _CUT.split(", ")])
 
     return run
@@ -158,26 +162,26 @@ class Reference:
 
 
 def _parse(window: int, gram: int):
-    """Rows (doc, first, last, null, null) of windows found in the block, and (doc, start, start, h1, h2) of those still open."""
+    """Rows (doc, name, first, last, null, null) of windows found in the block, and (doc, name, start, start, h1, h2) of those still open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, reference = None, None
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 out = []
-                for doc, start, data, at, block in zip(*(part.column(c).to_pylist() for c in ("doc", "start", "text", "at", "block_text"))):
+                for doc, name, start, data, at, block in zip(*(part.column(c).to_pylist() for c in ("doc", "name", "start", "text", "at", "block_text"))):
                     if block != known:
                         known, reference = block, Reference(block.split(), window)
                     words = data.split()
                     found = reference.windows(words)
-                    out += [(doc, start + a, start + z, None, None) for a, z in found]
+                    out += [(doc, name, start + a, start + z, None, None) for a, z in found]
                     places = anchors(words_of(pa.array([data.decode()]), NOT_SPACE).hashes(), window, gram)
                     mine = np.isin(places, at)
                     for a, z in found:
                         mine[a : z + 1] = False
-                    out += [(doc, start + i, start + i, *_name(words[i : i + window])) for i in np.flatnonzero(mine).tolist()]
-                cols = list(zip(*out)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "first", "last", "h1", "h2"])
+                    out += [(doc, name, start + i, start + i, *_name(words[i : i + window])) for i in np.flatnonzero(mine).tolist()]
+                cols = list(zip(*out)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc", "name", "first", "last", "h1", "h2"])
 
     return run
 
@@ -212,24 +216,26 @@ def _remove(window: int, keep: list[str]):
 
 
 def _ranges(d: DataFrame, window: int, gram: int, block: int) -> DataFrame:
-    """(doc, first, last): ranges of starts of duplicate windows; d: (_id bigint not null, _text)."""
-    found = d.mapInArrow(_find(window, gram), "anchor bigint, doc bigint, pos bigint, again boolean")
-    hubs = found.groupBy("anchor").agg(F.min("doc").alias("hub"), F.max("doc").alias("_z"), F.min_by("pos", "doc").alias("hub_pos")).where("hub <> _z").drop("_z")
-    marks = found.join(hubs, "anchor").groupBy("doc").agg(F.collect_list(F.struct("pos", "again", "hub", "hub_pos")).alias("marks"))
+    """(doc, name, first, last): ranges of starts of duplicate windows; d: (_id bigint not null, _name bigint, _text)."""
+    found = d.mapInArrow(_find(window, gram), "anchor bigint, doc bigint, name bigint, pos bigint, again boolean")
+    hubs = found.groupBy("anchor").agg(F.min(F.struct("doc", "name", "pos")).alias("_a"), F.max("doc").alias("_z")).where("_a.doc <> _z")
+    hubs = hubs.select("anchor", F.col("_a.doc").alias("hub"), F.col("_a.name").alias("hub_name"), F.col("_a.pos").alias("hub_pos"))
+    marks = found.join(hubs, "anchor").groupBy("doc", "name").agg(F.collect_set(F.struct("pos", "again", "hub", "hub_name", "hub_pos")).alias("marks"))
     marks = saved(marks, "marks")
-    test = bitmap(marks.select(F.col("doc").alias("_id")), "_id")
-    none = d.sparkSession.createDataFrame([], "doc bigint, first bigint, last bigint")
+    test = bitmap(marks.select(F.col("name").alias("_name")), "_name")
+    none = d.sparkSession.createDataFrame([], "doc bigint, name bigint, first bigint, last bigint")
     if test is None:
         return none
-    cut = d.where(test).join(marks, F.col("_id") == F.col("doc")).select("_id", "_text", "marks").mapInArrow(_cut(window, gram, block), _CUT)
+    mine = (F.col("_id") == F.col("doc")) & (F.col("_name") == F.col("name"))
+    cut = d.where(test).join(marks, mine).select("_id", "_name", "_text", "marks").mapInArrow(_cut(window, gram, block), _CUT)
     cut = saved(cut, "cut")
-    blocks = cut.where("kind = 0").select("hub", "block", F.col("text").alias("block_text"))
-    parsed = cut.where("kind = 1").join(blocks, ["hub", "block"]).select("doc", "start", "text", "at", "block_text").mapInArrow(_parse(window, gram), "doc bigint, first bigint, last bigint, h1 bigint, h2 bigint")
+    blocks = cut.where("kind = 0").select("hub", "hub_name", "block", F.col("text").alias("block_text"))
+    parsed = cut.where("kind = 1").join(blocks, ["hub", "hub_name", "block"]).select("doc", "name", "start", "text", "at", "block_text").mapInArrow(_parse(window, gram), "doc bigint, name bigint, first bigint, last bigint, h1 bigint, h2 bigint")
     parsed = saved(parsed, "parsed")
-    rest = parsed.where("h1 is not null").unionByName(cut.where("kind = 2").select("doc", F.col("start").alias("first"), F.col("start").alias("last"), "h1", "h2"))
+    rest = parsed.where("h1 is not null").unionByName(cut.where("kind = 2").select("doc", "name", F.col("start").alias("first"), F.col("start").alias("last"), "h1", "h2"))
     shared = rest.groupBy("h1", "h2").agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).where("_a <> _z").drop("_z")
-    late = rest.join(shared, ["h1", "h2"]).where("doc > _a").select("doc", "first", "last")
-    return parsed.where("h1 is null").select("doc", "first", "last").unionByName(late)
+    late = rest.join(shared, ["h1", "h2"]).where("doc > _a").select("doc", "name", "first", "last")
+    return parsed.where("h1 is null").select("doc", "name", "first", "last").unionByName(late)
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
@@ -237,20 +243,20 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stay, joined by one space) and spans of removed words.
 
     Ids are integers; a row without one counts as the last of all. A null or empty text has no words. Windows
-    are judged on the input. Rows of one id aren't before one another, so repeated rows keep their text unless
-    an earlier id has it. An empty table gives no rows.
+    are judged on the input. Rows of one id (or none) aren't before one another, whether their texts are equal or
+    not: each keeps its text unless an earlier id has it. An empty table gives no rows.
     """
     names = [id_col, *(keep or [])]
     inner = [f"_k{i}" for i in range(len(names))]
-    d = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NULL_ID)).alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    d = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)), F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NULL_ID)).alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")).withColumn("_name", F.xxhash64("_text"))
     kinds = ", ".join(f"{i} {d.schema[i].dataType.simpleString()}" for i in inner)
-    ranges = _ranges(d.select("_id", "_text"), window, gram, block)
-    ranges = saved(ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
-    test = bitmap(ranges.select(F.col("doc").alias("_id")), "_id")
+    ranges = _ranges(d.select("_id", "_name", "_text"), window, gram, block)
+    ranges = saved(ranges.groupBy("doc", "name").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "ranges")
+    test = bitmap(ranges.select(F.col("name").alias("_name")), "_name")
     bare = F.lit(None).cast("array<struct<first:bigint,last:bigint>>").alias("ranges")
     if test is None:
         both = d.select(*inner, "_text", bare)
     else:
-        both = d.where(~test).select(*inner, "_text", bare).unionByName(d.where(test).join(ranges, F.col("_id") == F.col("doc"), "left").select(*inner, "_text", "ranges"))
+        both = d.where(~test).select(*inner, "_text", bare).unionByName(d.where(test).join(ranges, (F.col("_id") == F.col("doc")) & (F.col("_name") == F.col("name")), "left").select(*inner, "_text", "ranges"))
     out = both.mapInArrow(_remove(window, inner), f"{kinds}, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>")
     return out.withColumnsRenamed(dict(zip(inner, names)))
