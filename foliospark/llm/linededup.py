@@ -1,213 +1,220 @@
-"""Line deduplication as an exact set-similarity join.
-
-A line's tokens are its distinct words. Tokens are ordered by rarity, prefix, length and positional filters give
-candidate pairs, their Jaccard similarity is computed, and every line with an earlier match goes. Lines are in
-the order of (document id, line number).
-
-Rarity comes from counts of all words in CELLS cells by word hash, a table of fixed size. Any order gives the same
-matches; rarer words first gives fewer candidates. Finding the words and ordering them is numpy code over Arrow
-batches (the all-DataFrame form took too much CPU time and disk, see README); joins, filters and the verification
-are DataFrame operations.
+"""Line deduplication as an exact set-similarity join, in DataFrame operations alone.
+
+A line's tokens are its distinct words (by 64-bit hash). The steps:
+
+1. lines: the sorted tokens of every line with a word, found once; equal sets are one class (128-bit name).
+2. rarity: words are counted over all lines in cells by hash; the number of cells follows the input up to MOST_CELLS.
+   Any order gives the same matches, rarer words first gives fewer candidates.
+3. heads: of each class the first line alone goes on, with its prefix in the order of rarity, numbered in the order of
+   (id, line number). All other lines of a class are later matches of it.
+4. candidates: heads that share a prefix token, if their sizes allow the similarity (length filter), if from the common
+   token on enough tokens are left (positional filter) and if 64-bit parity sketches of the two sets differ in no more
+   places than the sets may (a bound, so nothing is lost). First every head is held against the first head of each of
+   its tokens; lines that this settles need no other partner, so that a group of M alike lines costs about M pairs.
+5. verification of the Jaccard similarity by the words of both lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .lm import packed, unpacked
-from .setjoin import bitmap, hub_pairs, keys_of, rest_pairs, with_texts
-from .shared import saved
-from .words import NOT_SPACE, mix, slices, words_of
+from .setjoin import bitmap, long_literal
+from .shared import forget, release, saved
 
 NUM, DEN = 4, 5
-CELLS, CELL_BITS, PART = 1 << 22, 22, 1 << 16
-HEAVY = 1000
-_LINE_BITS = 24
-_NO_ID = -(1 << 38)
-
-
-def line_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct word hashes of each line with a word (ascending), each line's first, its row and its number there."""
-    w = words_of(column, NOT_SPACE)
-    breaks = np.flatnonzero(w.padded[:-8] == 10)
-    # the line of a word: line breaks before it; numbers start anew in each row
-    line = np.searchsorted(breaks, w.starts)
-    no = line - np.searchsorted(breaks, w.text_at[:-1])[w.row]
-    value = w.hashes()
-    order = np.lexsort((value, no, w.row))
-    row, no, value = w.row[order], no[order], value[order]
-    same_line = np.zeros(len(row), bool)
-    same_line[1:] = (row[1:] == row[:-1]) & (no[1:] == no[:-1])
-    keep = ~same_line
-    keep[1:] |= value[1:] != value[:-1]
-    row, no, value, opens = row[keep], no[keep], value[keep], ~same_line[keep]
-    first = np.append(np.flatnonzero(opens), len(row))
-    return value, first, row[first[:-1]], no[first[:-1]]
-
-
-def _numbers(batch: pa.RecordBatch, row: np.ndarray, no: np.ndarray) -> np.ndarray:
-    """The id and the line's number in one, in the order of both."""
-    if len(no) and no.max() >= 1 << _LINE_BITS:
-        raise ValueError("a text has too many lines")
-    return np.asarray(batch.column("_id").fill_null(_NO_ID), np.int64)[row] * (1 << _LINE_BITS) + no
-
-
-def _classes(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(value) + 1, np.uint64)
-    np.cumsum(mix(value), out=total[1:])
-    return mix(total[first[1:]] - total[first[:-1]] ^ mix(np.diff(first).astype(np.uint64))).view(np.int64)
-
-
-def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line (e, class), and at the end rows of packed cell counts (part, cells)."""
-    cells, names = np.zeros(CELLS, np.uint32), ["e", "class", "part", "cells"]
-    for batch in slices(batches, "_text"):
-        value, first, row, no = line_sets(batch.column("_text"))
-        cells += np.bincount((value >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-        n = len(row)
-        yield pa.RecordBatch.from_arrays([pa.array(_numbers(batch, row, no)), pa.array(_classes(value, first)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-    if cells.any():
-        n = CELLS // PART
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([packed(cells[i * PART : (i + 1) * PART]) for i in range(n)], pa.binary())], names=names)
-
-
-def _add(table: pa.Table) -> pa.Table:
-    """Frequency classes of a part's cells, four to a doubling."""
-    total = sum(unpacked(x, "<u4").astype(np.int64) for x in table.column("cells").to_pylist())
-    ranks = np.minimum(255, np.floor(4 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "ranks": pa.array([ranks.tobytes()], pa.binary()), "total": pa.array([int(total.sum())], pa.int64())})
-
-
-def _entries(ranks_b, limit: int, common: dict[int, int]):
-    """Prefix tokens of each line. Of a common class only the first line has any."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, hot = ranks_b.value, np.array(sorted(common), np.int64)
-        firsts = np.array([common[int(k)] for k in hot], np.int64)
-        for batch in slices(batches, "_text", 1 << 20):
-            value, first, row, no = line_sets(batch.column("_text"))
-            e, n = _numbers(batch, row, no), np.diff(first)
-            take = np.ones(len(n), bool)
-            if len(hot):
-                k = _classes(value, first)
-                at = np.minimum(np.searchsorted(hot, k), len(hot) - 1)
-                take = (hot[at] != k) | (firsts[at] == e)
-            line = np.repeat(np.arange(len(n)), n)
-            token = (ranks[(value >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(55)) | (mix(value) >> np.uint64(9))
-            token = token[np.lexsort((token, line))]
-            size = np.where(take, n - -(-NUM * n // DEN) + 1, 0)
-            own = np.repeat(np.arange(len(n)), size)
-            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            t = token[first[:-1][own] + pos]
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(e[own]), pa.array(n[own] << 32 | pos), pa.array((t >> np.uint64(55)) > limit)], names=["token", "key", "at", "heavy"])
-
-    return run
-
-
-def _live_entries(entries: DataFrame) -> DataFrame:
-    """Entries whose token more than one set has, once for each token and set, with the token's first set."""
-    once = lambda d: d.groupBy("token", "key").agg(*(F.min(c).alias(c) for c in ("at", "hub", "hub_at", "c")))
-    w = W.partitionBy("token")
-    light = entries.where("not heavy").select("token", "key", "at")
-    light = light.withColumns({"hub": F.min("key").over(w), "_z": F.max("key").over(w), "hub_at": F.min_by("at", "key").over(w), "c": F.count(F.lit(1)).over(w)}).where("hub <> _z").drop("_z")
-    heavy = entries.where("heavy").select("token", "key", "at")
-    top = heavy.groupBy("token").agg(F.min("key").alias("hub"), F.max("key").alias("_z"), F.min_by("at", "key").alias("hub_at"), F.count(F.lit(1)).alias("c")).where("hub <> _z").drop("_z")
-    return once(light).unionByName(once(heavy.join(top, "token")))
+#: A line has at least so many tokens if another, unequal one can match it.
+LEAST = DEN - 1
+MOST_CELLS, LEVEL_BITS = 1 << 21, 4
+#: Tokens that this many lines have are dealt to SALTS parts.
+HEAVY, SALTS = 1 << 16, 64
+_GAP = "[ \\t\\x0B\\x0C\\r]+"
 
 
 def _words(line: Column) -> Column:
-    """Words [^\\x20\\x09-\\x0D]+ of a line."""
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\x0c\r", "    "), " "), "")
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(e, line) of each line; docs: (_id, _text). e is the id and the line's number in one."""
-    line = docs.where(F.col("_text").isNotNull()).select("_id", F.posexplode(F.split("_text", "\n")).alias("_no", "line"))
-    e = F.coalesce(F.col("_id"), F.lit(_NO_ID)) * (1 << _LINE_BITS) + F.when(F.col("_no") < 1 << _LINE_BITS, F.col("_no")).otherwise(F.raise_error(F.lit("a text has too many lines")))
-    return line.select(e.alias("e"), "line")
-
-
-def _similar(docs: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The later line of each pair that is similar enough."""
-    keys = keys_of(pairs)
-    by_id, by_line = bitmap(keys.select(F.shiftright("key", _LINE_BITS).alias("_id")), "_id"), bitmap(keys.withColumnRenamed("key", "e"), "e")
-    if by_id is None:
-        return pairs.select(F.col("x").alias("key"))
-    lines = _lines(docs.where(by_id | F.col("_id").isNull())).where(by_line).select(F.col("e").alias("key"), F.col("line").alias("text"))
-    sets = with_texts(pairs, lines).select("x", "y", *(F.array_distinct(F.transform(_words(F.col(f"{c}_text")), lambda w: F.xxhash64(w))).alias(f"{c}_s") for c in "xy"))
-    both = sets.withColumn("_o", F.size(F.array_intersect("x_s", "y_s")))
-    return both.where(den * F.col("_o") >= num * (F.size("x_s") + F.size("y_s") - F.col("_o"))).select(F.greatest("x", "y").alias("key")).distinct()
-
-
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """e of every line that has an earlier match; docs: (_id bigint, _text)."""
-    summary = saved(docs.mapInArrow(_summary, "e bigint, class bigint, part int, cells binary"), "lines")
-    lines = summary.where("e is not null").select("e", "class")
-    ranks, total = np.zeros(CELLS, np.uint8), 0
-    for r in summary.where("part is not null").select("part", "cells").groupBy("part").applyInArrow(_add, "part int, ranks binary, total bigint").collect():  # CELLS bytes
-        ranks[r[0] * PART : (r[0] + 1) * PART] = np.frombuffer(r[1], np.uint8)
-        total += r[2]
-    classes = saved(lines.groupBy("class").agg(F.min("e").alias("first"), F.count(F.lit(1)).alias("c")), "classes")
-    n_lines = lines.count()
-    # of classes with a thousandth of the lines, a thousand at most, only the first line gives entries
-    common = {r[0]: r[1] for r in classes.where(F.col("c") > max(8, n_lines // HEAVY)).select("class", "first").collect()}
-    limit = int(4 * np.log2(max(2, 2 * total / CELLS + total / HEAVY / 10)))
-    entries = docs.mapInArrow(_entries(docs.sparkSession.sparkContext.broadcast(ranks), limit, common), "token bigint, key bigint, at bigint, heavy boolean")
-    live = saved(_live_entries(entries), "live")
-    copies = saved(lines.join(classes.where("c > 1").select("class", "first"), "class").where("e > first").select("e").distinct(), "copies")
-    one = hub_pairs(live, NUM, DEN).join(copies.withColumnRenamed("e", "x"), "x", "left_anti")
-    settled = saved(_similar(docs, saved(one, "pairs"), NUM, DEN).unionByName(copies.withColumnRenamed("e", "key")), "settled")
-    rest = saved(rest_pairs(live, settled.withColumn("g", F.col("key")), NUM, DEN, later_only=True), "pairs")
-    return settled.unionByName(_similar(docs, rest, NUM, DEN)).select(F.col("key").alias("e")).distinct()
-
-
-def _apart(d: DataFrame) -> DataFrame:
-    """Where one id (or none) has several texts, _id becomes the text's place in the order of (id, hash of the text);
-    otherwise the rows as they are. d: (_id bigint, _text, ...)."""
-    name = F.xxhash64("_text")
-    texts = d.where("_text is not null").select("_id", name.alias("_name"))
-    if not texts.groupBy("_id").agg(F.min("_name").alias("_a"), F.max("_name").alias("_z")).where("_a <> _z").take(1):
-        return d
-    # numbers in order: those of ranges of the sorted rows, moved up by the rows of the ranges before
-    texts = saved(texts.distinct().withColumn("_known", F.col("_id").isNotNull()).orderBy("_known", "_id", "_name").withColumn("_part", F.spark_partition_id()), "texts")
-    before, total = {}, 0
-    for r in texts.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
-        before[r[0]], total = total, total + r[1]
-    base = d.sparkSession.createDataFrame(list(before.items()), "_part int, _base bigint")
-    own = F.row_number().over(W.partitionBy("_part").orderBy("_known", "_id", "_name"))
-    numbers = texts.withColumn("_own", own).join(F.broadcast(base), "_part").select(F.col("_id").alias("_i"), F.col("_name").alias("_n"), (F.col("_base") + F.col("_own") - 1).alias("_number"))
-    same = F.col("_id").eqNullSafe(F.col("_i")) & (name == F.col("_n"))
-    return saved(d.join(saved(numbers, "numbers"), same, "left").withColumn("_id", F.col("_number")).drop("_i", "_n", "_number"), "apart")
-
-
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Sorted hashes of the distinct words [^\\x20\\x09-\\x0D]+ of a line."""
+    hashes = F.transform(F.split(line, _GAP), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
+
+
+def _lines(texts: DataFrame) -> DataFrame:
+    """(id, name, no, line) of each line with a word; texts: (id, name, text)."""
+    line = texts.where("text is not null").select("id", "name", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return line.where(F.col("line").rlike("[^ \\t\\x0B\\x0C\\r\\n]"))
+
+
+def _levels(lines: DataFrame) -> tuple[Column, int, int]:
+    """Packed frequency levels of all cells, the bits that name a cell, and the level from which tokens are heavy.
+    Level 0: only one line has a word of this cell."""
+    total = lines.agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_CELLS.bit_length() - 1, max(12, (total // 16).bit_length()))
+    cells = lines.select(F.explode("tokens").alias("token")).groupBy(F.shiftrightunsigned("token", 64 - bits).alias("cell")).agg(F.count(F.lit(1)).alias("c"))
+    cells = saved(cells, "cells")
+    top = math.log2(max(2, cells.agg(F.max("c")).first()[0] or 0))
+    most = (1 << LEVEL_BITS) - 1
+    level = F.ceil(F.log2("c") * (most / top) - 1e-9).cast("bigint")
+    each = 64 // LEVEL_BITS
+    word = F.expr(f"cast(cell div {each} as int)").alias("w")
+    part = F.call_function("shiftleft", level, F.pmod("cell", F.lit(each)).cast("int") * LEVEL_BITS)
+    table = {r[0]: r[1] for r in cells.select(word, part.alias("v")).groupBy("w").agg(F.bit_or("v")).collect()}  # MOST_CELLS / 16 numbers
+    forget(cells)
+    return long_literal([table.get(i, 0) for i in range((1 << bits) // each)]), bits, math.ceil(math.log2(HEAVY) * most / top - 1e-9)
+
+
+def _by_rarity(tokens: Column, table: Column, bits: int) -> Column:
+    """Tokens that start with their level, in order."""
+    each = (64 // LEVEL_BITS).bit_length() - 1
+
+    def one(t: Column) -> Column:
+        word = F.get(table, F.shiftrightunsigned(t, 64 - bits + each).cast("int"))
+        place = F.shiftrightunsigned(t, 64 - bits).bitwiseAND(F.lit((1 << each) - 1)).cast("int") * LEVEL_BITS
+        level = F.call_function("shiftrightunsigned", word, place).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
+        return F.shiftleft(level, 63 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(t, 1 + LEVEL_BITS))
+
+    return F.sort_array(F.transform(tokens, one))
+
+
+def _need(n: Column, m: Column) -> Column:
+    """Least number of common tokens: ceil(NUM * (n + m) / (NUM + DEN))."""
+    return F.floor((NUM * (n + m) + NUM + DEN - 1) / (NUM + DEN))
+
+
+def _fits(x: dict[str, Column], y: dict[str, Column]) -> Column:
+    """Length, positional and sketch filter."""
+    n, m = x["n"], y["n"]
+    need = _need(n, m)
+    return (
+        (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
+        & (F.least(n - x["pos"], m - y["pos"]) >= need)
+        & (F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= n + m - 2 * need)
+    )
+
+
+def _side(prefix: str) -> dict[str, Column]:
+    return {c: F.col(prefix + c) for c in ("n", "pos", "sketch")}
+
+
+def _heads(lines: DataFrame) -> tuple[DataFrame, int]:
+    """A row for each class: k in the order of lines, its first line, sizes, sketch and prefix; the level of heavy tokens."""
+    table, bits, heavy = _levels(lines)
+    n = F.col("n")
+    prefix = F.slice(_by_rarity(F.col("tokens"), table, bits), F.lit(1), F.when(n < LEAST, 0).otherwise(n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1))
+    sketch = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
+    rows = lines.select("c1", "c2", "n", "id", "name", "no", sketch.alias("sketch"), prefix.alias("prefix"))
+    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "name", "no")
+    heads = rows.groupBy("c1", "c2", "n", "sketch", "prefix").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    return saved(heads.orderBy("first").withColumn("k", F.monotonically_increasing_id()), "heads"), heavy
+
+
+def _live(heads: DataFrame, heavy: int) -> DataFrame:
+    """A row for each head and prefix token that another head has as well, its place in the token's group (no place in a
+    salted group), whether it is the last there, and `hub`, the group's first head, if the two may match."""
+    e = heads.select("k", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
+    level = F.shiftright("token", 63 - LEVEL_BITS)
+    e = e.where(level > 0).withColumn("salt", F.when(level >= heavy, 1 + F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0).cast("int"))
+    w = W.partitionBy("token", "salt").orderBy("k")
+    e = e.withColumns({"place": F.row_number().over(w), "last": F.lead("k").over(w).isNull(), **{f"h_{c}": F.first(c).over(w) for c in ("k", "n", "pos", "sketch")}})
+    e = e.where("salt > 0 or place > 1 or not last")
+    hub = F.when((F.col("place") > 1) & _fits(_side(""), _side("h_")), F.col("h_k"))
+    return saved(e.select("token", "k", "n", "pos", "sketch", F.when(F.col("salt") > 0, None).otherwise(F.col("place")).alias("place"), "last", hub.alias("hub")), "live")
+
+
+def _rest(live: DataFrame, settled: DataFrame) -> DataFrame:
+    """(x, y): heads that aren't settled and the earlier heads of their tokens, without the pairs with the first one."""
+    x = live.where("place is null or place > 2")
+    done = bitmap(settled, "k")
+    if done is not None:
+        x = x.where(~done).unionByName(x.where(done).join(settled, "k", "left_anti").select(*x.columns))
+    y = live.where("place is null or (place > 1 and not last)")
+    x = x.select("token", *(F.col(c).alias(f"x_{c}") for c in ("k", "n", "pos", "sketch")))
+    y = y.select("token", *(F.col(c).alias(f"y_{c}") for c in ("k", "n", "pos", "sketch")))
+    return x.join(y, "token").where((F.col("y_k") < F.col("x_k")) & _fits(_side("x_"), _side("y_"))).select(F.col("x_k").alias("x"), F.col("y_k").alias("y")).distinct()
+
+
+def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
+    """k of each x whose pair is similar enough; the words come from the lines themselves."""
+    pairs = saved(pairs, "pairs")
+    keys = pairs.select(F.explode(F.array("x", "y")).alias("k")).distinct()
+    lines = saved(heads.join(keys, "k").select("k", F.col("first.id").alias("i"), F.col("first.name").alias("name"), F.col("first.no").alias("no")), "candidates")
+    test = bitmap(lines.select(F.col("i").alias("id"), "name").distinct(), "id", "name")
+    if test is None:
+        return pairs.select(F.col("x").alias("k"))
+    own = _lines(texts.where(test)).withColumnsRenamed({"name": "_name", "no": "_no"})
+    found = own.join(lines, F.col("id").eqNullSafe(F.col("i")) & (F.col("_name") == F.col("name")) & (F.col("_no") == F.col("no"))).select("k", "line").dropDuplicates(["k"])
+    sets = saved(found.select("k", _words(F.col("line")).alias("tokens")), "sets")
+    both = pairs.join(sets.select(F.col("k").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("k").alias("y"), F.col("tokens").alias("b")), "y")
+    both = both.select("x", F.size("a").alias("n"), F.size("b").alias("m"), F.size(F.array_intersect("a", "b")).alias("o"))
+    out = saved(both.where(DEN * F.col("o") >= NUM * (F.col("n") + F.col("m") - F.col("o"))).select(F.col("x").alias("k")).distinct(), "settled")
+    forget(pairs, lines, sets)
+    release(texts.sparkSession)
+    return out
+
+
+def removed_lines(texts: DataFrame) -> DataFrame:
+    """(id, name, no) of every line that has an earlier match; texts: (id, name, text), name a hash of the text."""
+    spark = texts.sparkSession
+    tokens = _lines(texts).select("id", "name", "no", _words(F.col("line")).alias("tokens"))
+    tokens = tokens.select("id", "name", "no", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("c1"), F.xxhash64(F.lit(1), "tokens").alias("c2"), "tokens")
+    # a few words make most of a text: a dictionary takes a quarter of the place
+    lines = saved(tokens, "lines", **{"parquet.dictionary.page.size": str(64 << 20)})
+    heads, heavy = _heads(lines)
+    small = saved(lines.select("id", "name", "no", "c1", "c2"), "places")
+    forget(lines)
+    release(spark)
+    live = _live(heads, heavy)
+    all_heads, heads = heads, saved(heads.select("k", "c1", "c2", "first", "c"), "heads")
+    forget(all_heads)
+    release(spark)
+    one = _verified(texts, heads, live.where("hub is not null").select(F.col("k").alias("x"), F.col("hub").alias("y")).distinct())
+    two = _verified(texts, heads, _rest(live, one))
+    forget(live)
+    release(spark)
+    later = heads.join(one.unionByName(two), "k").select(F.col("first.id").alias("id"), F.col("first.name").alias("name"), F.col("first.no").alias("no"))
+    own = F.struct("id", "name", "no")
+    copies = small.join(heads.where("c > 1").select("c1", "c2", F.struct("first.id", "first.name", "first.no").alias("head")), ["c1", "c2"]).where(~own.eqNullSafe(F.col("head")))
+    gone = saved(copies.select("id", "name", "no").unionByName(later), "gone")
+    forget(small, heads, one, two)
+    return gone
+
+
+def _blocks(gone: DataFrame) -> DataFrame:
+    """(i, n, gone): bits of the removed lines of each text, 64 lines to a number."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("no", F.lit(64)).cast("int"))
+    rows = gone.groupBy("id", "name", F.expr("no div 64").alias("b")).agg(F.bit_or(bit).alias("v"))
+    rows = rows.groupBy("id", "name").agg(F.sort_array(F.collect_list(F.struct("b", "v"))).alias("found"))  # one text's
+    gap = lambda s, i: s["b"] - F.when(i > 0, F.get("found", i - 1)["b"]).otherwise(-1) - 1
+    dense = F.flatten(F.transform("found", lambda s, i: F.concat(F.array_repeat(F.lit(0).cast("bigint"), gap(s, i).cast("int")), F.array(s["v"]))))
+    return rows.select(F.col("id").alias("i"), F.col("name").alias("n"), dense.alias("gone"))
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", count_as: str = "n_lines_removed") -> DataFrame:
     """The rows of `docs` with all their columns, without the lines that match an earlier line, and n_lines_removed.
 
-    Two lines match where the Jaccard similarity of their sets of words is 0.8 or more. Lines without a
-    word stay. A null text stays null, an empty one empty. The id must be an integer below 2**38; a null id
-    comes first of all. Rows of one id (or none) with different texts are documents of their own, in the order of a
-    hash of their texts; rows with the same id and text are treated alike.
+    Two lines match where the Jaccard similarity of their sets of words is 0.8 or more. Lines without a word stay. A
+    null text stays null, an empty one empty. Ids are of any type with an order; a null id comes first of all. Rows of
+    one id (or none) with different texts are documents of their own, in the order of a hash of their texts; rows with
+    the same id and text are treated alike. A text may have any number of lines. Where `docs` has a column called
+    n_lines_removed (or `count_as`), that one stays, and the new one gets underscores at its end. An empty table gives no rows.
     """
-    d = docs.withColumns({"_id": F.col(f"`{id_col}`").cast("bigint"), "_text": F.col(f"`{text_col}`").cast("string")})
-    d = _apart(d)
-    gone = removed_lines(d.select("_id", "_text"))
-    gone = gone.distinct().groupBy(F.shiftright("e", _LINE_BITS).alias("_id")).agg(F.collect_list(F.pmod("e", F.lit(1 << _LINE_BITS)).cast("int")).alias("_gone"))
-    gone = saved(gone, "gone")
-    gone = gone.withColumn("_id", F.when(F.col("_id") != _NO_ID, F.col("_id")))
-    test = bitmap(gone.where("_id is not null"), "_id")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    if test is None and not gone.take(1):
-        return docs.withColumn("n_lines_removed", F.lit(0))
-    test = F.col("_id").isNull() if test is None else F.coalesce(test, F.lit(False)) | F.col("_id").isNull()
-    same = d.where(~test).select(*columns, F.lit(0).alias("n_lines_removed"))
-    hit = d.where(test).alias("d").join(gone.alias("g"), F.col("d._id").eqNullSafe(F.col("g._id")), "left")
-    text = F.when(F.col("_gone").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(F.array_join(F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
-    n = F.when(F.col("_text").isNull(), F.lit(0)).otherwise(F.coalesce(F.size("_gone"), F.lit(0)))
-    hit = hit.select(*(text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns), n.alias("n_lines_removed"))
-    return same.unionByName(hit)
+    taken = {c.lower() for c in docs.columns}
+    while count_as.lower() in taken:
+        count_as += "_"
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    d = d.withColumn("name", F.xxhash64("text"))
+    gone = removed_lines(d.select("id", "name", "text"))
+    blocks = saved(_blocks(gone), "blocks")
+    forget(gone)
+    release(docs.sparkSession)
+    out = lambda rows, text, n: rows.select(*((text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns), n.cast("int").alias(count_as))
+    test = bitmap(blocks.select(F.col("i").alias("id"), F.col("n").alias("name")), "id", "name")
+    if test is None:
+        return out(d, F.col("text"), F.lit(0))
+    same = out(d.where(~test), F.col("text"), F.lit(0))
+    hit = d.where(test).join(blocks, F.col("id").eqNullSafe(F.col("i")) & (F.col("name") == F.col("n")), "left")
+    is_gone = lambda x, i: F.coalesce(F.call_function("shiftrightunsigned", F.get("gone", F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1).cast("bigint")), F.lit(0).cast("bigint")) == 1
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~is_gone(x, i)), "\n"))
+    n = F.coalesce(F.aggregate("gone", F.lit(0), lambda a, v: a + F.bit_count(v)), F.lit(0))
+    return same.unionByName(out(hit, text, n))

@@ -144,22 +144,27 @@ def keys_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
 
 
-BITS = 1 << 20
+MOST_BITS = 1 << 22
 MANY = 1000
 SALTS = 64
 
 
-def bitmap(keys: DataFrame, column: str) -> Column | None:
-    """A test of the like-named column that is true for all of `keys` and few others; None where there are no keys.
+def long_literal(values: list[int]) -> Column:
+    """An array constant; for tables of a bounded size."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)")
 
-    The bitmap has BITS bits whatever the input; when it fills up, the test only saves less.
+
+def bitmap(keys: DataFrame, *columns: str) -> Column | None:
+    """A test of the like-named columns that is true for all of `keys` and few others; None where there are no keys.
+
+    It has eight bits or more a key, MOST_BITS at most (half a MB); beyond some million keys the test saves less and less.
     """
-    bit = F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
-    words = keys.select(bit.alias("b")).distinct().selectExpr("cast(b div 64 as int) w", "shiftleft(1L, b % 64) v").groupBy("w").agg(F.bit_or("v").alias("v")).collect()
-    if not words:
+    n = keys.count()
+    if not n:
         return None
-    full = [0] * (BITS // 64)
-    for r in words:
-        full[r[0]] = r[1]
-    table = F.expr(f"cast(split('{','.join(map(str, full))}', ',') as array<bigint>)")
-    return F.getbit(F.get(table, (bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")) == 1
+    bits = min(MOST_BITS, 1 << max(10, (8 * n).bit_length()))
+    bit = F.pmod(F.xxhash64(*columns), F.lit(bits)).cast("int")
+    words = keys.select(bit.alias("b")).distinct().selectExpr("cast(b div 64 as int) w", "shiftleft(1L, b % 64) v").groupBy("w").agg(F.bit_or("v").alias("v")).collect()
+    found = {r[0]: r[1] for r in words}
+    table = long_literal([found.get(i, 0) for i in range(bits // 64)])
+    return F.getbit(F.get(table, F.shiftright(bit, 6)), bit.bitwiseAND(F.lit(63))) == 1

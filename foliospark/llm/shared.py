@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -13,28 +14,53 @@ _made: dict[SparkSession, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset a temporary folder (one machine only)."""
+    """spark.checkpoint.dir. Where that is unset, a session on this machine alone (tests) gets a temporary folder; any other an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them again, which cuts the lineage. Removed when Python ends."""
+def saved(df: DataFrame, name: str, **options) -> DataFrame:
+    """Writes the rows as Parquet in the shared folder and reads them again, which cuts the lineage.
+
+    Shuffle files that nothing refers to any more can go then. The table goes with `forget`, at the latest when Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     if spark not in _made:
         atexit.register(_remove, spark)
     _made.setdefault(spark, []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that `saved` made and that no later query reads; others stay as they are."""
+    for t in tables:
+        path = t.__dict__.get("saved_at")
+        if path and path in _made.get(t.sparkSession, []):
+            _delete(t.sparkSession, path)
+            _made[t.sparkSession].remove(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find the shuffle files of queries that have ended."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove(spark: SparkSession) -> None:
     with contextlib.suppress(Exception):
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
         for path in _made.pop(spark, []):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(spark, path)
