@@ -8,7 +8,7 @@ A line's tokens are its distinct words (by 64-bit hash). The steps:
 3. heads: of each class the first line alone goes on, with its prefix in the order of rarity, numbered in the order of
    (id, line number). All other lines of a class are later matches of it.
 4. candidates: heads that share a prefix token, if their sizes allow the similarity (length filter), if from the common
-   token on enough tokens are left (positional filter) and if 64-bit parity sketches of the two sets differ in no more
+   token on enough tokens are left (positional filter) and if parity sketches (64 bits, 128 for long lines) of the two sets differ in no more
    places than the sets may (a bound, so nothing is lost). First every head is held against the first head of each of
    its tokens; lines that this settles need no other partner, so that a group of M alike lines costs about M pairs.
 5. verification of the Jaccard similarity by the words of both lines.
@@ -31,6 +31,8 @@ LEAST = DEN - 1
 MOST_CELLS, LEVEL_BITS = 1 << 21, 4
 #: Tokens that this many lines have are dealt to SALTS parts.
 HEAVY, SALTS = 1 << 16, 64
+#: Lines of more tokens have a sketch of one half of their tokens as well, which makes it two of 64 bits.
+WIDE = 64
 _GAP = "[ \\t\\x0B\\x0C\\r]+"
 
 
@@ -70,7 +72,7 @@ def _by_rarity(tokens: Column, table: Column, bits: int) -> Column:
 
     def one(t: Column) -> Column:
         word = F.get(table, F.shiftrightunsigned(t, 64 - bits + each).cast("int"))
-        place = F.shiftrightunsigned(t, 64 - bits).bitwiseAND(F.lit((1 << each) - 1)).cast("int") * LEVEL_BITS
+        place = F.shiftrightunsigned(t, 62 - bits).bitwiseAND(F.lit(60)).cast("int")  # 4 bits for each of 16 cells
         level = F.call_function("shiftrightunsigned", word, place).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
         return F.shiftleft(level, 63 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(t, 1 + LEVEL_BITS))
 
@@ -82,19 +84,29 @@ def _need(n: Column, m: Column) -> Column:
     return F.floor((NUM * (n + m) + NUM + DEN - 1) / (NUM + DEN))
 
 
-def _fits(x: dict[str, Column], y: dict[str, Column]) -> Column:
-    """Length, positional and sketch filter."""
-    n, m = x["n"], y["n"]
+def _at(n: Column, pos: Column) -> Column:
+    """A set's size and a token's place in one number."""
+    return F.shiftleft(n.cast("bigint"), 32).bitwiseOR(pos.cast("bigint"))
+
+
+def _fits(x: str, y: str) -> Column:
+    """Length, positional and sketch filter for columns of these prefixes."""
+    n, m = (F.shiftright(f"{c}at", 32).cast("int") for c in (x, y))
+    left, more = (size - F.col(f"{c}at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for size, c in ((n, x), (m, y)))
     need = _need(n, m)
-    return (
-        (DEN * F.least(n, m) >= NUM * F.greatest(n, m))
-        & (F.least(n - x["pos"], m - y["pos"]) >= need)
-        & (F.bit_count(x["sketch"].bitwiseXOR(y["sketch"])) <= n + m - 2 * need)
-    )
+    all_, half = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("s1", "s2"))
+    differ = F.when(F.least(n, m) > WIDE, F.bit_count(half) + F.bit_count(all_.bitwiseXOR(half))).otherwise(F.bit_count(all_))
+    return (DEN * F.least(n, m) >= NUM * F.greatest(n, m)) & (F.least(left, more) >= need) & (differ <= n + m - 2 * need)
+
+
+_SET = ("k", "at", "s1", "s2")
 
 
-def _side(prefix: str) -> dict[str, Column]:
-    return {c: F.col(prefix + c) for c in ("n", "pos", "sketch")}
+def _parity(tokens: Column) -> Column:
+    """A number whose bit i says if the tokens with i in their lowest six bits are odd in number."""
+    one = F.lit(1).cast("bigint")
+    # a shift takes the lower six bits of its distance
+    return F.aggregate(tokens, F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
 
 
 def _heads(lines: DataFrame) -> tuple[DataFrame, int]:
@@ -102,24 +114,24 @@ def _heads(lines: DataFrame) -> tuple[DataFrame, int]:
     table, bits, heavy = _levels(lines)
     n = F.col("n")
     prefix = F.slice(_by_rarity(F.col("tokens"), table, bits), F.lit(1), F.when(n < LEAST, 0).otherwise(n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1))
-    sketch = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))))
-    rows = lines.select("c1", "c2", "n", "id", "name", "no", sketch.alias("sketch"), prefix.alias("prefix"))
+    half = F.when(n > WIDE, _parity(F.filter("tokens", lambda t: t.bitwiseAND(F.lit(64)) > 0))).otherwise(0).cast("bigint")
+    rows = lines.select("c1", "c2", "n", "id", "name", "no", _parity(F.col("tokens")).alias("s1"), half.alias("s2"), prefix.alias("prefix"))
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "name", "no")
-    heads = rows.groupBy("c1", "c2", "n", "sketch", "prefix").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
+    heads = rows.groupBy("c1", "c2", "n", "s1", "s2", "prefix").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c"))
     return saved(heads.orderBy("first").withColumn("k", F.monotonically_increasing_id()), "heads"), heavy
 
 
 def _live(heads: DataFrame, heavy: int) -> DataFrame:
     """A row for each head and prefix token that another head has as well, its place in the token's group (no place in a
     salted group), whether it is the last there, and `hub`, the group's first head, if the two may match."""
-    e = heads.select("k", "n", "sketch", F.posexplode("prefix").alias("pos", "token"))
+    e = heads.select("k", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "token"))
     level = F.shiftright("token", 63 - LEVEL_BITS)
-    e = e.where(level > 0).withColumn("salt", F.when(level >= heavy, 1 + F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0).cast("int"))
+    e = e.where(level > 0).select("token", F.when(level >= heavy, 1 + F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), "k", _at(F.col("n"), F.col("pos")).alias("at"), "s1", "s2")
     w = W.partitionBy("token", "salt").orderBy("k")
-    e = e.withColumns({"place": F.row_number().over(w), "last": F.lead("k").over(w).isNull(), **{f"h_{c}": F.first(c).over(w) for c in ("k", "n", "pos", "sketch")}})
+    e = e.withColumns({"place": F.row_number().over(w), "last": F.lead("k").over(w).isNull(), **{f"h_{c}": F.first(c).over(w) for c in _SET}})
     e = e.where("salt > 0 or place > 1 or not last")
-    hub = F.when((F.col("place") > 1) & _fits(_side(""), _side("h_")), F.col("h_k"))
-    return saved(e.select("token", "k", "n", "pos", "sketch", F.when(F.col("salt") > 0, None).otherwise(F.col("place")).alias("place"), "last", hub.alias("hub")), "live")
+    hub = F.when((F.col("place") > 1) & _fits("", "h_"), F.col("h_k"))
+    return saved(e.select("token", *_SET, F.when(F.col("salt") > 0, None).otherwise(F.col("place")).alias("place"), "last", hub.alias("hub")), "live")
 
 
 def _rest(live: DataFrame, settled: DataFrame) -> DataFrame:
@@ -129,9 +141,9 @@ def _rest(live: DataFrame, settled: DataFrame) -> DataFrame:
     if done is not None:
         x = x.where(~done).unionByName(x.where(done).join(settled, "k", "left_anti").select(*x.columns))
     y = live.where("place is null or (place > 1 and not last)")
-    x = x.select("token", *(F.col(c).alias(f"x_{c}") for c in ("k", "n", "pos", "sketch")))
-    y = y.select("token", *(F.col(c).alias(f"y_{c}") for c in ("k", "n", "pos", "sketch")))
-    return x.join(y, "token").where((F.col("y_k") < F.col("x_k")) & _fits(_side("x_"), _side("y_"))).select(F.col("x_k").alias("x"), F.col("y_k").alias("y")).distinct()
+    x = x.select("token", *(F.col(c).alias(f"x_{c}") for c in _SET))
+    y = y.select("token", *(F.col(c).alias(f"y_{c}") for c in _SET))
+    return x.join(y, "token").where((F.col("y_k") < F.col("x_k")) & _fits("x_", "y_")).select(F.col("x_k").alias("x"), F.col("y_k").alias("y")).distinct()
 
 
 def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
