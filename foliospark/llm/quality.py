@@ -2,8 +2,12 @@
 
 Lines are described by numeric features; Viterbi decoding finds the best label sequence of each document, and
 the share of words in content lines decides whether the document stays. The field is fitted by maximum
-likelihood on a bounded sample of labelled documents (TRAIN_ROWS, texts of at most TRAIN_CHARS), whose lines
-take their document's label; everything else covers all rows and whole texts.
+likelihood on a bounded sample of labelled documents (TRAIN_ROWS, texts of at most TRAIN_CHARS); everything else covers
+all rows and whole texts.
+
+Labels are given for documents, the field learns them for lines. Lines of bad documents are boilerplate; lines of good
+ones are content, but for those that repeat their own text. So that the field sees where labels change, runs of lines
+of bad documents are also set into good ones (a run in each good document of two lines or more).
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.sql import functions as F
 from .words import NOT_SPACE, Words, covered, gram_hashes, mix, slices, span_hashes, sums, words_of
 
 TRAIN_ROWS, TRAIN_CHARS, SEGMENT = 1500, 20_000, 32
+#: Lines of a run that is set into a good document; share of words in repeated windows from which a line repeats its text.
+SPLICED, MOST_REPEATED = 6, 0.5
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT, CONTENT_SHARE = 10, 5, 20, 0.5
 FEATURES = ("bias", "symbols", "upper", "digits", "marks", "log_words", "repeated", "duplicate", "no_stop", "windows")
 
@@ -175,7 +181,7 @@ class Field:
 def fit_field(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_CHARS) -> Field:
     """A field fitted on at most `train_rows` labelled documents, chosen by a hash of their id.
 
-    Rows without label, id or text and texts over `train_chars` aren't used. Without examples of both labels
+    Rows without label, id or text and texts over `train_chars` aren't used; lines learn from them as `_sequences` says. Without examples of both labels
     the plain field is returned, which takes every line as content.
     """
     ids = labels.select(F.col(f"`{id_col}`").alias("_i"), F.col(f"`{label_col}`").cast("int").alias("_y")).where("_i is not null and _y in (0, 1)").groupBy("_i").agg(F.max("_y").alias("_y"))
@@ -184,15 +190,26 @@ def fit_field(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
     rows = sorted((str(r[0]), r[1], r[2]) for r in d.join(F.broadcast(ids), "_i").select("_i", "_y", "_t").limit(2 * train_rows).collect())
     if len({y for _, y, _ in rows}) < 2:
         return Field.plain()
-    found = lines_of(pa.array([t for _, _, t in rows], pa.string()))
-    y = np.repeat([y for _, y, _ in rows], np.diff(found.first))
-    edges = np.concatenate([np.arange(a, z, SEGMENT) for a, z in zip(found.first[:-1], found.first[1:])])
-    sizes = np.diff(np.append(edges, found.first[-1]))
-    x = np.zeros((len(edges), SEGMENT, len(FEATURES)))
-    t = np.full((len(edges), SEGMENT), -1)
-    for k, (a, n) in enumerate(zip(edges.tolist(), sizes.tolist())):
-        x[k, :n], t[k, :n] = found.features[a : a + n], y[a : a + n]
-    return Field.fit(x, t)
+    return Field.fit(*_sequences(lines_of(pa.array([t for _, _, t in rows], pa.string())), np.array([y for _, y, _ in rows])))
+
+
+def _sequences(found: Lines, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training sequences of at most SEGMENT lines and their labels, -1 after the end; good: 1 or 0 for each document."""
+    x = found.features
+    repeats = (x[:, FEATURES.index("duplicate")] > 0) | (x[:, FEATURES.index("windows")] > MOST_REPEATED)
+    y = np.where(repeats, 0, np.repeat(good, np.diff(found.first)))
+    docs = [np.arange(a, z) for a, z in zip(found.first[:-1].tolist(), found.first[1:].tolist())]
+    bad = [d for d, g in zip(docs, good) if not g]
+    made = list(docs)
+    for k, d in enumerate(d for d, g in zip(docs, good) if g and len(d) > 1):
+        run = bad[k % len(bad)][: 1 + k % SPLICED]
+        cut = 1 + k % (len(d) - 1)
+        made.append(np.concatenate([d[:cut], run, d[cut:]]))
+    parts = [d[i : i + SEGMENT] for d in made for i in range(0, len(d), SEGMENT)]
+    xs, ys = np.zeros((len(parts), SEGMENT, x.shape[1])), np.full((len(parts), SEGMENT), -1)
+    for k, d in enumerate(parts):
+        xs[k, : len(d)], ys[k, : len(d)] = x[d], y[d]
+    return xs, ys
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
