@@ -325,7 +325,7 @@ def test_filter_levels():
 
     keys = lm.mix(np.arange(1, 20001).astype(np.uint64))
     counts = np.random.default_rng(2).zipf(1.5, 20000).clip(max=10**6)
-    f = lm.Filter([lm.Filter.part(keys[:10000], counts[:10000])])
+    f = lm.Filter([lm.Filter.part(keys[:10000], counts[:10000], 8)], 8)
     got = f.levels(keys, np.zeros(20000, int))
     want = np.searchsorted(lm.THRESHOLDS, counts, "right")
     assert (got[:10000] >= want[:10000]).all() and (got[:10000] == want[:10000]).mean() > 0.97
