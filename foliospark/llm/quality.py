@@ -91,7 +91,7 @@ def lines_of(column: pa.Array) -> Lines:
     repeat_line = sums(repeat, np.append(a, len(h))) if n else np.zeros(0, np.int64)
     last = data[np.maximum(w.starts[np.maximum(z - 1, 0)] + w.lens[np.maximum(z - 1, 0)] - 1, 0)] if len(h) else np.zeros(n, np.uint8)
     x = np.stack(
-        [np.ones(n), share(SYMBOLS, size), share(UPPER, size * share(LETTER, size)), share(DIGITS, size), share(MARKS, size), np.log1p(words) / 4, again / np.maximum(words, 1), duplicate.astype(float), np.where(words > 0, ~STOPS[last], 1.0), repeat_line / np.maximum(words, 1)],
+        [np.ones(n), np.minimum(1, 20 * share(SYMBOLS, size)), share(UPPER, size * share(LETTER, size)), np.minimum(1, 5 * share(DIGITS, size)), np.minimum(1, 20 * share(MARKS, size)), np.log1p(words) / 4, again / np.maximum(words, 1), duplicate.astype(float), np.where(words > 0, ~STOPS[last], 1.0), repeat_line / np.maximum(words, 1)],
         axis=1,
     ) if n else np.zeros((0, len(FEATURES)))
     points = np.concatenate([[0], np.cumsum(NOT_SPACE[data] & ~CONTINUES[data], dtype=np.int64)])

@@ -16,7 +16,7 @@ def test_lines_of_one_document_get_both_labels(spark):
     made = [(k, f"{g}\n{half(b, 1)}", 0) for k, (g, b) in enumerate(zip(good, bad))] + [(100 + k, f"{half(g, 1)}\n{b}", 1) for k, (g, b) in enumerate(zip(good, bad))]
     got = quality.judge_quality(spark.createDataFrame([(d, t) for d, t, _ in made], "doc_id long, text string"), field).where("not base_failed").collect()
     mixed = [r for r in got if 0 < r.content_words < r.n_words]
-    assert len(mixed) > 0.6 * len(got) > 10
+    assert len(mixed) > 0.5 * len(got) > 10
     # the share decides, and it isn't 0 or 1
     assert {r.kept for r in mixed} == {True, False}
     assert all(r.kept == (r.content_words >= quality.CONTENT_SHARE * r.n_words) for r in got)
