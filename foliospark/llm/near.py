@@ -1,15 +1,18 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document's set holds the hashes of its distinct 5-word shingles, ordered by corpus frequency, rare ones first.
-Sets of Jaccard 0.75 or more share a token of their base prefixes, which gives candidates. Where a document's
-prefix tokens are common, so that candidates would be many, its prefix is lengthened by l - 1 tokens, and a pair
-must share min(l) tokens of both prefixes before its sets are compared as a whole.
+Sets of Jaccard 0.75 or more share a token of their base prefixes, and l tokens of prefixes that are l - 1 tokens longer.
+How many documents have each prefix token is counted, which says how many candidates a document's base prefix brings; l
+grows with their mean (`matches`). A pair must share min(l) tokens of its two prefixes of that length before any text is
+read and its sets are compared as a whole.
 
-Frequencies are counted over all documents in CELLS cells by hash, a table of fixed size. Equal sets are one class.
+The order comes from counts over all documents in CELLS cells by hash, a table of fixed size; any order gives the same
+links. Equal sets are one class.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .setjoin import bitmap, hub_pairs, keys_of, live_entries, rest_pairs, with_texts
-from .shared import saved
-from .words import NOT_SPACE, gram_hashes, lists, mix, slices, words_of
+from .lm import packed, unpacked
+from .setjoin import bitmap, hub_pairs, keys_of, left_of, live_entries, prefix_size, rest_pairs, size_of, with_texts
+from .shared import forget, saved
+from .words import NOT_SPACE, gram_hashes, mix, slices, words_of
 
 NUM, DEN, SHINGLE = 3, 4, 5
-CELLS, CELL_BITS, RANK_BITS = 1 << 18, 18, 9
+CELLS, CELL_BITS, RANK_BITS, PART = 1 << 22, 22, 8, 1 << 16
 HEAVY = 1000
-MOST_MATCHES = 4
+#: Most tokens that prefixes must share; candidates of a prefix token that are usual; one more token for each factor STEP.
+MOST_MATCHES, USUAL, STEP = 4, 2, 2
 
 
 def shingle_sets(column: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -60,26 +65,32 @@ def _signature(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (doc, key, n), and at the end rows of cell counts (n is -1, cells from doc on)."""
-    cells, part = np.zeros(CELLS, np.int64), 4096
-    kind = pa.list_(pa.int64())
+    """A row for each document (doc, key, n), and at the end rows of packed cell counts (n is -1, doc the part)."""
+    cells = np.zeros(CELLS, np.uint32)
     for batch in slices(batches, "_text"):
         value, first = shingle_sets(batch.column("_text"))
-        cells += np.bincount((value >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(_signature(value, first).view(np.int64)), pa.array(np.diff(first), pa.int64()), pa.nulls(batch.num_rows, kind)], names=["doc", "key", "n", "cells"])
+        cells += np.bincount((value >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(_signature(value, first).view(np.int64)), pa.array(np.diff(first), pa.int64()), pa.nulls(batch.num_rows, pa.binary())], names=["doc", "key", "n", "cells"])
     if cells.any():
-        at = np.arange(0, CELLS, part)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array(np.full(len(at), -1)), lists(cells, np.arange(0, CELLS + 1, part), pa.int64())], names=["doc", "key", "n", "cells"])
+        at = np.arange(CELLS // PART)
+        parts = [packed(cells[i * PART : (i + 1) * PART]) for i in at]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(at), pa.array(np.full(len(at), -1)), pa.array(parts, pa.binary())], names=["doc", "key", "n", "cells"])
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """Frequency classes of a part's cells, and the sum of its counts."""
+    total = sum(unpacked(x, "<u4").astype(np.int64) for x in table.column("cells").to_pylist())
+    return pa.table({"part": pa.array([table.column("doc")[0].as_py()], pa.int64()), "ranks": pa.array([_ranks(total).tobytes()], pa.binary()), "total": pa.array([int(total.sum())], pa.int64())})
 
 
 def _ranks(counts: np.ndarray) -> np.ndarray:
-    """Frequency classes 0 to 511, eight to a doubling."""
-    return np.minimum(511, np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint64)
+    """Frequency classes 0 to 255, four to a doubling."""
+    return np.minimum(255, np.floor(4 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
 def _ordered(value: np.ndarray, first: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The same sets with tokens that sort by frequency class, then hash (its lower bits are kept)."""
-    token = (ranks[(value >> np.uint64(64 - CELL_BITS)).astype(np.int64)] << np.uint64(63 - RANK_BITS)) | (mix(value) >> np.uint64(1 + RANK_BITS))
+    token = (ranks[(value >> np.uint64(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63 - RANK_BITS)) | (mix(value) >> np.uint64(1 + RANK_BITS))
     order = np.lexsort((token, _row_of(first)))
     return token[order]
 
@@ -88,18 +99,9 @@ def _base(n: np.ndarray) -> np.ndarray:
     return n - -(-NUM * n // DEN) + 1
 
 
-def _matches(token: np.ndarray, first: np.ndarray, usual: float) -> np.ndarray:
-    """How many tokens a document's prefix must share: one more for each factor 8 of its mean candidates over the usual."""
-    n = np.diff(first)
-    base = np.where(n > 0, _base(n), 0)
-    freq = np.exp2((token >> np.uint64(63 - RANK_BITS)).astype(np.float64) / 8)
-    total = np.concatenate([[0], np.cumsum(freq)])
-    cost = (total[first[:-1] + base] - total[first[:-1]]) / np.maximum(base, 1)
-    more = np.floor(np.log2(np.maximum(cost / max(usual, 1), 1)) / 3).astype(np.int64)
-    return np.minimum(1 + more, np.minimum(MOST_MATCHES, np.maximum(n - base + 1, 1)))
+def _entries(ranks_b, limit: int, common: dict[int, int], most: int):
+    """Tokens of each document's longest prefix, of `most` - 1 tokens more than the base prefix."""
 
-
-def _entries(ranks_b, limit: int, common: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_b.value
         hot = np.array(sorted(common), np.int64)
@@ -112,7 +114,7 @@ def _entries(ranks_b, limit: int, common: dict[int, int]):
             for i in np.flatnonzero(np.isin(key, hot)).tolist() if len(hot) else ():
                 take[i] &= ids[i] == common[int(key[i])]
             token = _ordered(value, first, ranks)
-            size = np.where(take, _base(n), 0)
+            size = np.where(take, np.minimum(n, _base(n) + most - 1), 0)
             row = np.repeat(np.arange(len(n)), size)
             pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             t = token[first[:-1][row] + pos]
@@ -122,40 +124,31 @@ def _entries(ranks_b, limit: int, common: dict[int, int]):
     return run
 
 
-def _similar(ranks_b, usual: float):
-    """Pairs whose prefixes share as many tokens as they must, and whose sets are then similar enough."""
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets are similar enough."""
+    for batch in slices(batches, "x_text", 1 << 20):
+        (a, fa), (b, fb) = (shingle_sets(batch.column(name)) for name in ("x_text", "y_text"))
+        row, value = np.concatenate([_row_of(fa), _row_of(fb)]), np.concatenate([a, b])
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+        both = np.bincount(row[1:][twice], minlength=batch.num_rows)
+        ok = DEN * both >= NUM * (np.diff(fa) + np.diff(fb) - both)
+        yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(ok)), batch.column("y").filter(pa.array(ok))], names=["x", "y"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = ranks_b.value
-
-        def common(x, y, most_x, most_y) -> np.ndarray:
-            """Common tokens of each row's first most_x and most_y tokens."""
-            (a, fa), (b, fb) = x, y
-            ka, kb = np.arange(len(a)) - fa[_row_of(fa)], np.arange(len(b)) - fb[_row_of(fb)]
-            ka, kb = ka < most_x[_row_of(fa)], kb < most_y[_row_of(fb)]
-            row, value = np.concatenate([_row_of(fa)[ka], _row_of(fb)[kb]]), np.concatenate([a[ka], b[kb]])
-            order = np.lexsort((value, row))
-            row, value = row[order], value[order]
-            twice = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-            return np.bincount(row[1:][twice], minlength=len(fa) - 1)
-
-        for batch in slices(batches, "x_text", 1 << 20):
-            sides = []
-            for name in ("x_text", "y_text"):
-                value, first = shingle_sets(batch.column(name))
-                sides.append((_ordered(value, first, ranks), first))
-            x, y = sides
-            n, m = np.diff(x[1]), np.diff(y[1])
-            lx, ly = _matches(*x, usual), _matches(*y, usual)
-            ok = common(x, y, _base(n) + lx - 1, _base(m) + ly - 1) >= np.minimum(lx, ly)
-            both = common(x, y, np.where(ok, n, 0), np.where(ok, m, 0))
-            ok &= DEN * both >= NUM * (n + m - both)
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(ok)), batch.column("y").filter(pa.array(ok))], names=["x", "y"])
 
-    return run
+def matches(live: DataFrame, most: int = MOST_MATCHES) -> DataFrame:
+    """(key, l) of documents whose prefixes are lengthened (l over 1): one token more for each factor STEP by which the mean
+    number of candidates of a base prefix token is over USUAL. No more than similar sets must share in any case."""
+    n, pos = size_of(F.col("at")), size_of(F.col("at")) - left_of(F.col("at"))
+    base = prefix_size(n, NUM, DEN)
+    cost = live.where(pos < base).groupBy("key").agg(F.sum(F.col("c") - 1).alias("cost"), F.min(n).alias("n"))
+    base = prefix_size(F.col("n"), NUM, DEN)
+    l = 1 + F.floor(F.log(F.greatest(F.lit(1.0), F.col("cost") / (base * USUAL))) / math.log(STEP)).cast("int")  # noqa: E741
+    return cost.select("key", F.least(l, F.lit(most), F.col("n") - base + 1).alias("l")).where("l > 1")
 
 
-def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_matches: int = MOST_MATCHES) -> DataFrame:
     """A row for each row of `docs`: the id, n_shingles and component_id, the smallest id reachable by links.
 
     Documents link when their sets have Jaccard 0.75 or more. Without words (or with a null text) the set is
@@ -165,23 +158,22 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     d = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    summary = saved(d.mapInArrow(_summary, "doc bigint, key bigint, n bigint, cells array<bigint>"), "summary")
+    summary = saved(d.mapInArrow(_summary, "doc bigint, key bigint, n bigint, cells binary"), "summary")
     own = summary.where("n >= 0").drop("cells")
     classes = own.where("n > 0").groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("c"))
-    parts = summary.where("n = -1").select("doc", F.posexplode("cells").alias("i", "v")).groupBy((F.col("doc") + F.col("i")).alias("cell")).agg(F.sum("v").alias("v"))
-    counts = np.zeros(CELLS, np.int64)
-    for r in parts.where("v > 0").toLocalIterator():  # CELLS rows at most
-        counts[r[0]] = r[1]
+    ranks, total = np.zeros(CELLS, np.uint8), 0
+    for r in summary.where("n = -1").select("doc", "cells").groupBy("doc").applyInArrow(_add, "part bigint, ranks binary, total bigint").toLocalIterator():  # CELLS bytes
+        ranks[r[0] * PART : (r[0] + 1) * PART] = np.frombuffer(r[1], np.uint8)
+        total += r[2]
     n_docs = own.count()
-    ranks = _ranks(counts)
-    usual = float(np.median(counts)) if counts.any() else 1.0
-    limit = int(_ranks(np.array([2 * counts.sum() / CELLS + n_docs / HEAVY + 1]))[0])
+    limit = int(_ranks(np.array([2 * total / CELLS + n_docs / HEAVY + 1]))[0])
     # of classes with a thousandth of the documents, a thousand at most, only the first document gives entries
     common = {r[0]: r[1] for r in classes.where((F.col("c") > max(8, n_docs // HEAVY)) & F.col("first").isNotNull()).select("key", "first").collect()}
-    ranks_b = spark.sparkContext.broadcast(ranks)  # CELLS numbers
+    ranks_b = spark.sparkContext.broadcast(ranks)  # CELLS bytes
     named = d.where("_id is not null")
-    entries = named.mapInArrow(_entries(ranks_b, limit, common), "token bigint, key bigint, at bigint, heavy boolean")
-    live = live_entries(entries, central=True)
+    entries = named.mapInArrow(_entries(ranks_b, limit, common, most_matches), "token bigint, key bigint, at bigint, heavy boolean")
+    live = saved(live_entries(entries, central=True), "prefixes")
+    more_tokens = saved(matches(live, most_matches), "matches")
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs, "pairs")
@@ -189,12 +181,12 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if test is None:
             return pairs
         texts = named.where(test).select(F.col("_id").alias("key"), F.col("_text").alias("text"))
-        return saved(with_texts(pairs, texts).mapInArrow(_similar(ranks_b, usual), "x bigint, y bigint").distinct(), "links")
+        return saved(with_texts(pairs, texts).mapInArrow(_similar, "x bigint, y bigint").distinct(), "links")
 
     copies = own.join(classes.where("c > 1 and first is not null").select("key", "first"), "key").where("doc <> first").select(F.col("doc").alias("x"), F.col("first").alias("y"))
-    links = similar(hub_pairs(live, NUM, DEN)).unionByName(copies)
+    links = similar(hub_pairs(live, NUM, DEN, more_tokens)).unionByName(copies)
     group = components(links, "x", "y")
-    more = similar(rest_pairs(live, group.withColumnsRenamed({"node": "key", "root": "g"}), NUM, DEN, later_only=False))
+    more = similar(rest_pairs(live, group.withColumnsRenamed({"node": "key", "root": "g"}), NUM, DEN, more_tokens))
     if more.take(1):
         group = components(group.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more), "x", "y")
     group = group.select(F.col("node").alias("_node"), F.col("root").alias("component_id"))
@@ -206,11 +198,12 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that have their component's smallest id, with all columns. Rows without an id stay;
     rows of one id stay or go together."""
-    found = near_components(docs.select(id_col, text_col), id_col=id_col, text_col=text_col)
-    gone = saved(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("bigint").alias("_id")).distinct(), "gone")
-    test = bitmap(gone, "_id")
+    found = near_components(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), id_col="id", text_col="text")
+    gone = saved(found.where("id <> component_id").select("id").distinct(), "gone")
+    test = bitmap(gone, "id")
     if test is None:
         return docs
-    d = docs.withColumn("_id", F.col(f"`{id_col}`").cast("bigint"))
+    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("bigint").alias("id"))
     test = F.coalesce(test, F.lit(False))
-    return d.where(~test).unionByName(d.where(test).join(gone, "_id", "left_anti")).select(*docs.columns)
+    out = d.where(~test).unionByName(d.where(test).join(gone, "id", "left_anti").select("row", "id"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

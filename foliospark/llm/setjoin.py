@@ -8,8 +8,8 @@ Candidates come in two steps, so that a group of M similar sets costs about M pa
 1. every set is paired with one set (`hub`) of each of its tokens, the first or the most central one;
 2. sets that step 1 didn't settle are paired with all others of their tokens.
 A pair goes on to verification if its sizes allow the similarity (length filter), if from its first common token
-on enough tokens are left (positional filter), and if its common prefix tokens together with all later ones are
-enough (matches: pairs that share a token by chance end here).
+on enough tokens are left (positional filter), if it shares as many tokens of its prefixes as their lengths ask for (the
+matches of adaptive prefixes), and if those together with all later ones are enough.
 
 All of it is DataFrame code. The sets of a token are brought together once; tokens flagged `heavy` (common in the
 corpus) are dealt to several parts, whose sums are joined back, where Spark can split them.
@@ -68,23 +68,34 @@ def live_entries(entries: DataFrame, *, central: bool = False) -> DataFrame:
     return named(e.where("_salt = 0")).unionByName(named(heavy.select("token", "key", "at").join(top, "token")))
 
 
-def _likely(pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs: x, y, n, m (sizes), k (common prefix tokens), left (what is left from the first of them on)."""
-    n, m = F.col("n"), F.col("m")
-    need = overlap_needed(n, m, num, den)
-    after = F.greatest(n - prefix_size(n, num, den), m - prefix_size(m, num, den))
-    return pairs.where((den * F.least(n, m) >= num * F.greatest(n, m)) & (F.col("left") >= need) & (F.col("k") + after >= need)).select("x", "y")
+def _kept(pairs: DataFrame, lengths: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs that may be similar. pairs: x, y, n, m (sizes), left (what is left from the first common token on) and
+    k, with the common tokens of both prefixes that are i tokens longer than the base at place i. Both must share as many
+    tokens of prefixes as long as the less lengthened of the two asks for; and those with all later ones must be enough."""
+    pairs = pairs.join(lengths.select(F.col("key").alias("x"), F.col("l").alias("x_l")), "x", "left").join(lengths.select(F.col("key").alias("y"), F.col("l").alias("y_l")), "y", "left")
+    n, m, l = F.col("n"), F.col("m"), F.least(F.coalesce("x_l", F.lit(1)), F.coalesce("y_l", F.lit(1)))  # noqa: E741
+    need, k = overlap_needed(n, m, num, den), F.get("k", l - 1)
+    after = F.greatest(n - prefix_size(n, num, den), m - prefix_size(m, num, den)) - (l - 1)
+    return pairs.where((den * F.least(n, m) >= num * F.greatest(n, m)) & (F.col("left") >= need) & (k >= l) & (k + F.greatest(after, F.lit(0)) >= need)).select("x", "y")
 
 
-def _pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """rows: (x, y, x_at, y_at) for each common token found."""
-    found = rows.groupBy("x", "y").agg(F.min(size_of(F.col("x_at"))).alias("n"), F.min(size_of(F.col("y_at"))).alias("m"), F.count(F.lit(1)).alias("k"), F.max(F.least(left_of(F.col("x_at")), left_of(F.col("y_at")))).alias("left"))
-    return _likely(found, num, den)
+def place_of(x: Column) -> Column:
+    return size_of(x) - left_of(x)
 
 
-def hub_pairs(live: DataFrame, num: int, den: int) -> DataFrame:
-    """(x, y): each set and the hubs of its tokens. What a hub's other tokens would add isn't known here; step 2 is exact."""
-    return _pairs(live.where("key <> hub").select(F.col("key").alias("x"), F.col("hub").alias("y"), F.col("at").alias("x_at"), F.col("hub_at").alias("y_at")), num, den)
+def _beyond(x: Column, num: int, den: int) -> Column:
+    """How many places a token stands after the end of its set's base prefix; 0 within it."""
+    return F.greatest(place_of(x) - prefix_size(size_of(x), num, den) + 1, F.lit(0))
+
+
+def hub_pairs(live: DataFrame, num: int, den: int, lengths: DataFrame, most: int = 4) -> DataFrame:
+    """(x, y): each set and the hubs of its tokens. What a hub's other tokens would add isn't known here; step 2 is exact.
+    lengths: (key, l) of sets with lengthened prefixes."""
+    at, hub_at = F.col("at"), F.col("hub_at")
+    beyond = F.greatest(_beyond(at, num, den), _beyond(hub_at, num, den))
+    rows = live.where("key <> hub").select(F.col("key").alias("x"), F.col("hub").alias("y"), size_of(at).alias("n"), size_of(hub_at).alias("m"), F.least(left_of(at), left_of(hub_at)).alias("left"), beyond.alias("beyond"))
+    found = rows.groupBy("x", "y").agg(F.min("n").alias("n"), F.min("m").alias("m"), F.max("left").alias("left"), *(F.sum((F.col("beyond") <= i).cast("int")).alias(f"k{i}") for i in range(most)))
+    return _kept(found.withColumn("k", F.array(*(f"k{i}" for i in range(most)))), lengths, num, den)
 
 
 def _mixed(d: DataFrame) -> DataFrame:
@@ -96,43 +107,41 @@ def _mixed(d: DataFrame) -> DataFrame:
     return few.unionByName(many.join(some, "token", "left_semi"))
 
 
-def _matching(seeds: DataFrame, live: DataFrame, num: int, den: int) -> DataFrame:
+def _matching(seeds: DataFrame, live: DataFrame, num: int, den: int, lengths: DataFrame, most: int = 4) -> DataFrame:
     """The seeds (x, y, n, m, left) that have enough common prefix tokens; these are counted for seeds alone."""
     seeds = saved(seeds, "seeds")
     test = bitmap(keys_of(seeds), "key")
     if test is None:
         return seeds.select("x", "y")
-    prefix = saved(live.where(test).groupBy("key").agg(F.collect_list("token").alias("p")), "prefixes")
-    both = seeds.join(prefix.select(F.col("key").alias("x"), F.col("p").alias("x_p")), "x").join(prefix.select(F.col("key").alias("y"), F.col("p").alias("y_p")), "y")
-    return _likely(both.withColumn("k", F.size(F.array_intersect("x_p", "y_p"))), num, den)
+    kinds = [F.collect_list(F.when(F.col("beyond") <= i, F.col("token"))).alias(f"p{i}") for i in range(most)]
+    prefix = saved(live.where(test).withColumn("beyond", _beyond(F.col("at"), num, den)).groupBy("key").agg(*kinds), "prefixes")
+    side = lambda c: prefix.select(F.col("key").alias(c), *(F.col(f"p{i}").alias(f"{c}_p{i}") for i in range(most)))
+    both = seeds.join(side("x"), "x").join(side("y"), "y")
+    k = F.array(*(F.size(F.array_intersect(f"x_p{i}", f"y_p{i}")) for i in range(most)))
+    return _kept(both.select("x", "y", "n", "m", "left", k.alias("k")), lengths, num, den)
 
 
-def rest_pairs(live: DataFrame, group: DataFrame, num: int, den: int, *, later_only: bool) -> DataFrame:
+def rest_pairs(live: DataFrame, group: DataFrame, num: int, den: int, lengths: DataFrame) -> DataFrame:
     """(x, y) for sets that still need partners. group: (key, g); sets of one g need no pair.
 
-    With `later_only`, x is a set without a g, and y any set of a smaller key. Otherwise a pair is found by those of
-    its common tokens alone that the positional filter lets through (similar sets have one), so that the edited copies
-    of a text don't all meet in the join.
+    A pair is found by those of the common tokens of its base prefixes alone that the positional filter lets through
+    (similar sets have one), so that the edited copies of a text don't all meet in the join.
     """
-    d = live.select("token", "key", "at", "c").join(group, "key", "left").select("token", "key", "at", "c", F.coalesce("g", "key").alias("own"), F.col("g").isNull().alias("open"))
-    if not later_only:
-        d = saved(_mixed(d.withColumn("before", F.lag("token").over(W.partitionBy("key").orderBy("token")))), "mixed")
+    base = live.where(_beyond(F.col("at"), num, den) == 0)
+    d = base.select("token", "key", "at", "c").join(group, "key", "left").select("token", "key", "at", "c", F.coalesce("g", "key").alias("own"))
+    d = saved(_mixed(d.withColumn("before", F.lag("token").over(W.partitionBy("key").orderBy("token")))), "mixed")
     # a token of many sets is split by bands of size: partners are in the same band or the next
     size_band = F.floor(F.log(size_of(F.col("at")).cast("double")) / F.log(F.lit(den / num))).cast("int")
     d = d.withColumn("band", F.when(F.col("c") > MANY, size_band).otherwise(0))
-    x = d.where("open") if later_only else d
-    more = [] if later_only else ["before"]
-    x = x.select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), "own", *(F.col(c).alias(f"x_{c}") for c in more), F.explode(F.when(F.col("c") > MANY, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
-    y = d.select("token", F.col("key").alias("y"), F.col("at").alias("y_at"), F.col("own").alias("y_own"), *(F.col(c).alias(f"y_{c}") for c in more), "band")
+    x = d.select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), "own", F.col("before").alias("x_before"), F.explode(F.when(F.col("c") > MANY, F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).otherwise(F.array(F.lit(0)))).alias("band"))
+    y = d.select("token", F.col("key").alias("y"), F.col("at").alias("y_at"), F.col("own").alias("y_own"), F.col("before").alias("y_before"), "band")
     n, m = size_of(F.col("x_at")), size_of(F.col("y_at"))
     left = F.least(left_of(F.col("x_at")), left_of(F.col("y_at")))
     fits = (F.col("own") != F.col("y_own")) & (F.col("y") < F.col("x")) & (den * F.least(n, m) >= num * F.greatest(n, m))
-    if later_only:
-        return _pairs(x.join(y, ["token", "band"]).where(fits), num, den)
     # where both sets have the same token before this one, that one brings the pair
     new = ~F.coalesce(F.col("x_before") == F.col("y_before"), F.lit(False))
     met = x.join(y, ["token", "band"]).where(fits & new & (left >= overlap_needed(n, m, num, den)))
-    return _matching(met.groupBy("x", "y").agg(F.min(n).alias("n"), F.min(m).alias("m"), F.max(left).alias("left")), live, num, den)
+    return _matching(met.groupBy("x", "y").agg(F.min(n).alias("n"), F.min(m).alias("m"), F.max(left).alias("left")), live, num, den, lengths)
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -28,4 +28,4 @@ def test_a_long_text_and_rows_without_id(spark):
     text = "\n".join(f"word{i} and the other {i % 7} words of this line." for i in range(120000))
     made = spark.createDataFrame([(1, text), (None, "a b c d e f g h i j k l m"), (None, None)], "doc_id long, text string")
     got = {r.n_words: r for r in quality.judge_quality(made, quality.Field.plain()).collect()}
-    assert set(got) == {960000, 13, 0} and got[960000].content_words == 960000 and got[0].base_failed and got[13].doc_id is None
+    assert set(got) == {1080000, 13, 0} and got[1080000].content_words == 1080000 and got[0].base_failed and got[13].doc_id is None
