@@ -59,7 +59,7 @@ def test_scores_are_what_the_filter_says(spark):
             p_word = (lm.LOW[word] + 0.5) / (model.total + 0.5 * (model.words + 1))
             most = 1.01 * lm.MOST[context] + model.spare
             weight = model.pair_weight * lm.LOW[context] / most
-            total += math.log10((1 - weight) * p_word + weight * min(1, lm.LOW[pair] / most))
+            total += math.log10((1 - weight) * p_word + weight * min(1, lm.LEAST_PAIR * lm.LOW[pair] / most))
             before = now
         assert abs(got[r.doc_id] - total) < 1e-6 * max(1, abs(total))
 
