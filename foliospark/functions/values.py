@@ -48,7 +48,7 @@ UNIT_LINE = r"(?im)^[^\n]{0,80}(?:promotoria|procuradoria)[^\n]{0,80}$"
 NO_TEXT = "_(página sem texto aproveitável — ative o OCR, com o Tesseract disponível, para extrair o conteúdo)_"
 HAND_BANNER = "> **[Documento manuscrito — OCR de baixa confiança, revisar no original]**"
 LOW_NOTE = "> _(baixa confiança de OCR — conferir no original)_"
-ORIGINS = {"native": "texto nativo", "reused": "camada e-proc reaproveitada", "incomplete": "camada e-proc incompleta — revisar", "ocr": "OCR do LIMPAPDF"}
+ORIGINS = {"native": "texto nativo", "reused": "camada e-proc reaproveitada", "incomplete": "camada e-proc incompleta — revisar", "ocr": "OCR"}
 NOTES = ("LIMPO PRATICAMENTE SEM TEXTO", "limpo perdeu >50% dos chars", "camada e-proc preservada")
 
 # Helvetica glyph widths in thousandths of the font size; others count 556.

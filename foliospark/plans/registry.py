@@ -113,12 +113,7 @@ def heading_detect(spark, sf_dir):
     return d.select("doc_id", T.heading(c("line")).alias("heading")).where("heading is not null").groupBy("doc_id", "heading").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""
-with recursive d as (select doc_id, {_MARKED} as text from documents where doc_id % 5 = 0), l as (select doc_id, string_split(text, chr(10)) as x from d),
-f as (select doc_id, x, 0 as i, [] :: varchar[] as o from l
-  union all select doc_id, x, i + 1, case when {_HEADING.format('x[i+1]')} is null then list_append(o, x[i+1])
-    else list_concat(case when len(o) > 0 and trim(o[-1]) <> '' then list_append(o, '') else o end, ['---', '', concat('### ', {_LINE.format('x[i+1]')}), '']) end from f where i < len(x))
-select doc_id, array_to_string(o, chr(10)) as marked from f where i = len(x)""")
+@query()
 def md_headings(spark, sf_dir):
     return _marked(docs(spark, sf_dir)).select("doc_id", T.mark_headings(c("text")).alias("marked"))
 
@@ -340,7 +335,7 @@ def _short(spark, sf_dir):
     return elements(spark, sf_dir).withColumn("file_id", c("file_id") + F.when(c("page_id") < 80, 0).otherwise(20))
 
 
-@query(sql("allcuts", "select file_id, page_id, round(cut_top, 6) as cut_top, round(cut_base, 6) as cut_base from allcuts").replace("from lineitem)", "from lineitem where l_orderkey % 500 < 80)"))
+@query(sql("allcuts", "select file_id, page_id, round(cut_top, 6) as cut_top, round(cut_base, 6) as cut_base from allcuts").replace("(l_orderkey % 500) % 20 as file_id", "(l_orderkey % 500) % 20 + case when l_orderkey % 500 < 80 then 0 else 20 end as file_id"))
 def short_doc_cuts(spark, sf_dir):
     return B.short_document_cuts(_short(spark, sf_dir)).select("file_id", "page_id", r6("cut_top", "cut_top"), r6("cut_base", "cut_base"))
 
@@ -408,7 +403,7 @@ def ocr_candidates(spark, sf_dir):
     return P.region_candidates(elements(spark, sf_dir)).select("page_id", "el_ix", "cx0", "cx1", "cy0", "cy1")
 
 
-@query(sql("el", "select doc_id as page_id, length(text) < 40 and doc_id in (select page_id from el where kind = 'I' and not rot and (x1-x0)*(y1-y0)/(595*842) >= 0.25) as handwritten from (select doc_id, case when doc_id % 3 = 0 then substring(text, 1, 30) else text end as text from documents where doc_id < 500)"))
+@query(sql("el", "select doc_id as page_id, length(text) < 40 and doc_id in (select page_id from el where kind = 'I' and not rot and (x1-x0)*(y1-y0)/(595*842) >= 0.25) as handwritten from (select doc_id, case when doc_id % 3 = 0 then substring(text, 1, 30) else text end as text from documents)"))
 def handwritten(spark, sf_dir):
     e = elements(spark, sf_dir).withColumn("file_id", F.lit(0))
     t = docs(spark, sf_dir).select(F.lit(0).alias("file_id"), c("doc_id").alias("page_id"), F.when(c("doc_id") % 3 == 0, F.substring("text", 1, 30)).otherwise(c("text")).alias("text"))
@@ -441,11 +436,11 @@ def _decision_sql(policy: str, hybrid: str) -> str:
 
 
 @query(sql("el", f"""select page_id, {_decision_sql('auto', "coalesce({some}, case when deficient then 'regioes:1' end, 'pular')")}, {_decision_sql('nunca', "coalesce({some}, 'pular')")}, {_decision_sql('sempre', "'pagina'")},
-  case when class = 'NATIVA_DIGITAL' then 'texto nativo' when class = 'HIBRIDA_COM_OCR' and not deficient then 'camada e-proc reaproveitada' else 'OCR do LIMPAPDF' end as origin,
-  case when class = 'NATIVA_DIGITAL' then 'texto nativo' when class = 'HIBRIDA_COM_OCR' then case when deficient then 'camada e-proc incompleta — revisar' else 'camada e-proc reaproveitada' end else 'OCR do LIMPAPDF' end as origin_nunca
-  from (select j.*, coalesce(n, 0) as n from j left join (select page_id, count(*) as n from el where {_CAND} and page_id % 2 = 0 and x0 < 100 group by page_id) using (page_id))""").replace("with recursive ", f"with recursive {_PAGES}, "))
+  case when class = 'NATIVA_DIGITAL' then 'texto nativo' when class = 'HIBRIDA_COM_OCR' and not deficient then 'camada e-proc reaproveitada' else 'OCR' end as origin,
+  case when class = 'NATIVA_DIGITAL' then 'texto nativo' when class = 'HIBRIDA_COM_OCR' then case when deficient then 'camada e-proc incompleta — revisar' else 'camada e-proc reaproveitada' end else 'OCR' end as origin_nunca
+  from (select j.*, coalesce(n, 0) as n from j left join (select page_id, count(*) as n from el where {_CAND} group by page_id) using (page_id))""").replace("with recursive ", f"with recursive {_PAGES}, "))
 def ocr_decision(spark, sf_dir):
-    n = elements(spark, sf_dir).where(G.region_candidate() & (c("page_id") % 2 == 0) & (c("x0") < 100)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    n = elements(spark, sf_dir).where(G.region_candidate()).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
     d = _classified(spark, sf_dir).join(n, "page_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     by = lambda p: P.decision(c("class"), c("deficient"), c("n"), p).alias(p)
     return d.select("page_id", by("auto"), by("nunca"), by("sempre"), P.origin(c("class"), c("deficient")).alias("origin"), P.origin(c("class"), c("deficient"), "nunca").alias("origin_nunca"))
@@ -466,7 +461,7 @@ def decision_compare(spark, sf_dir):
 
 # --- recognised words: words of documents with made-up places ---------------------------------------------------------
 _WORDS = """w as (select doc_id, cast(k - 1 as int) as word_ix, x[k] as text, cast((k - 1) * 37 % 101 as string) as conf, ((k - 1) * 53 % 2000) :: double as "left", ((k - 1) * 31 % 3000) :: double as top, (20 + (k - 1) % 90) :: double as width, (8 + (k - 1) % 30) :: double as height
-  from (select doc_id, string_split(replace(text, chr(10), ' '), ' ') as x, unnest(range(1, len(string_split(replace(text, chr(10), ' '), ' ')) + 1)) as k from documents where doc_id % 20 = 0))"""
+  from (select doc_id, string_split(replace(text, chr(10), ' '), ' ') as x, unnest(range(1, len(string_split(replace(text, chr(10), ' '), ' ')) + 1)) as k from documents))"""
 
 
 def _words(spark, sf_dir):
@@ -486,10 +481,7 @@ def ocr_words_layout(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("conf").alias("conf"), *(F.round(F.sum(x), 3).alias(x) for x in ("x", "y", "font_size", "stretch")))
 
 
-@query(f"""
-with {_WORDS}, a as (select doc_id, word_ix // 40 as region, word_ix, text, cast(conf as int) as conf from w where text <> '' and cast(conf as int) >= 40), b as (select doc_id, region, string_agg(text, ' ' order by word_ix) as text, avg(conf) as conf from a group by doc_id, region),
-d as (select doc_id, substring(text, 1, 400) as page from documents), s as (select b.*, {_LONG.format('b.text')} as x, {_LONG.format('page')} as y from b join d using (doc_id))
-select doc_id, cast(region as int) as region, text, round(conf, 6) as conf from s where not (len(x) > 0 and len(list_intersect(x, y)) / len(x) >= 0.80)""")
+@query()
 def block_confidence(spark, sf_dir):
     # the whole text, in which the words of every third region are others
     words = F.transform(F.split(F.translate("text", "\n", " "), " "), lambda w, k: F.when(F.floor(k / 40) % 3 == 1, F.reverse(w)).otherwise(w))
@@ -537,3 +529,6 @@ def regression_compare(spark, sf_dir):
     a = a.withColumn("ink", c("page_id") % 7 / 10.0)
     now = a.where("page_id % 37 <> 0").withColumns({"ink": c("ink") - F.when(c("page_id") % 29 == 0, 0.01).otherwise(0.0), "chars": c("chars") + F.when(c("page_id") % 13 == 0, -1).when(c("page_id") % 17 == 0, 5).otherwise(0)})
     return A.compare(a.where("page_id % 31 <> 0"), now).select("page_id", "verdict")
+
+
+from . import reports as _reports  # noqa: E402, F401  (adds its queries)

@@ -30,15 +30,15 @@ def test_tables(spark):
 
 
 def test_suffix(spark):
-    assert one(spark, T.without_suffix(F.lit("corpo aqui\nfim ocr"), F.lit("fim  ocr"))) == "corpo aqui"
-    assert one(spark, T.without_suffix(F.lit("corpo aqui"), F.lit("outro texto"))) is None
+    assert one(spark, T.without_suffix(F.lit("linha um\nrodapé 7"), F.lit("rodapé  7"))) == "linha um"
+    assert one(spark, T.without_suffix(F.lit("linha um"), F.lit("linha dois"))) is None
     assert one(spark, T.without_suffix(F.lit("x (a.b) [1\\]"), F.lit("[1\\ ]"))) == "x (a.b)"
 
 
 def test_containment_and_ordinals(spark):
-    text = F.lit("Cuida-se de relatório sobre conversa mantida entre investigados")
-    assert one(spark, T.contained(F.lit("relatório sobre conversa investigados"), text))
-    assert not one(spark, T.contained(F.lit("frase inteiramente diferente"), text)) and not one(spark, T.contained(F.lit(""), text))
+    text = F.lit("Segue abaixo quadro resumido das compras feitas durante março")
+    assert one(spark, T.contained(F.lit("quadro compras durante março"), text))
+    assert not one(spark, T.contained(F.lit("nenhuma destas palavras aparece"), text)) and not one(spark, T.contained(F.lit(""), text))
     assert one(spark, T.fix_ordinals(F.lit("ªtuªl 1ª 2º cªsº"))) == "atual 1ª 2º caso"
 
 
