@@ -28,7 +28,7 @@ from .shared import forget, release, saved
 NUM, DEN = 4, 5
 #: A line has at least so many tokens if another, unequal one can match it.
 LEAST = DEN - 1
-MOST_CELLS, LEVEL_BITS = 1 << 21, 4
+MOST_CELLS, LEVEL_BITS = 1 << 19, 4
 #: Tokens that this many lines have are dealt to SALTS parts.
 HEAVY, SALTS = 1 << 16, 64
 #: Lines of more tokens have a sketch of one half of their tokens as well, which makes it two of 64 bits.

@@ -153,7 +153,7 @@ def keys_of(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
 
 
-MOST_BITS = 1 << 22
+MOST_BITS = 1 << 20
 MANY = 1000
 SALTS = 64
 
@@ -166,7 +166,7 @@ def long_literal(values: list[int]) -> Column:
 def bitmap(keys: DataFrame, *columns: str) -> Column | None:
     """A test of the like-named columns that is true for all of `keys` and few others; None where there are no keys.
 
-    It has eight bits or more a key, MOST_BITS at most (half a MB); beyond some million keys the test saves less and less.
+    It has eight bits or more a key, MOST_BITS at most (an eighth of a MB); beyond some million keys the test saves less and less.
     """
     n = keys.count()
     if not n:
