@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PLAN_TEXT = 1 << 16
 _made: dict[SparkSession, list[str]] = {}
 
 
@@ -24,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def _short_plans(spark: SparkSession):
+    """The driver keeps a text of each plan, in which tables of constants would stand in full; a part of it is enough."""
+    name, old = "spark.sql.maxPlanStringLength", spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set(name, str(PLAN_TEXT))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def saved(df: DataFrame, name: str, **options) -> DataFrame:
     """Writes the rows as Parquet in the shared folder and reads them again, which cuts the lineage.
 
@@ -31,7 +43,8 @@ def saved(df: DataFrame, name: str, **options) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").options(**options).parquet(path)
+    with _short_plans(spark):
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     if spark not in _made:
         atexit.register(_remove, spark)
     _made.setdefault(spark, []).append(path)
