@@ -1,8 +1,10 @@
 """Repetition across pages: boilerplate keys, rulers, cuts and bands. Elements have file_id, page_id, el_ix, kind,
-the box, rot, n_pts, paint_op, key, W and H; pages of one size in a file are a group (W, H)."""
+the box, rot, n_pts, paint_op, key, W and H; pages of one size, in whole points, in a file are a group (W, H)."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -15,14 +17,26 @@ PAGE = ["file_id", "page_id"]
 c = F.col
 
 
+def whole_points(f):
+    """Page sizes are rounded first (half to even), so that pages scanned a little apart are one group."""
+
+    @functools.wraps(f)
+    def run(elements: DataFrame, *args, **more) -> DataFrame:
+        return f(elements.withColumns({"W": F.rint("W"), "H": F.rint("H")}), *args, **more)
+
+    return run
+
+
 def threshold(pages: Column, fraction: float = V.REPEAT_FRACTION) -> Column:
     return F.greatest(F.lit(V.REPEAT_LEAST), F.ceil(pages * F.lit(fraction)))
 
 
+@whole_points
 def group_sizes(elements: DataFrame) -> DataFrame:
     return elements.groupBy(*GROUP).agg(F.countDistinct("page_id").alias("n_pages"))
 
 
+@whole_points
 def repeated_keys(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
     """(group, key, kind, pages, y0): keys on enough distinct pages of their group. Texts and images count in the
     edge zones only, paths at the foot; rotated elements don't. y0 is that of the last occurrence."""
@@ -38,6 +52,7 @@ def repeated_values(rows: DataFrame, group: list[str], page: str, value: str, fr
     return n.join(sizes, group).where(c("pages") >= threshold(c("n_pages"), fraction)).drop("n_pages")
 
 
+@whole_points
 def rulers(elements: DataFrame) -> DataFrame:
     """Wide thin rules at head or foot that aren't the edge of a box: not both ends have a thin vertical there."""
     side = elements.where((c("kind") == "P") & ~c("rot")).withColumn("side", G.ruler_side()).where("side is not null")
@@ -49,6 +64,7 @@ def rulers(elements: DataFrame) -> DataFrame:
     return side.join(ends.where("left and right"), [*PAGE, "el_ix"], "left_anti")
 
 
+@whole_points
 def page_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, rules: DataFrame | None = None) -> DataFrame:
     """(file, page, cut_top, cut_base) from rulers at a height that enough pages of the group share."""
     r = (rulers(elements) if rules is None else rules).withColumn("bucket", F.rint(c("y0") / 6))
@@ -58,6 +74,7 @@ def page_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, rules: D
     return r.groupBy(*PAGE).agg(F.min(F.when(c("side") == "topo", c("y0"))).alias("cut_top"), F.max(F.when(c("side") == "base", c("y1"))).alias("cut_base"))
 
 
+@whole_points
 def base_bands(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
     """(group, lo, hi): heights at the foot where several repeated paths lie close together."""
     y = repeated_keys(elements, fraction).where("kind = 'P'")
@@ -67,6 +84,7 @@ def base_bands(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> Data
     return y.groupBy(*GROUP, "band").agg(F.min("y0").alias("a"), F.max("y0").alias("z"), F.count(F.lit(1)).alias("n")).where(c("n") >= V.BAND_LEAST).select(*GROUP, (c("a") - V.BAND_LOW).alias("lo"), (c("z") + V.BAND_HIGH).alias("hi"))
 
 
+@whole_points
 def top_clusters(elements: DataFrame) -> DataFrame:
     """Lines of small paths in the top zone. A path joins the line whose first member is within the gap; a fold over
     each page's paths, from the top down."""
@@ -87,6 +105,7 @@ def top_clusters(elements: DataFrame) -> DataFrame:
     return line.withColumn("key", F.concat_ws("|", F.lit("PL"), q("y"), q("x0"), q("x1"), c("n").cast("string"), (c("pts") % V.CLUSTER_MOD).cast("string")))
 
 
+@whole_points
 def repeated_clusters(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, clusters: DataFrame | None = None) -> DataFrame:
     """Lines of top_clusters whose key repeats on enough pages of the group."""
     lines = top_clusters(elements) if clusters is None else clusters
@@ -94,6 +113,7 @@ def repeated_clusters(elements: DataFrame, fraction: float = V.REPEAT_FRACTION,
     return lines.join(n.where(c("pages") >= threshold(c("n_pages"), fraction)), [*GROUP, "key"], "left_semi")
 
 
+@whole_points
 def own_page_cuts(elements: DataFrame, rules: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """(file, page, cut_top, cut_base) from a page's own rulers; the top cut goes down over header lines that follow closely."""
     r = (rulers(elements) if rules is None else rules).groupBy(*PAGE, "W", "H").agg(F.min(F.when(c("side") == "topo", c("y0"))).alias("top"), F.max(F.when(c("side") == "base", c("y1"))).alias("base"))
@@ -105,6 +125,7 @@ def own_page_cuts(elements: DataFrame, rules: DataFrame | None = None, clusters:
     return r.join(below, PAGE, "left").select(*PAGE, F.coalesce("low", "top").alias("cut_top"), c("base").alias("cut_base"))
 
 
+@whole_points
 def short_document_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, rules: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """Cuts of all pages: in files of few pages own rulers count too, and where there is none a fixed strip."""
     pages = elements.select(*PAGE, "W", "H").distinct()

@@ -67,6 +67,7 @@ def raw_reason() -> Column:
     )
 
 
+@B.whole_points
 def reasons(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
     """Elements with `reason`: calibrated reasons hold in tables, and text that shows nothing never goes."""
     d = context(elements, fraction).withColumn("reason", raw_reason())

@@ -94,3 +94,12 @@ def test_scan_forms(spark):
     rows = [("page", "f1", "Form", 0, 0), ("f1", "f2", "Form", 0, 0), ("f2", "im", "Image", 1000, 400), ("page2", "im2", "Image", 10, 10)]
     d = spark.createDataFrame(rows, "parent string, child string, subtype string, w int, h int")
     assert {r[0] for r in S.xobject_scans(d).collect()} == {"page", "f1", "f2"}
+
+
+def test_pages_of_one_size_in_whole_points(spark):
+    from foliospark.operators import boilerplate as B
+
+    rows = [(1, p, 1, "T", 50.0, 800.0, 90.0, 810.0, False, "T|200|head", w, 842.0 - p / 10) for p, w in ((1, 594.96), (2, 595.2), (3, 595.0), (4, 595.4))]
+    d = spark.createDataFrame(rows, "file_id int, page_id int, el_ix int, kind string, x0 double, y0 double, x1 double, y1 double, rot boolean, key string, W double, H double")
+    got = B.repeated_keys(d).collect()
+    assert [(r.key, r.pages, r.W, r.H) for r in got] == [("T|200|head", 4, 595.0, 842.0)]
