@@ -33,12 +33,14 @@ MOST_CELLS, LEVEL_BITS = 1 << 19, 4
 HEAVY, SALTS = 1 << 16, 64
 #: Lines of more tokens have a sketch of one half of their tokens as well, which makes it two of 64 bits.
 WIDE = 64
-_GAP = "[ \\t\\x0B\\x0C\\r]+"
+_RARE_GAP = "[\\t\\x0B\\x0C\\r]"
 
 
 def _words(line: Column) -> Column:
     """Sorted hashes of the distinct words [^\\x20\\x09-\\x0D]+ of a line."""
-    hashes = F.transform(F.split(line, _GAP), lambda w: F.xxhash64(w))
+    # most lines have blanks alone, and to split at one character takes no regular expression
+    parts = F.when(line.rlike(_RARE_GAP), F.split(F.regexp_replace(line, _RARE_GAP, " "), " ")).otherwise(F.split(line, " "))
+    hashes = F.transform(parts, lambda w: F.xxhash64(w))
     return F.sort_array(F.array_distinct(F.array_remove(hashes, F.xxhash64(F.lit("")))))
 
 
@@ -74,7 +76,8 @@ def _by_rarity(tokens: Column, table: Column, bits: int) -> Column:
         word = F.get(table, F.shiftrightunsigned(t, 64 - bits + each).cast("int"))
         place = F.shiftrightunsigned(t, 62 - bits).bitwiseAND(F.lit(60)).cast("int")  # 4 bits for each of 16 cells
         level = F.call_function("shiftrightunsigned", word, place).bitwiseAND(F.lit((1 << LEVEL_BITS) - 1))
-        return F.shiftleft(level, 63 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(t, 1 + LEVEL_BITS))
+        # never null, which the sort needs to know to work on plain numbers
+        return F.coalesce(F.shiftleft(level, 63 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(t, 1 + LEVEL_BITS)), F.lit(0).cast("bigint"))
 
     return F.sort_array(F.transform(tokens, one))
 
@@ -128,7 +131,8 @@ def _live(heads: DataFrame, heavy: int) -> DataFrame:
     level = F.shiftright("token", 63 - LEVEL_BITS)
     e = e.where(level > 0).select("token", F.when(level >= heavy, 1 + F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), "k", _at(F.col("n"), F.col("pos")).alias("at"), "s1", "s2")
     w = W.partitionBy("token", "salt").orderBy("k")
-    e = e.withColumns({"place": F.row_number().over(w), "last": F.lead("k").over(w).isNull(), **{f"h_{c}": F.first(c).over(w) for c in _SET}})
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)  # the frame of row_number, so that one pass does both
+    e = e.withColumns({"place": F.row_number().over(w), "last": F.lead("k").over(w).isNull(), **{f"h_{c}": F.first(c).over(so_far) for c in _SET}})
     e = e.where("salt > 0 or place > 1 or not last")
     hub = F.when((F.col("place") > 1) & _fits("", "h_"), F.col("h_k"))
     return saved(e.select("token", *_SET, F.when(F.col("salt") > 0, None).otherwise(F.col("place")).alias("place"), "last", hub.alias("hub")), "live")
