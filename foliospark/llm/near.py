@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .lm import packed, unpacked
 from .setjoin import bitmap, hub_pairs, keys_of, left_of, live_entries, prefix_size, rest_pairs, size_of, with_texts
-from .shared import forget, saved
+from .shared import forget, release, saved
 from .words import NOT_SPACE, gram_hashes, mix, slices, words_of
 
 NUM, DEN, SHINGLE = 3, 4, 5
@@ -174,6 +174,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     entries = named.mapInArrow(_entries(ranks_b, limit, common, most_matches), "token bigint, key bigint, at bigint, heavy boolean")
     live = saved(live_entries(entries, central=True), "prefixes")
     more_tokens = saved(matches(live, most_matches), "matches")
+    release(spark)
 
     def similar(pairs: DataFrame) -> DataFrame:
         pairs = saved(pairs, "pairs")

@@ -8,6 +8,7 @@ import gc
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 PLAN_TEXT = 1 << 16
@@ -63,9 +64,24 @@ def forget(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner find the shuffle files of queries that have ended."""
+    """Lets Spark's cleaner find the shuffle files of queries that have ended, and the system have the driver's free memory."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # not every JVM has the command
+        _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """Returns to the system what the driver's JVM has freed outside its heap: compilers of long queries leave much there."""
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    text, bean = jvm.java.lang.String, jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    kinds = [bean.getClass(), jvm.java.lang.Class.forName("java.lang.String"), jvm.java.lang.Class.forName("[Ljava.lang.Object;"), jvm.java.lang.Class.forName("[Ljava.lang.String;")]
+    types, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, (kind, value) in enumerate(zip(kinds, [bean, "systemTrimNativeHeap", gateway.new_array(jvm.java.lang.Object, 0), gateway.new_array(text, 0)])):
+        types[i], values[i] = kind, value
+    # by the interface's method, as the server's own class isn't open
+    invoke = jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types)
+    invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
