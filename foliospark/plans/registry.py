@@ -81,10 +81,17 @@ def distinct_words(spark, sf_dir):
 with i as (select item_id, unnest({_LONG.format('text')}) as w, len({_LONG.format('text')}) as n from benchmark), d as (select doc_id, unnest({_LONG.format('text')}) as w from documents)
 select item_id, doc_id, round(count(*) / any_value(n), 6) as share from i join d using (w) group by item_id, doc_id having count(*) / any_value(n) >= 0.80""")
 def containment_dedup(spark, sf_dir):
-    i = table(spark, sf_dir, "benchmark").select("item_id", T.long_words(c("text")).alias("w")).withColumn("n", F.size("w")).select("item_id", "n", F.explode("w").alias("w"))
-    d = docs(spark, sf_dir).select("doc_id", F.explode(T.long_words(c("text"))).alias("w"))
-    n = i.join(d, "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-    return n.where(c("k") / c("n") >= V.CONTAINED).select("item_id", "doc_id", r6(c("k") / c("n"), "share"))
+    i = table(spark, sf_dir, "benchmark").select("item_id", T.long_words(c("text")).alias("iw"))
+    d = docs(spark, sf_dir).select("doc_id", T.long_words(c("text")).alias("dw"))
+    own = d.select("doc_id", F.explode("dw").alias("w")).join(i.select(F.explode("iw").alias("w")).distinct(), "w", "left_semi")
+    times = own.groupBy("w").agg(F.count(F.lit(1)).alias("times"))
+    # a document with enough of an item's n words has one of its n - ceil(0.8 n) + 1 rarest
+    rare = i.select("item_id", F.explode("iw").alias("w")).join(times, "w", "left").groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "w"))).alias("o"))
+    n = F.size("o")
+    rare = rare.select("item_id", F.explode(F.slice("o", F.lit(1), n - F.ceil(n * V.CONTAINED - 1e-9).cast("int") + 1)["w"]).alias("w"))
+    pairs = own.join(rare, "w").select("item_id", "doc_id").distinct()
+    share = F.size(F.array_intersect("iw", "dw")) / F.size("iw")
+    return pairs.join(i, "item_id").join(d, "doc_id").where(share >= V.CONTAINED).select("item_id", "doc_id", r6(share, "share"))
 
 
 @query("""
@@ -145,8 +152,10 @@ select doc_id, concat_ws(chr(10), concat('## Página ', rn, ' de ', n), '', case
   case when (body0 = '' and doc_id % 10 <> 0) or (body0 <> '' and not {_USABLE.format('body0')} and doc_id % 10 <> 0 and doc_id % 9 <> 0) then '{V.NO_TEXT}' else body0 end,
   case when doc_id % 10 = 0 then concat_ws(chr(10), '', concat('> **[Texto extraído de imagem na página ', rn, ']**'), '> trecho um', '> dois', case when doc_id % 20 = 0 then '{V.LOW_NOTE}' end) end) as section from b""")
 def md_sections(spark, sf_dir):
-    w = Win.partitionBy("source")
-    p = _bad(docs(spark, sf_dir)).withColumns({"rn": F.row_number().over(w.orderBy("doc_id")), "n": F.count(F.lit(1)).over(w)})
+    # pages are numbered without their texts; the total comes from an aggregation
+    d = docs(spark, sf_dir)
+    places = d.select("source", "doc_id").withColumn("rn", F.row_number().over(Win.partitionBy("source").orderBy("doc_id")))
+    p = _bad(d.select("doc_id", "text")).join(places, "doc_id").join(d.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source")
     t = F.when(c("doc_id") % 4 == 0, F.concat(c("text"), F.lit("\n"), T.page_label(c("rn"), c("n")))).otherwise(c("text"))
     blocks = F.when(c("doc_id") % 10 == 0, F.array(F.struct(F.lit("trecho um\n\ndois").alias("text"), F.when(c("doc_id") % 20 == 0, 30.0).otherwise(85.0).alias("conf"))))
     none = F.lit(None).cast("array<string>")
