@@ -17,6 +17,7 @@ A line's tokens are its distinct words (by 64-bit hash). The steps:
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -31,6 +32,8 @@ LEAST = DEN - 1
 MOST_CELLS, LEVEL_BITS = 1 << 19, 4
 #: Tokens that this many lines have are dealt to SALTS parts.
 HEAVY, SALTS = 1 << 16, 64
+#: Prefix tokens are worked off in so many parts.
+PARTS = 2
 #: Lines of more tokens have a sketch of one half of their tokens as well, which makes it two of 64 bits.
 WIDE = 64
 _RARE_GAP = "[\\t\\x0B\\x0C\\r]"
@@ -124,30 +127,53 @@ def _heads(lines: DataFrame) -> tuple[DataFrame, int]:
     return saved(heads.orderBy("first").withColumn("k", F.monotonically_increasing_id()), "heads"), heavy
 
 
-def _live(heads: DataFrame, heavy: int) -> DataFrame:
+def _live(heads: DataFrame, heavy: int) -> list[DataFrame]:
     """A row for each head and prefix token that another head has as well, its place in the token's group (no place in a
-    salted group), whether it is the last there, and `hub`, the group's first head, if the two may match."""
+    salted group), whether it is the last there, and `hub`, the group's first head, if the two may match. PARTS tables
+    by token, made one after the other, so that the shuffle of one part alone is on disk."""
     e = heads.select("k", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "token"))
     level = F.shiftright("token", 63 - LEVEL_BITS)
     e = e.where(level > 0).select("token", F.when(level >= heavy, 1 + F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), "k", _at(F.col("n"), F.col("pos")).alias("at"), "s1", "s2")
     w = W.partitionBy("token", "salt").orderBy("k")
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)  # the frame of row_number, so that one pass does both
-    e = e.withColumns({"place": F.row_number().over(w), "last": F.lead("k").over(w).isNull(), **{f"h_{c}": F.first(c).over(so_far) for c in _SET}})
-    e = e.where("salt > 0 or place > 1 or not last")
     hub = F.when((F.col("place") > 1) & _fits("", "h_"), F.col("h_k"))
-    return saved(e.select("token", *_SET, F.when(F.col("salt") > 0, None).otherwise(F.col("place")).alias("place"), "last", hub.alias("hub")), "live")
-
-
-def _rest(live: DataFrame, settled: DataFrame) -> DataFrame:
-    """(x, y): heads that aren't settled and the earlier heads of their tokens, without the pairs with the first one."""
-    x = live.where("place is null or place > 2")
-    done = bitmap(settled, "k")
-    if done is not None:
-        x = x.where(~done).unionByName(x.where(done).join(settled, "k", "left_anti").select(*x.columns))
-    y = live.where("place is null or (place > 1 and not last)")
-    x = x.select("token", *(F.col(c).alias(f"x_{c}") for c in _SET))
-    y = y.select("token", *(F.col(c).alias(f"y_{c}") for c in _SET))
-    return x.join(y, "token").where((F.col("y_k") < F.col("x_k")) & _fits("x_", "y_")).select(F.col("x_k").alias("x"), F.col("y_k").alias("y")).distinct()
+    parts = []
+    for part in range(PARTS):
+        d = e.where(F.pmod("token", F.lit(PARTS)) == part)
+        d = d.withColumns({"place": F.row_number().over(w), "last": F.lead("k").over(w).isNull(), **{f"h_{c}": F.first(c).over(so_far) for c in _SET}})
+        d = d.where("salt > 0 or place > 1 or not last")
+        parts.append(saved(d.select("token", *_SET, F.when(F.col("salt") > 0, None).otherwise(F.col("place")).alias("place"), "last", hub.alias("hub")), "live"))
+        release(heads.sparkSession)
+    return parts
+
+
+def _rest(live: DataFrame, settled: DataFrame, done: Column | None) -> DataFrame:
+    """(x, y): heads that aren't settled and the earlier heads of their tokens, without the pairs with the first one.
+    done: a test that is true for all of `settled`. Both sides of the join are the same rows, which are shuffled once;
+    a number says what a row may be: 1 the later head, 2 the earlier one, 3 both."""
+    later, earlier = F.expr("place is null or place > 2"), F.expr("place is null or (place > 1 and not last)")
+    may = later.cast("int").bitwiseOR(F.shiftleft(earlier.cast("int"), 1))
+    row = ("token", *_SET)
+    if done is None:
+        rows = live.select(*row, may.alias("may"))
+    else:
+        marked = live.where(done).join(settled.select("k", F.lit(True).alias("settled")), "k", "left")
+        rows = live.where(~done).select(*row, may.alias("may")).unionByName(marked.select(*row, F.when(F.col("settled"), may.bitwiseAND(F.lit(2))).otherwise(may).alias("may")))
+    rows = rows.where("may > 0")
+    x, y = (rows.select("token", *(F.col(c).alias(f"{side}_{c}") for c in (*_SET, "may"))) for side in "xy")
+    # one number of both sides, so that no side is filtered by itself and the two stay alike
+    able = F.col("x_may").bitwiseAND(F.shiftright("y_may", 1)).bitwiseAND(F.lit(1)) == 1
+    return x.join(y, "token").where(able & (F.col("y_k") < F.col("x_k")) & _fits("x_", "y_")).select(F.col("x_k").alias("x"), F.col("y_k").alias("y")).distinct()
+
+
+def _rest_of(parts: list[DataFrame], settled: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The pairs of all parts, and the tables that they are in."""
+    done, pairs = bitmap(settled, "k"), []
+    for part in parts:
+        pairs.append(saved(_rest(part, settled, done), "rest"))
+        forget(part)
+        release(part.sparkSession)
+    return reduce(DataFrame.unionByName, pairs).distinct(), pairs
 
 
 def _verified(texts: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -184,9 +210,10 @@ def removed_lines(texts: DataFrame) -> DataFrame:
     all_heads, heads = heads, saved(heads.select("k", "c1", "c2", "first", "c"), "heads")
     forget(all_heads)
     release(spark)
-    one = _verified(texts, heads, live.where("hub is not null").select(F.col("k").alias("x"), F.col("hub").alias("y")).distinct())
-    two = _verified(texts, heads, _rest(live, one))
-    forget(live)
+    one = _verified(texts, heads, reduce(DataFrame.unionByName, live).where("hub is not null").select(F.col("k").alias("x"), F.col("hub").alias("y")).distinct())
+    pairs, tables = _rest_of(live, one)
+    two = _verified(texts, heads, pairs)
+    forget(*tables)
     release(spark)
     later = heads.join(one.unionByName(two), "k").select(F.col("first.id").alias("id"), F.col("first.name").alias("name"), F.col("first.no").alias("no"))
     own = F.struct("id", "name", "no")
