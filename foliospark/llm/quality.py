@@ -212,12 +212,14 @@ def _sequences(found: Lines, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return xs, ys
 
 
+#: Bytes of text that are judged at once.
+SLICE = 1 << 20
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _judge(field: Field, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", SLICE):
             found = lines_of(batch.column("_text"))
             label = field.decode(found.features, found.first)
             content = sums(found.words * label, found.first)
