@@ -11,9 +11,9 @@ their context may have been seen, and by what the filter may claim falsely of a
 weight of pairs shrinks alike, so rare contexts lean on the word. To keep the false claims few, the number of probes
 follows the input: about one false pair in a vocabulary.
 
-Counting: each slice of documents sends its distinct n-grams, packed by shard (upper bits of the hash), so that a
-shard has bounded size and a frequent word at most one entry for each slice. The number of shards follows the
-input. Each shard makes its part of the filter and keeps the words' exact counts, which the base score needs.
+Counting: a task adds up the distinct n-grams of its slices of documents, up to COUNT_KEYS of them, and sends the
+sums packed by shard (upper bits of the hash), so that a shard has bounded size and a frequent word at most one
+entry for each sum. The number of shards follows the input. Each shard makes its part of the filter and keeps the words' exact counts, which the base score needs.
 
 The parts are broadcast together if they have at most MOST_FILTER bytes. Beyond that each slice sends the n-grams
 it needs to their shards, and the levels come back, which is the same as what a broadcast filter says.
@@ -38,6 +38,8 @@ PAIR_WEIGHT, ADD = 0.3, 0.5
 #: Fewest and most probes; bytes of text that give a new word, roughly.
 LEAST_PROBES, MOST_PROBES, BYTES_A_WORD = 8, 32, 64
 END, START = np.uint64(0x5F3759DF9E3779B1), np.uint64(0xC2B2AE3D27D4EB4F)
+#: N-grams whose counts a task adds up before it sends them.
+COUNT_KEYS = 1 << 20
 #: Counts from which the levels start: about two to a doubling.
 THRESHOLDS = np.unique(np.round(2 ** (np.arange(80) / 2)).astype(np.int64))
 #: The least and the most count of a level; level 0 is not seen.
@@ -182,17 +184,37 @@ def _batch(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
 _COUNT = {"shard": pa.int32(), "kind": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams in order, with the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, counts = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def _count(shards: int):
+    def sent(held: tuple[list, list]) -> pa.RecordBatch:
+        out = []
+        for kind, parts in enumerate(held):
+            keys, counts = _added(parts)
+            out += [(s, kind, pack_keys(keys[a:z]), packed(counts[a:z].astype("<u4"))) for s, a, z in _by_shard(keys, shards)]
+            parts.clear()
+        return _batch(out, _COUNT)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
         for batch in slices(batches, "_text", SLICE):
             t = Tokens(batch)
             train = ~t.held_out[t.row]
-            out = []
             pairs = pair_keys(t.before[train], t.now[train])
-            for kind, keys in ((0, t.now[train]), (1, np.concatenate([pairs, np.full(int((~t.held_out).sum()), START)]))):
-                keys, counts = np.unique(keys, return_counts=True)
-                out += [(s, kind, pack_keys(keys[a:z]), packed(counts[a:z].astype("<u4"))) for s, a, z in _by_shard(keys, shards)]
-            yield _batch(out, _COUNT)
+            held[0].append(np.unique(t.now[train], return_counts=True))
+            held[1].append(np.unique(np.concatenate([pairs, np.full(int((~t.held_out).sum()), START)]), return_counts=True))
+            if sum(len(k) for parts in held for k, _ in parts) >= COUNT_KEYS:
+                yield sent(held)
+        yield sent(held)
 
     return run
 
@@ -201,14 +223,7 @@ _SHARD = {"shard": pa.int32(), "part": pa.binary(), "keys": pa.binary(), "counts
 
 
 def _merged(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(unpack_keys(k), unpacked(c, "<u4")) for q, k, c in zip(*(table.column(x).to_pylist() for x in ("kind", "keys", "counts"))) if q == kind]
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys, counts = np.concatenate([k for k, _ in rows]), np.concatenate([c for _, c in rows]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    return _added([(unpack_keys(k), unpacked(c, "<u4")) for q, k, c in zip(*(table.column(x).to_pylist() for x in ("kind", "keys", "counts"))) if q == kind])
 
 
 def _shard(probes: int):
