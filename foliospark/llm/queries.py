@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, lm, near, packing, quality, sharding, substrings, urls
+from . import chat, decontam, linededup, lm, near, packing, quality, sharding, substrings, trie, urls
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -69,7 +69,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_line_dedup, op7_format_chats, op8_pack, op9_shard, op10_substring_dedup)}
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.named_turns(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_line_dedup, op7_format_chats, op8_pack, op9_shard, op10_substring_dedup, op11_conversation_trie)}
 
 _AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPED = "(length({0}) + 4 * (length({0}) - length(replace({0}, '&', ''))) + 3 * (length({0}) - length(replace(replace({0}, '<', ''), '>', ''))))"
@@ -79,6 +83,10 @@ def _term(terms) -> str:
     return f"regexp_matches(u, '(^|[^a-z0-9])({'|'.join(terms)})($|[^a-z0-9])')"
 
 
+# CRC-32 of a string of ASCII characters; DuckDB has no such function
+_CRC_TABLE = "(select list(list_reduce(range(0, 8), lambda a, i: case when a & 1 = 1 then xor(3988292384, a >> 1) else a >> 1 end, n) order by n) from range(0, 256) as r(n))"
+_CRC = "xor(list_reduce(list_transform(range(1, length({0}) + 1), lambda i: cast(ascii(substr({0}, i, 1)) as bigint)), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8), 4294967295), 4294967295)"
+
 ORACLE: dict[str, str] = {
     "op1_decontaminate": f"""
 with d as (select doc_id, coalesce(regexp_extract_all({_AZ.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) as w from documents),
@@ -107,4 +115,17 @@ f as (select h, min(doc_id) as a from x group by h having min(doc_id) <> max(doc
 c as (select distinct doc_id, unnest(range(i, i + 50)) as k from x join f using (h) where doc_id > a),
 k as (select doc_id, count(*) filter (c.k is not null) as n_removed, string_agg(word, ' ' order by p.k) filter (c.k is null) as kept from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as k from d) p left join c using (doc_id, k) group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join k using (doc_id)""",
+    "op11_conversation_trie": f"""
+with t as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos,
+    sha256(concat(length(coalesce(role, '')), ':', role, text)) as name, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as words from conversations where conv_id is not null),
+ids as (select c, {_CRC.format("cast(c as varchar)")} % 4 as h from (select distinct c from t), (select {_CRC_TABLE} as tab)),
+r as (select ids.c, 0 as part, pos, name, words from ids join t on t.c = ids.c - ids.c % 20 and pos < h union all select ids.c, 1, pos, name, words from ids join t on t.c = ids.c where pos >= h),
+s as (select ids.c, coalesce(list(name order by part, pos) filter (name is not null), []) as k, coalesce(list(words order by part, pos) filter (name is not null), []) as w from ids left join r on r.c = ids.c group by ids.c),
+p as (select c, len(k) as n, d, array_to_string(k[1:d], '') as path, w[d] as words from (select *, unnest(range(0, len(k) + 1)) as d from s)),
+node as (select path, d, min(c) as conv_id, count(*) as n, coalesce(any_value(words), 0) as words, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (d = n), '')) as ends from p group by path, d),
+kids as (select substr(path, 1, 64 * (d - 1)) as path, count(*) as n_children from node where d > 0 group by 1),
+one as (select node.*, coalesce(n_children, 0) as n_children from node left join kids using (path)),
+sub as (select substr(path, 1, 64 * a) as path, sum((n - 1) * words) as saved, count(*) filter (n_children = 0) as leaves from (select *, unnest(range(0, d + 1)) as a from one) group by 1)
+select one.conv_id, one.d as depth, up.conv_id as parent_conv_id, one.n as n_convs, one.n_children, leaves as n_leaves, cast(saved as bigint) as saved_tokens, one.ends as ends_sha256
+from one join sub using (path) left join node as up on one.d > 0 and up.path = substr(one.path, 1, 64 * (one.d - 1))""",
 }
