@@ -39,7 +39,7 @@ PAIR_WEIGHT, ADD = 0.3, 0.5
 LEAST_PROBES, MOST_PROBES, BYTES_A_WORD = 8, 32, 64
 END, START = np.uint64(0x5F3759DF9E3779B1), np.uint64(0xC2B2AE3D27D4EB4F)
 #: N-grams whose counts a task adds up before it sends them.
-COUNT_KEYS = 1 << 20
+COUNT_KEYS = 1 << 21
 #: Counts from which the levels start: about two to a doubling.
 THRESHOLDS = np.unique(np.round(2 ** (np.arange(80) / 2)).astype(np.int64))
 #: The least and the most count of a level; level 0 is not seen.
@@ -243,9 +243,24 @@ _ASK = {"split": pa.int64(), "shard": pa.int32(), "kind": pa.int32(), "data": pa
 _DOCS = 2
 
 
+def _places(words: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct n-grams of a slice in order, and the places in them of each token's pair, its word and its context.
+    words: its distinct words in order; word: the places in them of the tokens; first: each text's first token."""
+    now, inner = words[word], np.ones(len(word), bool)
+    inner[first[:-1]] = False
+    before = np.full(len(now), START, np.uint64)
+    before[inner] = now[np.flatnonzero(inner) - 1]
+    grams, gram = np.unique(np.concatenate([words, [START], pair_keys(before, now)]), return_inverse=True)
+    own = gram[: len(words) + 1]
+    context = np.full(len(now), len(words))
+    context[inner] = word[np.flatnonzero(inner) - 1]
+    return grams, gram[len(words) + 1 :], own[word], own[context]
+
+
 def _ask(shards: int, filter_b, model: Model):
     """Rows for the shards: the words (kind 0), and without a broadcast filter the n-grams (kind 1), that a slice
-    needs; and a row (kind 2, shard -1) with its documents: ids, tokens as places in the words, and scores if known."""
+    needs; and a row (kind 2, shard -1) with its documents: ids, tokens as places in the words, and the scores if they are
+    known, else the words, from which the n-grams are found again when their levels have come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -255,25 +270,18 @@ def _ask(shards: int, filter_b, model: Model):
             split = int.from_bytes(os.urandom(8), "little", signed=True)
             words, word = np.unique(t.now, return_inverse=True)
             out = [(split, s, 0, pack_keys(words[a:z])) for s, a, z in _by_shard(words, shards)]
-            grams, gram = np.unique(np.concatenate([words, [START], pair_keys(t.before, t.now)]), return_inverse=True)
-            own = gram[: len(words) + 1]
-            context = np.full(len(t.now), len(words))
-            inner = np.ones(len(t.now), bool)
-            inner[t.first[:-1]] = False
-            context[inner] = word[np.flatnonzero(inner) - 1]
-            of_pair, of_word, of_context = gram[len(words) + 1 :], own[word], own[context]
+            grams, *places = _places(words, word, t.first)
             if filter_b is not None:
-                score = _scores(filter_b.value.levels(grams, shard_of(grams, shards)), of_pair, of_word, of_context, t.first, model)
-                docs = [packed(score)]
+                more = [packed(_scores(filter_b.value.levels(grams, shard_of(grams, shards)), *places, t.first, model))]
+                # the words of a text in any order: sorted, they pack better
+                word = word[np.lexsort((word, t.row))]
             else:
                 out += [(split, s, 1, pack_keys(grams[a:z])) for s, a, z in _by_shard(grams, shards)]
-                docs = [packed(x.astype("<u4")) for x in (of_pair, of_word, of_context)]
+                more = [pack_keys(words), b""]
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema.remove(batch.schema.get_field_index("_text"))) as to:
                 to.write_batch(batch.drop_columns(["_text"]))
-            # the words of a text in any order: sorted, they pack better
-            order = np.lexsort((word, t.row))
-            docs = [sink.getvalue().to_pybytes(), packed(t.first.astype("<u4")), packed(word[order].astype("<u4")), packed(t.held_out.astype(np.uint8)), *docs]
+            docs = [sink.getvalue().to_pybytes(), packed(t.first.astype("<u4")), packed(word.astype("<u4")), packed(t.held_out.astype(np.uint8)), *more]
             out.append((split, -1, _DOCS, b"".join(len(x).to_bytes(8, "little") + x for x in docs)))
             yield _batch(out, _ASK)
 
@@ -317,13 +325,13 @@ def _finish(model: Model, kinds: pa.Schema):
             parts.append(data[8 : 8 + size])
             data = data[8 + size :]
         batch = pa.ipc.open_stream(parts[0]).read_all().combine_chunks()
-        first, word, held_out = unpacked(parts[1], "<u4").astype(np.int64), unpacked(parts[2], "<u4"), unpacked(parts[3], "u1") == 1
+        first, word, held_out = unpacked(parts[1], "<u4").astype(np.int64), unpacked(parts[2], "<u4").astype(np.int64), unpacked(parts[3], "u1") == 1
         count = np.concatenate([unpacked(d, "<u8") for k, _, d in rows if k == 0])[word].astype(np.float64)
         if len(parts) == 5:
             score = unpacked(parts[4], "<f8")
         else:
             levels = np.concatenate([unpacked(d, "u1") for k, _, d in rows if k == 1])
-            score = _scores(levels, *(unpacked(x, "<u4") for x in parts[4:7]), first, model)
+            score = _scores(levels, *_places(unpack_keys(parts[4]), word, first)[1:], first, model)
         base = np.add.reduceat(np.log10(model.base(count)), first[:-1])
         known = np.add.reduceat((count > 0).astype(np.int64), first[:-1])
         more = [pa.array(held_out), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(base), model.tokens)), pa.array(base), pa.array(score)]
