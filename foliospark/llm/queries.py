@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, lm, near, packing, quality, sharding, substrings, trie, urls
+from . import chat, decontam, linededup, lm, near, packing, quality, quantiles, ranking, sharding, substrings, trie, urls
 
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
@@ -73,7 +73,16 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(trie.rebuilt(trie.named_turns(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_line_dedup, op7_format_chats, op8_pack, op9_shard, op10_substring_dedup, op11_conversation_trie)}
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ranking.rank_quality(docs, ranking.fit_ranking(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_quantile_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.verified_quantiles(quantiles.shop_values(*(table(spark, sf_dir, t) for t in ("clicks", "sale_lines", "items"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm_score, op3_quality_rules, op4_ngram_jaccard, op5_url_filter, op6_line_dedup, op7_format_chats, op8_pack, op9_shard, op10_substring_dedup, op11_conversation_trie, op12_quality_classifier, op13_quantile_summaries)}
 
 _AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ESCAPED = "(length({0}) + 4 * (length({0}) - length(replace({0}, '&', ''))) + 3 * (length({0}) - length(replace(replace({0}, '<', ''), '>', ''))))"
