@@ -11,12 +11,16 @@ their context may have been seen, and by what the filter may claim falsely of a
 weight of pairs shrinks alike, so rare contexts lean on the word. To keep the false claims few, the number of probes
 follows the input: about one false pair in a vocabulary.
 
-Counting: a task adds up the distinct n-grams of its slices of documents, up to COUNT_KEYS of them, and sends the
+Documents are cut into slices, which are written as tokens once: a slice's distinct words as hashes, and each token as a
+place in them. Counting and scoring read these.
+
+Counting: a task adds up the distinct n-grams of its slices, up to COUNT_KEYS of them, and sends the
 sums packed by shard (upper bits of the hash), so that a shard has bounded size and a frequent word at most one
 entry for each sum. The number of shards follows the input. Each shard makes its part of the filter and keeps the words' exact counts, which the base score needs.
 
 The parts are broadcast together if they have at most MOST_FILTER bytes. Beyond that each slice sends the n-grams
-it needs to their shards, and the levels come back, which is the same as what a broadcast filter says.
+it needs to their shards, and the levels come back, which is the same as what a broadcast filter says. A slice sends a row to
+each shard that it needs, at most one for each of its distinct n-grams.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,14 +163,58 @@ class Tokens:
 
     def __init__(self, batch: pa.RecordBatch) -> None:
         w = words_of(batch.column("_text"), NOT_SPACE, lower=True)
-        rows = np.arange(w.rows)
         self.first = w.first + np.arange(w.rows + 1)
         self.now = np.full(len(w.row) + w.rows, END, np.uint64)
         self.now[np.arange(len(w.row)) + w.row] = w.hashes()
-        self.before = np.concatenate([[START], self.now[:-1]]) if len(self.now) else self.now
-        self.before[self.first[:-1]] = START
         self.held_out = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 1 for i in batch.column("_id").to_pylist()], bool)
-        self.row = np.repeat(rows, np.diff(self.first))
+
+
+_SLICE = {"split": pa.int64(), "size": pa.int64(), "data": pa.binary()}
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each slice: a random name, bytes of text, and the slice as `Slice` reads it."""
+    import os
+
+    for batch in slices(batches, "_text", SLICE):
+        t = Tokens(batch)
+        words, word = np.unique(t.now, return_inverse=True)
+        sink = pa.BufferOutputStream()
+        rest = batch.drop_columns(["_text"])
+        with pa.ipc.new_stream(sink, rest.schema) as to:
+            to.write_batch(rest)
+        parts = [sink.getvalue().to_pybytes(), packed(t.first.astype("<u4")), packed(word.astype("<u4")), packed(t.held_out.astype(np.uint8)), pack_keys(words)]
+        size = int(pc.sum(pc.binary_length(batch.column("_text"))).as_py() or 0)
+        yield _batch([(int.from_bytes(os.urandom(8), "little", signed=True), size, b"".join(len(x).to_bytes(8, "little") + x for x in parts))], _SLICE)
+
+
+class Slice:
+    """Some documents: their other columns (rows), each one's first token, its distinct words in order, and tokens as places in them."""
+
+    def __init__(self, data: bytes) -> None:
+        parts = []
+        while data:
+            size = int.from_bytes(data[:8], "little")
+            parts.append(data[8 : 8 + size])
+            data = data[8 + size :]
+        self.rows = pa.ipc.open_stream(parts[0]).read_all().combine_chunks()
+        self.first, self.word = unpacked(parts[1], "<u4").astype(np.int64), unpacked(parts[2], "<u4").astype(np.int64)
+        self.held_out, self.words = unpacked(parts[3], "u1") == 1, unpack_keys(parts[4])
+
+    def context(self) -> np.ndarray:
+        """The place of each token's context: the word before, or len(words) at the start of a text."""
+        out = np.concatenate([[0], self.word[:-1]]) if len(self.word) else self.word.copy()
+        out[self.first[:-1]] = len(self.words)
+        return out
+
+    def pairs(self) -> np.ndarray:
+        return pair_keys(np.append(self.words, START)[self.context()], self.words[self.word])
+
+    def grams(self) -> tuple[np.ndarray, ...]:
+        """The distinct n-grams in order, and the places in them of each token's pair, its word and its context."""
+        grams, gram = np.unique(np.concatenate([self.words, [START], self.pairs()]), return_inverse=True)
+        own = gram[: len(self.words) + 1]
+        return grams, gram[len(self.words) + 1 :], own[self.word], own[self.context()]
 
 
 def _by_shard(keys: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
@@ -206,14 +255,15 @@ def _count(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list] = ([], [])
-        for batch in slices(batches, "_text", SLICE):
-            t = Tokens(batch)
-            train = ~t.held_out[t.row]
-            pairs = pair_keys(t.before[train], t.now[train])
-            held[0].append(np.unique(t.now[train], return_counts=True))
-            held[1].append(np.unique(np.concatenate([pairs, np.full(int((~t.held_out).sum()), START)]), return_counts=True))
-            if sum(len(k) for parts in held for k, _ in parts) >= COUNT_KEYS:
-                yield sent(held)
+        for batch in batches:
+            for data in batch.column("data"):
+                t = Slice(data.as_py())
+                train = np.repeat(~t.held_out, np.diff(t.first))
+                times = np.bincount(t.word[train], minlength=len(t.words))
+                held[0].append((t.words[times > 0], times[times > 0]))
+                held[1].append(np.unique(np.concatenate([t.pairs()[train], np.full(int((~t.held_out).sum()), START)]), return_counts=True))
+                if sum(len(k) for parts in held for k, _ in parts) >= COUNT_KEYS:
+                    yield sent(held)
         yield sent(held)
 
     return run
@@ -240,50 +290,20 @@ def _shard(probes: int):
 
 
 _ASK = {"split": pa.int64(), "shard": pa.int32(), "kind": pa.int32(), "data": pa.binary()}
-_DOCS = 2
-
-
-def _places(words: np.ndarray, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct n-grams of a slice in order, and the places in them of each token's pair, its word and its context.
-    words: its distinct words in order; word: the places in them of the tokens; first: each text's first token."""
-    now, inner = words[word], np.ones(len(word), bool)
-    inner[first[:-1]] = False
-    before = np.full(len(now), START, np.uint64)
-    before[inner] = now[np.flatnonzero(inner) - 1]
-    grams, gram = np.unique(np.concatenate([words, [START], pair_keys(before, now)]), return_inverse=True)
-    own = gram[: len(words) + 1]
-    context = np.full(len(now), len(words))
-    context[inner] = word[np.flatnonzero(inner) - 1]
-    return grams, gram[len(words) + 1 :], own[word], own[context]
 
 
-def _ask(shards: int, filter_b, model: Model):
-    """Rows for the shards: the words (kind 0), and without a broadcast filter the n-grams (kind 1), that a slice
-    needs; and a row (kind 2, shard -1) with its documents: ids, tokens as places in the words, and the scores if they are
-    known, else the words, from which the n-grams are found again when their levels have come back."""
+def _ask(shards: int, pairs_too: bool):
+    """Rows for the shards: the words (kind 0), and without a broadcast filter the n-grams (kind 1), that a slice needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        for batch in slices(batches, "_text", SLICE):
-            t = Tokens(batch)
-            split = int.from_bytes(os.urandom(8), "little", signed=True)
-            words, word = np.unique(t.now, return_inverse=True)
-            out = [(split, s, 0, pack_keys(words[a:z])) for s, a, z in _by_shard(words, shards)]
-            grams, *places = _places(words, word, t.first)
-            if filter_b is not None:
-                more = [packed(_scores(filter_b.value.levels(grams, shard_of(grams, shards)), *places, t.first, model))]
-                # the words of a text in any order: sorted, they pack better
-                word = word[np.lexsort((word, t.row))]
-            else:
-                out += [(split, s, 1, pack_keys(grams[a:z])) for s, a, z in _by_shard(grams, shards)]
-                more = [pack_keys(words), b""]
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema.remove(batch.schema.get_field_index("_text"))) as to:
-                to.write_batch(batch.drop_columns(["_text"]))
-            docs = [sink.getvalue().to_pybytes(), packed(t.first.astype("<u4")), packed(word.astype("<u4")), packed(t.held_out.astype(np.uint8)), *more]
-            out.append((split, -1, _DOCS, b"".join(len(x).to_bytes(8, "little") + x for x in docs)))
-            yield _batch(out, _ASK)
+        for batch in batches:
+            for split, data in zip(batch.column("split").to_pylist(), batch.column("data")):
+                t = Slice(data.as_py())
+                out = [(split, s, 0, pack_keys(t.words[a:z])) for s, a, z in _by_shard(t.words, shards)]
+                if pairs_too:
+                    grams = t.grams()[0]
+                    out += [(split, s, 1, pack_keys(grams[a:z])) for s, a, z in _by_shard(grams, shards)]
+                yield _batch(out, _ASK)
 
     return run
 
@@ -316,36 +336,37 @@ def _answer(probes: int):
     return run
 
 
-def _finish(model: Model, kinds: pa.Schema):
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "shard", "data"))), key=lambda r: r[:2])
-        data, parts = next(d for k, _, d in rows if k == _DOCS), []
-        while data:
-            size = int.from_bytes(data[:8], "little")
-            parts.append(data[8 : 8 + size])
-            data = data[8 + size :]
-        batch = pa.ipc.open_stream(parts[0]).read_all().combine_chunks()
-        first, word, held_out = unpacked(parts[1], "<u4").astype(np.int64), unpacked(parts[2], "<u4").astype(np.int64), unpacked(parts[3], "u1") == 1
-        count = np.concatenate([unpacked(d, "<u8") for k, _, d in rows if k == 0])[word].astype(np.float64)
-        if len(parts) == 5:
-            score = unpacked(parts[4], "<f8")
-        else:
-            levels = np.concatenate([unpacked(d, "u1") for k, _, d in rows if k == 1])
-            score = _scores(levels, *_places(unpack_keys(parts[4]), word, first)[1:], first, model)
-        base = np.add.reduceat(np.log10(model.base(count)), first[:-1])
-        known = np.add.reduceat((count > 0).astype(np.int64), first[:-1])
-        more = [pa.array(held_out), pa.array(np.diff(first)), pa.array(known), pa.array(np.full(len(base), model.tokens)), pa.array(base), pa.array(score)]
-        names = [c for c in batch.column_names if c != "_id"]
-        return pa.Table.from_arrays([*(batch.column(c) for c in names), *more], names=kinds.names)
+def _finish(model: Model, kinds: pa.Schema, shards: int, filter_b):
+    def run(answers: pa.Table, own: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "data"))), key=lambda r: r[:2])
+        t = Slice(own.column("data")[0].as_py())
+        count = np.concatenate([unpacked(d, "<u8") for k, _, d in rows if k == 0])[t.word].astype(np.float64)
+        grams, *places = t.grams()
+        levels = filter_b.value.levels(grams, shard_of(grams, shards)) if filter_b is not None else np.concatenate([unpacked(d, "u1") for k, _, d in rows if k == 1])
+        base = np.add.reduceat(np.log10(model.base(count)), t.first[:-1])
+        known = np.add.reduceat((count > 0).astype(np.int64), t.first[:-1])
+        more = [pa.array(t.held_out), pa.array(np.diff(t.first)), pa.array(known), pa.array(np.full(len(base), model.tokens)), pa.array(base), pa.array(_scores(levels, *places, t.first, model))]
+        names = [c for c in t.rows.column_names if c != "_id"]
+        return pa.Table.from_arrays([*(t.rows.column(c) for c in names), *more], names=kinds.names)
 
     return run
 
 
-def train(d: DataFrame, *, pair_weight: float = PAIR_WEIGHT, slice_shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, Model, int, int]:
-    """The filter's parts with the words' exact counts, a row for each shard; the model; probes and shards. d: (_id, _text)."""
-    size = d.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+def sliced(d: DataFrame) -> DataFrame:
+    """d (_id, _text, and columns that stay) as a table of slices."""
+    return saved(d.mapInArrow(_sliced, "split bigint, size bigint, data binary"), "slices")
+
+
+def train(d: DataFrame, **options) -> tuple[DataFrame, Model, int, int]:
+    """As train_slices, on (_id, _text)."""
+    return train_slices(sliced(d), **options)
+
+
+def train_slices(held: DataFrame, *, pair_weight: float = PAIR_WEIGHT, slice_shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, Model, int, int]:
+    """The filter's parts with the words' exact counts, a row for each shard; the model; probes and shards."""
+    size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards, probes = max(4, -(-size // slice_shard_bytes)), probes_for(size)
-    counted = d.mapInArrow(_count(shards), "shard int, kind int, keys binary, counts binary")
+    counted = held.select("data").mapInArrow(_count(shards), "shard int, kind int, keys binary, counts binary")
     kinds = "shard int, part binary, keys binary, counts binary, words bigint, tokens bigint, total double, false double"
     made = saved(counted.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(probes), kinds), "shards")
     zero = lambda f, c: F.coalesce(f(c), F.lit(0))
@@ -372,14 +393,15 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     names = [id_col, *(keep or [])]
     inner = [f"_k{i}" for i in range(len(names))]
     d = docs.select(*(F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)), F.col(f"`{id_col}`").cast("string").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    made, model, probes, shards = train(d.select("_id", "_text"), pair_weight=pair_weight, slice_shard_bytes=slice_shard_bytes)
+    held = sliced(d)
+    made, model, probes, shards = train_slices(held, pair_weight=pair_weight, slice_shard_bytes=slice_shard_bytes)
     filter_b = None
     if made.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] <= most_filter:
         filter_b = docs.sparkSession.sparkContext.broadcast(whole_filter(made, shards, probes))
-    asked = saved(d.mapInArrow(_ask(shards, filter_b, model), "split bigint, shard int, kind int, data binary"), "asked")
-    answered = asked.where(f"kind <> {_DOCS}").repartition(shards, "shard").groupBy("shard").cogroup(made.repartition(shards, "shard").groupBy("shard")).applyInArrow(_answer(probes), "split bigint, shard int, kind int, data binary")
+    asked = held.select("split", "data").mapInArrow(_ask(shards, filter_b is None), "split bigint, shard int, kind int, data binary")
+    answered = asked.repartition(shards, "shard").groupBy("shard").cogroup(made.repartition(shards, "shard").groupBy("shard")).applyInArrow(_answer(probes), "split bigint, shard int, kind int, data binary")
     kinds = ", ".join(f"{i} {d.schema[i].dataType.simpleString()}" for i in inner)
     out = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     schema = pa.schema([(x.split()[0], pa.null()) for x in [*inner, *out.split(", ")]])
-    both = asked.where(f"kind = {_DOCS}").unionByName(answered)
-    return both.groupBy("split").applyInArrow(_finish(model, schema), f"{kinds}, {out}").withColumnsRenamed(dict(zip(inner, names)))
+    both = answered.groupBy("split").cogroup(held.select("split", "data").groupBy("split"))
+    return both.applyInArrow(_finish(model, schema, shards, filter_b), f"{kinds}, {out}").withColumnsRenamed(dict(zip(inner, names)))
