@@ -540,4 +540,5 @@ def regression_compare(spark, sf_dir):
     return A.compare(a.where("page_id % 31 <> 0"), now).select("page_id", "verdict")
 
 
-from . import reports as _reports  # noqa: E402, F401  (adds its queries)
+from . import reports as _reports  # noqa: E402, F401  (these add their queries)
+from . import streams as _streams  # noqa: E402, F401
