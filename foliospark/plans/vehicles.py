@@ -159,16 +159,16 @@ select *, (chars >= 200 and text_loss > 0.35) or area_loss > 0.10 as rolled_back
 }
 
 
-def sql(names: str, select: str) -> str:
-    """A statement over these common table expressions and all that they need."""
-    order: list[str] = []
+def sql(names: str, select: str, given: dict[str, tuple[str, str]] | None = None) -> str:
+    """A statement over these common table expressions and all that they need; `given` are used in place of those of that name."""
+    order, known = [], CTE | (given or {})
 
     def add(name: str) -> None:
-        for x in CTE[name][0].split():
+        for x in known[name][0].split():
             add(x)
         if name not in order:
             order.append(name)
 
     for name in names.split():
         add(name)
-    return "with recursive " + ", ".join(f"{x} as ({CTE[x][1]})" for x in order) + f" {select}"
+    return "with recursive " + ", ".join(f"{x} as ({known[x][1]})" for x in order) + f" {select}"
