@@ -9,7 +9,7 @@ Scores are probabilities: over all training words and one unknown word, those af
 Words are divided by the sum of what the filter says of them, known once it is made. Pairs are divided by the most that
 their context may have been seen, and by what the filter may claim falsely of a whole vocabulary (Model.spare); the
 weight of pairs shrinks alike, so rare contexts lean on the word. To keep the false claims few, the number of probes
-follows the input: about one false pair in a vocabulary.
+and the bits of a key follow the input: about one false pair in a vocabulary.
 
 Documents are cut into slices, which are written as tokens once: a slice's distinct words as hashes, and each token as a
 place in them. Counting and scoring read these.
@@ -75,12 +75,12 @@ def unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(n)
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    return packed(np.diff(keys, prepend=np.uint64(0)))
+def pack_keys(keys: np.ndarray, drop: int = 0) -> bytes:
+    return packed(np.diff(keys >> np.uint64(drop), prepend=np.uint64(0)))
 
 
-def unpack_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
+def unpack_keys(data: bytes, drop: int = 0) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64) << np.uint64(drop)
 
 
 def probes_for(size: int) -> int:
@@ -88,8 +88,18 @@ def probes_for(size: int) -> int:
     return int(min(MOST_PROBES, max(LEAST_PROBES, np.ceil(np.log2(max(1, size / BYTES_A_WORD))))))
 
 
+def drop_for(probes: int) -> int:
+    """Low bits that the filter's keys can do without: with the others, two n-grams are taken for one no oftener than probes err.
+    A text has about 2 ** (probes + 4) n-grams."""
+    return 64 - min(64, max(40, 2 * probes + 6))
+
+
+def shortened(keys: np.ndarray, drop: int) -> np.ndarray:
+    return keys >> np.uint64(drop) << np.uint64(drop)
+
+
 class Filter:
-    """Parts of a log-frequency Bloom filter, one for each shard."""
+    """Parts of a log-frequency Bloom filter, one for each shard; it looks at keys as `shortened`."""
 
     def __init__(self, parts: list[np.ndarray], probes: int) -> None:
         self.size = np.array([8 * len(p) for p in parts], np.uint64)
@@ -105,7 +115,7 @@ class Filter:
     @classmethod
     def part(cls, keys: np.ndarray, counts: np.ndarray, probes: int) -> np.ndarray:
         """The bytes of a part that holds these n-grams; it is at most half full."""
-        levels = np.searchsorted(THRESHOLDS, counts, "right")
+        keys, levels = shortened(keys, drop_for(probes)), np.searchsorted(THRESHOLDS, counts, "right")
         n_bytes = max(8, -(-int(np.ceil(probes / np.log(2) * levels.sum())) // 8))
         bits, size = np.zeros(8 * n_bytes, bool), np.uint64(8 * n_bytes)
         for level in range(1, int(levels.max(initial=0)) + 1):
@@ -115,7 +125,7 @@ class Filter:
         return np.packbits(bits, bitorder="little")
 
     def levels(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(keys), np.uint8)
+        keys, out = shortened(keys, drop_for(self.probes)), np.zeros(len(keys), np.uint8)
         live = np.arange(len(keys))
         for level in range(1, len(THRESHOLDS) + 1):
             if not len(live):
@@ -210,9 +220,9 @@ class Slice:
     def pairs(self) -> np.ndarray:
         return pair_keys(np.append(self.words, START)[self.context()], self.words[self.word])
 
-    def grams(self) -> tuple[np.ndarray, ...]:
-        """The distinct n-grams in order, and the places in them of each token's pair, its word and its context."""
-        grams, gram = np.unique(np.concatenate([self.words, [START], self.pairs()]), return_inverse=True)
+    def grams(self, drop: int) -> tuple[np.ndarray, ...]:
+        """The distinct n-grams, shortened, in order, and the places in them of each token's pair, its word and its context."""
+        grams, gram = np.unique(shortened(np.concatenate([self.words, [START], self.pairs()]), drop), return_inverse=True)
         own = gram[: len(self.words) + 1]
         return grams, gram[len(self.words) + 1 :], own[self.word], own[self.context()]
 
@@ -244,12 +254,14 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _count(shards: int):
+def _count(shards: int, drop: int):
+    """Rows of counts for the shards: of words (kind 0) with their whole keys, of pairs and starts (kind 1) with shortened ones."""
+
     def sent(held: tuple[list, list]) -> pa.RecordBatch:
         out = []
         for kind, parts in enumerate(held):
             keys, counts = _added(parts)
-            out += [(s, kind, pack_keys(keys[a:z]), packed(counts[a:z].astype("<u4"))) for s, a, z in _by_shard(keys, shards)]
+            out += [(s, kind, pack_keys(keys[a:z], kind * drop), packed(counts[a:z].astype("<u4"))) for s, a, z in _by_shard(keys, shards)]
             parts.clear()
         return _batch(out, _COUNT)
 
@@ -261,7 +273,7 @@ def _count(shards: int):
                 train = np.repeat(~t.held_out, np.diff(t.first))
                 times = np.bincount(t.word[train], minlength=len(t.words))
                 held[0].append((t.words[times > 0], times[times > 0]))
-                held[1].append(np.unique(np.concatenate([t.pairs()[train], np.full(int((~t.held_out).sum()), START)]), return_counts=True))
+                held[1].append(np.unique(shortened(np.concatenate([t.pairs()[train], np.full(int((~t.held_out).sum()), START)]), drop), return_counts=True))
                 if sum(len(k) for parts in held for k, _ in parts) >= COUNT_KEYS:
                     yield sent(held)
         yield sent(held)
@@ -272,17 +284,19 @@ def _count(shards: int):
 _SHARD = {"shard": pa.int32(), "part": pa.binary(), "keys": pa.binary(), "counts": pa.binary(), "words": pa.int64(), "tokens": pa.int64(), "total": pa.float64(), "false": pa.float64()}
 
 
-def _merged(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    return _added([(unpack_keys(k), unpacked(c, "<u4")) for q, k, c in zip(*(table.column(x).to_pylist() for x in ("kind", "keys", "counts"))) if q == kind])
+def _merged(table: pa.Table, kind: int, drop: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    return _added([(unpack_keys(k, drop), unpacked(c, "<u4")) for q, k, c in zip(*(table.column(x).to_pylist() for x in ("kind", "keys", "counts"))) if q == kind])
+
 
+def _shard(probes: int, shards: int):
+    drop = drop_for(probes)
 
-def _shard(probes: int):
     def run(table: pa.Table) -> pa.Table:
         keys, counts = _merged(table, 0)
-        more, times = _merged(table, 1)
+        more, times = _merged(table, 1, drop)
         part = Filter.part(np.concatenate([keys, more]), np.concatenate([counts, times]), probes)
         total = float(LOW[Filter([part], probes).levels(keys, np.zeros(len(keys), np.int64))].sum())
-        false = float((np.unpackbits(part).sum() / (8 * len(part))) ** probes)
+        false = float((np.unpackbits(part).sum() / (8 * len(part))) ** probes) + shards * (len(keys) + len(more)) / 2.0 ** (64 - drop)
         row = (table.column("shard")[0].as_py(), part.tobytes(), pack_keys(keys), packed(counts.astype("<u8")), len(keys), int(counts.sum()), total, false)
         return pa.Table.from_batches([_batch([row], _SHARD)])
 
@@ -292,7 +306,7 @@ def _shard(probes: int):
 _ASK = {"split": pa.int64(), "shard": pa.int32(), "kind": pa.int32(), "data": pa.binary()}
 
 
-def _ask(shards: int, pairs_too: bool):
+def _ask(shards: int, pairs_too: bool, drop: int):
     """Rows for the shards: the words (kind 0), and without a broadcast filter the n-grams (kind 1), that a slice needs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +315,8 @@ def _ask(shards: int, pairs_too: bool):
                 t = Slice(data.as_py())
                 out = [(split, s, 0, pack_keys(t.words[a:z])) for s, a, z in _by_shard(t.words, shards)]
                 if pairs_too:
-                    grams = t.grams()[0]
-                    out += [(split, s, 1, pack_keys(grams[a:z])) for s, a, z in _by_shard(grams, shards)]
+                    grams = t.grams(drop)[0]
+                    out += [(split, s, 1, pack_keys(grams[a:z], drop)) for s, a, z in _by_shard(grams, shards)]
                 yield _batch(out, _ASK)
 
     return run
@@ -322,7 +336,7 @@ def _answer(probes: int):
             keys, counts = unpack_keys(shard.column("keys")[0].as_py()), unpacked(shard.column("counts")[0].as_py(), "<u8")
             part = Filter([np.frombuffer(shard.column("part")[0].as_py(), np.uint8)], probes)
         for split, s, kind, data in zip(*(asked.column(c).to_pylist() for c in _ASK)):
-            want = unpack_keys(data)
+            want = unpack_keys(data, kind * drop_for(probes))
             if not shard.num_rows:
                 got = packed(np.zeros(len(want), "<u8" if kind == 0 else np.uint8))
             elif kind == 0:
@@ -336,12 +350,12 @@ def _answer(probes: int):
     return run
 
 
-def _finish(model: Model, kinds: pa.Schema, shards: int, filter_b):
+def _finish(model: Model, kinds: pa.Schema, shards: int, filter_b, drop: int):
     def run(answers: pa.Table, own: pa.Table) -> pa.Table:
         rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "shard", "data"))), key=lambda r: r[:2])
         t = Slice(own.column("data")[0].as_py())
         count = np.concatenate([unpacked(d, "<u8") for k, _, d in rows if k == 0])[t.word].astype(np.float64)
-        grams, *places = t.grams()
+        grams, *places = t.grams(drop)
         levels = filter_b.value.levels(grams, shard_of(grams, shards)) if filter_b is not None else np.concatenate([unpacked(d, "u1") for k, _, d in rows if k == 1])
         base = np.add.reduceat(np.log10(model.base(count)), t.first[:-1])
         known = np.add.reduceat((count > 0).astype(np.int64), t.first[:-1])
@@ -353,8 +367,9 @@ def _finish(model: Model, kinds: pa.Schema, shards: int, filter_b):
 
 
 def sliced(d: DataFrame) -> DataFrame:
-    """d (_id, _text, and columns that stay) as a table of slices."""
-    return saved(d.mapInArrow(_sliced, "split bigint, size bigint, data binary"), "slices")
+    """d (_id, _text, and columns that stay) as a table of slices, which can be joined by `split` where it lies."""
+    buckets = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(d.mapInArrow(_sliced, "split bigint, size bigint, data binary"), "slices", (buckets, "split"))
 
 
 def train(d: DataFrame, **options) -> tuple[DataFrame, Model, int, int]:
@@ -366,9 +381,9 @@ def train_slices(held: DataFrame, *, pair_weight: float = PAIR_WEIGHT, slice_sha
     """The filter's parts with the words' exact counts, a row for each shard; the model; probes and shards."""
     size = held.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards, probes = max(4, -(-size // slice_shard_bytes)), probes_for(size)
-    counted = held.select("data").mapInArrow(_count(shards), "shard int, kind int, keys binary, counts binary")
+    counted = held.select("data").mapInArrow(_count(shards, drop_for(probes)), "shard int, kind int, keys binary, counts binary")
     kinds = "shard int, part binary, keys binary, counts binary, words bigint, tokens bigint, total double, false double"
-    made = saved(counted.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(probes), kinds), "shards")
+    made = saved(counted.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(probes, shards), kinds), "shards")
     zero = lambda f, c: F.coalesce(f(c), F.lit(0))
     v, n, total, false = made.agg(zero(F.sum, "words"), zero(F.sum, "tokens"), zero(F.sum, "total"), zero(F.max, "false")).first()
     return made, Model(n, v, total, false, pair_weight), probes, shards
@@ -398,10 +413,10 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     filter_b = None
     if made.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] <= most_filter:
         filter_b = docs.sparkSession.sparkContext.broadcast(whole_filter(made, shards, probes))
-    asked = held.select("split", "data").mapInArrow(_ask(shards, filter_b is None), "split bigint, shard int, kind int, data binary")
+    asked = held.select("split", "data").mapInArrow(_ask(shards, filter_b is None, drop_for(probes)), "split bigint, shard int, kind int, data binary")
     answered = asked.repartition(shards, "shard").groupBy("shard").cogroup(made.repartition(shards, "shard").groupBy("shard")).applyInArrow(_answer(probes), "split bigint, shard int, kind int, data binary")
     kinds = ", ".join(f"{i} {d.schema[i].dataType.simpleString()}" for i in inner)
     out = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     schema = pa.schema([(x.split()[0], pa.null()) for x in [*inner, *out.split(", ")]])
-    both = answered.groupBy("split").cogroup(held.select("split", "data").groupBy("split"))
-    return both.applyInArrow(_finish(model, schema, shards, filter_b), f"{kinds}, {out}").withColumnsRenamed(dict(zip(inner, names)))
+    both = answered.groupBy("split").cogroup(held.select("split", "data").groupBy("split"))  # slices lie in buckets by split
+    return both.applyInArrow(_finish(model, schema, shards, filter_b, drop_for(probes)), f"{kinds}, {out}").withColumnsRenamed(dict(zip(inner, names)))

@@ -37,19 +37,24 @@ def _short_plans(spark: SparkSession):
         spark.conf.set(name, old)
 
 
-def saved(df: DataFrame, name: str, **options) -> DataFrame:
-    """Writes the rows as Parquet in the shared folder and reads them again, which cuts the lineage.
+def saved(df: DataFrame, name: str, buckets: tuple[int, str] | None = None, **options) -> DataFrame:
+    """Writes the rows as Parquet in the shared folder and reads them again, which cuts the lineage. buckets: how many, by which
+    column; a later join or grouping by that column then reads them in place, without a shuffle.
 
     Shuffle files that nothing refers to any more can go then. The table goes with `forget`, at the latest when Python ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    key = uuid.uuid4().hex
+    path, writer = f"{shared_dir(spark)}/{name}-{key}", df.write.option("compression", "zstd").options(**options)
     with _short_plans(spark):
-        df.write.option("compression", "zstd").options(**options).parquet(path)
+        if buckets:
+            writer.format("parquet").bucketBy(*buckets).option("path", path).saveAsTable(f"{name}_{key}")
+        else:
+            writer.parquet(path)
     if spark not in _made:
         atexit.register(_remove, spark)
     _made.setdefault(spark, []).append(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.table(f"{name}_{key}") if buckets else spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
 
