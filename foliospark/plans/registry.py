@@ -543,3 +543,4 @@ def regression_compare(spark, sf_dir):
 from . import reports as _reports  # noqa: E402, F401  (these add their queries)
 from . import streams as _streams  # noqa: E402, F401
 from . import tables as _tables  # noqa: E402, F401
+from . import measured as _measured  # noqa: E402, F401
