@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions import values as V
 
 c = F.col
+_BLOCKS = "array<struct<text:string,conf:double>>"
 
 
 def header(name: Column, sample: Column, total: Column) -> Column:
@@ -19,9 +20,12 @@ def header(name: Column, sample: Column, total: Column) -> Column:
     return F.concat(F.lit("# "), F.regexp_replace(name, r"_parte\d+$", ""), F.lit("\n\n"), parts)
 
 
-def body(text: Column, label: Column, has_blocks: Column, handwritten: Column) -> Column:
+def body(text: Column, label: Column, has_blocks: Column, handwritten: Column, blocks: Column | None = None) -> Column:
+    """The page's text without what is said elsewhere: its label at the end, and before that the texts of the blocks."""
     t = T.strip(text)
     t = F.coalesce(T.without_suffix(t, label), t)
+    if blocks is not None:
+        t = F.aggregate(F.reverse(F.coalesce(blocks, F.array().cast(_BLOCKS))), t, lambda acc, b: F.coalesce(T.without_suffix(acc, b["text"]), acc))
     bad = ((t == "") & ~has_blocks) | ((t != "") & ~T.usable(t) & ~has_blocks & ~handwritten)
     return F.when(bad, V.NO_TEXT).otherwise(T.mark_headings(t))
 
@@ -31,7 +35,7 @@ def quoted(page: Column, blocks: Column) -> Column:
     lines = lambda b: F.transform(F.filter(F.split(b["text"], "\n"), lambda x: T.strip(x) != ""), lambda x: F.concat(F.lit("> "), x))
     none = F.array().cast("array<string>")
     one = lambda b: F.concat(F.array(F.lit(""), F.concat(F.lit("> **[Texto extraído de imagem na página "), page.cast("string"), F.lit("]**"))), lines(b), F.when(b["conf"] < V.BLOCK_CONFIDENCE, F.array(F.lit(V.LOW_NOTE))).otherwise(none))
-    return F.flatten(F.transform(F.coalesce(blocks, F.array().cast("array<struct<text:string,conf:double>>")), one))
+    return F.flatten(F.transform(F.coalesce(blocks, F.array().cast(_BLOCKS)), one))
 
 
 def section(page: Column, total: Column, text: Column, origin: Column, handwritten: Column, blocks: Column, tables: Column) -> Column:
@@ -45,7 +49,7 @@ def section(page: Column, total: Column, text: Column, origin: Column, handwritt
             head,
             F.when(origin.isNotNull(), F.array(F.concat(F.lit("_["), origin, F.lit("]_")), F.lit(""))).otherwise(none),
             F.when(hand, F.array(F.lit(V.HAND_BANNER), F.lit(""))).otherwise(none),
-            F.array(body(text, T.page_label(page, total), some, hand)),
+            F.array(body(text, T.page_label(page, total), some, hand, blocks)),
             F.flatten(F.transform(F.coalesce(tables, none), lambda t: F.array(F.lit(""), t))),
             quoted(page, blocks),
         ),

@@ -12,6 +12,7 @@ from ..functions import values as V
 from ..operators import audit as A
 from ..operators import boilerplate as B
 from ..operators import markdown as M
+from ..operators import numbering as N
 from ..operators import pages as P
 from ..operators import parts as R
 from ..operators import recognition as O
@@ -120,7 +121,11 @@ def heading_detect(spark, sf_dir):
     return d.select("doc_id", T.heading(c("line")).alias("heading")).where("heading is not null").groupBy("doc_id", "heading").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""
+with l as (select doc_id, unnest(string_split({_MARKED}, chr(10))) as line, unnest(range(1, len(string_split({_MARKED}, chr(10))) + 1)) as i from documents),
+h as (select *, {_HEADING.format('line')} as heading from l),
+p as (select *, lag(line) over (partition by doc_id order by i) as before, lag(heading) over (partition by doc_id order by i) as heading_before from h)
+select doc_id, string_agg(case when heading is null then line else concat(case when i > 1 and heading_before is null and trim(before) <> '' then chr(10) else '' end, '---', chr(10), chr(10), '### ', heading, chr(10)) end, chr(10) order by i) as marked from p group by doc_id""")
 def md_headings(spark, sf_dir):
     return _marked(docs(spark, sf_dir)).select("doc_id", T.mark_headings(c("text")).alias("marked"))
 
@@ -152,10 +157,7 @@ select doc_id, concat_ws(chr(10), concat('## Página ', rn, ' de ', n), '', case
   case when (body0 = '' and doc_id % 10 <> 0) or (body0 <> '' and not {_USABLE.format('body0')} and doc_id % 10 <> 0 and doc_id % 9 <> 0) then '{V.NO_TEXT}' else body0 end,
   case when doc_id % 10 = 0 then concat_ws(chr(10), '', concat('> **[Texto extraído de imagem na página ', rn, ']**'), '> trecho um', '> dois', case when doc_id % 20 = 0 then '{V.LOW_NOTE}' end) end) as section from b""")
 def md_sections(spark, sf_dir):
-    # pages are numbered without their texts; the total comes from an aggregation
-    d = docs(spark, sf_dir)
-    places = d.select("source", "doc_id").withColumn("rn", F.row_number().over(Win.partitionBy("source").orderBy("doc_id")))
-    p = _bad(d.select("doc_id", "text")).join(places, "doc_id").join(d.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "source")
+    p = N.numbered(_bad(docs(spark, sf_dir)), "source", ["doc_id"], "rn", "n")
     t = F.when(c("doc_id") % 4 == 0, F.concat(c("text"), F.lit("\n"), T.page_label(c("rn"), c("n")))).otherwise(c("text"))
     blocks = F.when(c("doc_id") % 10 == 0, F.array(F.struct(F.lit("trecho um\n\ndois").alias("text"), F.when(c("doc_id") % 20 == 0, 30.0).otherwise(85.0).alias("conf"))))
     none = F.lit(None).cast("array<string>")
@@ -490,7 +492,12 @@ def ocr_words_layout(spark, sf_dir):
     return d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("conf").alias("conf"), *(F.round(F.sum(x), 3).alias(x) for x in ("x", "y", "font_size", "stretch")))
 
 
-@query()
+@query(f"""
+with {_WORDS}, a as (select doc_id, word_ix, word_ix // 40 as region, {_STRIP.format('text')} as text, cast(conf as int) as conf from w where {_STRIP.format('text')} <> '' and cast(conf as int) >= 40),
+b as (select doc_id, region, string_agg(text, ' ' order by word_ix) as text, avg(conf) as conf from a group by all),
+p as (select doc_id, {_LONG.format("string_agg(case when word_ix // 40 % 3 = 1 then reverse(text) else text end, ' ' order by word_ix)")} as words from w group by doc_id),
+s as (select b.*, {_LONG.format('text')} as own, words from b left join p using (doc_id))
+select doc_id, cast(region as int) as region, text, round(conf, 6) as conf from s where not (len(own) > 0 and len(list_intersect(own, coalesce(words, []))) / len(own) >= 0.8)""")
 def block_confidence(spark, sf_dir):
     # the whole text, in which the words of every third region are others
     words = F.transform(F.split(F.translate("text", "\n", " "), " "), lambda w, k: F.when(F.floor(k / 40) % 3 == 1, F.reverse(w)).otherwise(w))
@@ -544,3 +551,4 @@ from . import reports as _reports  # noqa: E402, F401  (these add their queries)
 from . import streams as _streams  # noqa: E402, F401
 from . import tables as _tables  # noqa: E402, F401
 from . import measured as _measured  # noqa: E402, F401
+from . import assembly as _assembly  # noqa: E402, F401
