@@ -552,3 +552,4 @@ from . import streams as _streams  # noqa: E402, F401
 from . import tables as _tables  # noqa: E402, F401
 from . import measured as _measured  # noqa: E402, F401
 from . import assembly as _assembly  # noqa: E402, F401
+from . import failures as _failures  # noqa: E402, F401
