@@ -43,6 +43,8 @@ PAIR_WEIGHT, ADD = 0.3, 0.5
 #: Fewest and most probes; bytes of text that give a new word, roughly.
 LEAST_PROBES, MOST_PROBES, BYTES_A_WORD = 8, 32, 64
 END, START = np.uint64(0x5F3759DF9E3779B1), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Probes after which keys that missed one are left out.
+STRIDE = 4
 #: N-grams whose counts a task adds up before it sends them.
 COUNT_KEYS = 1 << 21
 #: Counts from which the levels start: about two to a doubling.
@@ -112,31 +114,48 @@ class Filter:
         x = mix(keys + np.full(1, level, np.uint64) * _A)
         return x, mix(x) | np.uint64(1)
 
+    @staticmethod
+    def _place(x: np.ndarray, size: int) -> np.ndarray:
+        """A place in a part of `size` bits, fewer than 2 ** 32."""
+        return (((x >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).view(np.int64)
+
     @classmethod
     def part(cls, keys: np.ndarray, counts: np.ndarray, probes: int) -> np.ndarray:
         """The bytes of a part that holds these n-grams; it is at most half full."""
         keys, levels = shortened(keys, drop_for(probes)), np.searchsorted(THRESHOLDS, counts, "right")
         n_bytes = max(8, -(-int(np.ceil(probes / np.log(2) * levels.sum())) // 8))
-        bits, size = np.zeros(8 * n_bytes, bool), np.uint64(8 * n_bytes)
+        bits = np.zeros(8 * n_bytes, bool)
         for level in range(1, int(levels.max(initial=0)) + 1):
             x, y = cls._start(keys[levels >= level], level)
             for i in range(probes):
-                bits[((x + np.uint64(i) * y) % size).astype(np.int64)] = True
+                bits[cls._place(x + np.uint64(i) * y, len(bits))] = True
         return np.packbits(bits, bitorder="little")
 
     def levels(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         keys, out = shortened(keys, drop_for(self.probes)), np.zeros(len(keys), np.uint8)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own, s = order[a:z], int(shard[order[a]])
+            out[own] = self._of_part(keys[own], self.bits[int(self.at[s]) // 8 : int(self.at[s] + self.size[s]) // 8])
+        return out
+
+    def _of_part(self, keys: np.ndarray, part: np.ndarray) -> np.ndarray:
+        out, size = np.zeros(len(keys), np.uint8), 8 * len(part)
+        # a byte a bit is read faster, and is worth making for many keys
+        bits = np.unpackbits(part, bitorder="little").view(bool) if self.probes * len(keys) > size else None
         live = np.arange(len(keys))
         for level in range(1, len(THRESHOLDS) + 1):
             if not len(live):
                 break
             x, y = self._start(keys[live], level)
-            size, base = self.size[shard[live]], self.at[shard[live]]
-            for i in range(self.probes):  # those that miss a probe need no other
-                at = (x + np.uint64(i) * y) % size + base
-                ok = (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            for first in range(0, self.probes, STRIDE):  # those that miss a probe need no other
+                ok = np.ones(len(live), bool)
+                for i in range(first, min(first + STRIDE, self.probes)):
+                    at = self._place(x + np.uint64(i) * y, size)
+                    ok &= bits[at] if bits is not None else (part[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 if not ok.all():
-                    live, x, y, size, base = live[ok], x[ok], y[ok], size[ok], base[ok]
+                    live, x, y = live[ok], x[ok], y[ok]
             out[live] = level
         return out
 
@@ -335,16 +354,21 @@ def _answer(probes: int):
         if shard.num_rows:
             keys, counts = unpack_keys(shard.column("keys")[0].as_py()), unpacked(shard.column("counts")[0].as_py(), "<u8")
             part = Filter([np.frombuffer(shard.column("part")[0].as_py(), np.uint8)], probes)
-        for split, s, kind, data in zip(*(asked.column(c).to_pylist() for c in _ASK)):
-            want = unpack_keys(data, kind * drop_for(probes))
-            if not shard.num_rows:
-                got = packed(np.zeros(len(want), "<u8" if kind == 0 else np.uint8))
-            elif kind == 0:
-                at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
-                got = packed(np.where(keys[at] == want, counts[at], 0).astype("<u8")) if len(keys) else packed(np.zeros(len(want), "<u8"))
-            else:
-                got = packed(part.levels(want, np.zeros(len(want), np.int64)))
-            out.append((split, s, kind, got))
+        rows = list(zip(*(asked.column(c).to_pylist() for c in _ASK)))
+        for kind in (0, 1):
+            own = [r for r in rows if r[2] == kind]
+            if not own:
+                continue
+            wants = [unpack_keys(r[3], kind * drop_for(probes)) for r in own]
+            want, place = np.unique(np.concatenate(wants), return_inverse=True)  # many slices ask the same
+            found = np.zeros(len(want), "<u8" if kind == 0 else np.uint8)
+            if kind and shard.num_rows:
+                found = part.levels(want, np.zeros(len(want), np.int64))
+            elif shard.num_rows and len(keys):
+                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                found = np.where(keys[at] == want, counts[at], 0).astype("<u8")
+            edges = np.cumsum([0, *map(len, wants)])
+            out += [(split, s, kind, packed(found[place[a:z]])) for (split, s, _, _), a, z in zip(own, edges[:-1], edges[1:])]
         return pa.Table.from_batches([_batch(out, _ASK)])
 
     return run
@@ -383,7 +407,8 @@ def train_slices(held: DataFrame, *, pair_weight: float = PAIR_WEIGHT, slice_sha
     shards, probes = max(4, -(-size // slice_shard_bytes)), probes_for(size)
     counted = held.select("data").mapInArrow(_count(shards, drop_for(probes)), "shard int, kind int, keys binary, counts binary")
     kinds = "shard int, part binary, keys binary, counts binary, words bigint, tokens bigint, total double, false double"
-    made = saved(counted.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(probes, shards), kinds), "shards")
+    # in buckets, so that those who ask come to the shards
+    made = saved(counted.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(probes, shards), kinds), "shards", (shards, "shard"))
     zero = lambda f, c: F.coalesce(f(c), F.lit(0))
     v, n, total, false = made.agg(zero(F.sum, "words"), zero(F.sum, "tokens"), zero(F.sum, "total"), zero(F.max, "false")).first()
     return made, Model(n, v, total, false, pair_weight), probes, shards
@@ -414,7 +439,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if made.agg(F.coalesce(F.sum(F.octet_length("part")), F.lit(0))).first()[0] <= most_filter:
         filter_b = docs.sparkSession.sparkContext.broadcast(whole_filter(made, shards, probes))
     asked = held.select("split", "data").mapInArrow(_ask(shards, filter_b is None, drop_for(probes)), "split bigint, shard int, kind int, data binary")
-    answered = asked.repartition(shards, "shard").groupBy("shard").cogroup(made.repartition(shards, "shard").groupBy("shard")).applyInArrow(_answer(probes), "split bigint, shard int, kind int, data binary")
+    answered = asked.repartition(shards, "shard").groupBy("shard").cogroup(made.groupBy("shard")).applyInArrow(_answer(probes), "split bigint, shard int, kind int, data binary")
     kinds = ", ".join(f"{i} {d.schema[i].dataType.simpleString()}" for i in inner)
     out = "held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     schema = pa.schema([(x.split()[0], pa.null()) for x in [*inner, *out.split(", ")]])
