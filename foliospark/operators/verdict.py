@@ -25,16 +25,21 @@ def context(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFra
     keys = B.repeated_keys(elements, fraction).persist()
     lines = B.repeated_clusters(elements, fraction, clusters).persist()
     d = _flag(elements, keys.select(*GROUP, "key"), [*GROUP, "key"], "repeats")
-    d = d.join(B.short_document_cuts(elements, fraction, rules, clusters), PAGE, "left").join(Z.signature_columns(elements), PAGE, "left")
-    d = d.join(Z.scanned_strips(elements).select(*PAGE, c("protect").alias("strips")), PAGE, "left")
-    d = _flag(d, lines.select(*PAGE, F.explode("members").alias("el_ix")), [*PAGE, "el_ix"], "in_line")
+    # what is known of pages, and of elements, comes together first, so that the elements are joined once with each
+    pages = B.short_document_cuts(elements, fraction, rules, clusters).unionByName(Z.signature_columns(elements), True)
+    pages = pages.unionByName(Z.scanned_strips(elements).select(*PAGE, c("protect").alias("strips")), True)
+    d = d.join(pages.groupBy(*PAGE).agg(*(F.max(x).alias(x) for x in ("cut_top", "cut_base", "sig_x0", "sig_x1", "strips"))), PAGE, "left")
     spans = lines.select(*PAGE, c("x0").alias("s0"), c("x1").alias("s1"), c("y").alias("sy"))
-    # flags are looked up on the elements themselves, so that the steps don't pile up
     close = elements.where("kind = 'P'").join(spans, PAGE).where((c("s0") - 12 <= c("x0")) & (c("x1") <= c("s1") + 12) & (F.abs(c("y0") - c("sy")) <= 7) & (c("y0") >= G.H * (1 - V.TOP_ZONE)))
-    d = _flag(d, close, [*PAGE, "el_ix"], "orphan")
     low = elements.where((c("kind") == "P") & (c("y1") <= G.H * V.BASE_ZONE)).join(B.base_bands(elements, fraction), GROUP).where("y0 between lo and hi")
-    d = _flag(d, low, [*PAGE, "el_ix"], "in_band")
-    return _flag(d, Z.in_zones(elements, Z.table_zones(elements)), [*PAGE, "el_ix"], "in_table")
+    found = {"in_line": lines.select(*PAGE, F.explode("members").alias("el_ix")), "orphan": close, "in_band": low, "in_table": Z.in_zones(elements, Z.table_zones(elements))}
+    marks = None
+    for name, rows in found.items():
+        m = rows.select(*PAGE, "el_ix", F.lit(name).alias("mark"))
+        marks = m if marks is None else marks.unionByName(m)
+    marks = marks.groupBy(*PAGE, "el_ix").agg(*(F.max(c("mark") == name).alias(name) for name in found))
+    d = d.join(marks, [*PAGE, "el_ix"], "left")
+    return d.withColumns({name: F.coalesce(name, F.lit(False)) for name in found})
 
 
 def raw_reason() -> Column:
