@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from .shared import saved
 from .words import NOT_SPACE, mix, slices, words_of
 
-SLICE, SHARD_BYTES, MOST_FILTER = 4 << 20, 16 << 20, 128 << 20
+#: Bytes of a slice of texts and of texts a shard; the largest filter that is broadcast (every Python worker holds a copy of it).
+SLICE, SHARD_BYTES, MOST_FILTER = 4 << 20, 16 << 20, 32 << 20
 PAIR_WEIGHT, ADD = 0.3, 0.5
 #: Fewest and most probes; bytes of text that give a new word, roughly.
 LEAST_PROBES, MOST_PROBES, BYTES_A_WORD = 8, 32, 64
