@@ -32,8 +32,8 @@ LEAST = DEN - 1
 MOST_CELLS, LEVEL_BITS = 1 << 19, 4
 #: Tokens that this many lines have are dealt to SALTS parts.
 HEAVY, SALTS = 1 << 16, 64
-#: Prefix tokens are worked off in so many parts.
-PARTS = 2
+#: Prefix tokens are worked off in parts of about so many entries, in LEAST_PARTS at least.
+PART_ENTRIES, LEAST_PARTS = 4 << 20, 2
 #: Lines of more tokens have a sketch of one half of their tokens as well, which makes it two of 64 bits.
 WIDE = 64
 _RARE_GAP = "[\\t\\x0B\\x0C\\r]"
@@ -129,8 +129,10 @@ def _heads(lines: DataFrame) -> tuple[DataFrame, int]:
 
 def _live(heads: DataFrame, heavy: int) -> list[DataFrame]:
     """A row for each head and prefix token that another head has as well, its place in the token's group (no place in a
-    salted group), whether it is the last there, and `hub`, the group's first head, if the two may match. PARTS tables
-    by token, made one after the other, so that the shuffle of one part alone is on disk."""
+    salted group), whether it is the last there, and `hub`, the group's first head, if the two may match. Several tables
+    by token, made one after the other, so that the shuffle of one part alone is on disk; their number follows the entries."""
+    entries = heads.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    n_parts = max(LEAST_PARTS, -(-entries // PART_ENTRIES))
     e = heads.select("k", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "token"))
     level = F.shiftright("token", 63 - LEVEL_BITS)
     e = e.where(level > 0).select("token", F.when(level >= heavy, 1 + F.pmod(F.xxhash64("k"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), "k", _at(F.col("n"), F.col("pos")).alias("at"), "s1", "s2")
@@ -138,8 +140,8 @@ def _live(heads: DataFrame, heavy: int) -> list[DataFrame]:
     so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)  # the frame of row_number, so that one pass does both
     hub = F.when((F.col("place") > 1) & _fits("", "h_"), F.col("h_k"))
     parts = []
-    for part in range(PARTS):
-        d = e.where(F.pmod("token", F.lit(PARTS)) == part)
+    for part in range(n_parts):
+        d = e.where(F.pmod("token", F.lit(n_parts)) == part)
         d = d.withColumns({"place": F.row_number().over(w), "last": F.lead("k").over(w).isNull(), **{f"h_{c}": F.first(c).over(so_far) for c in _SET}})
         d = d.where("salt > 0 or place > 1 or not last")
         parts.append(saved(d.select("token", *_SET, F.when(F.col("salt") > 0, None).otherwise(F.col("place")).alias("place"), "last", hub.alias("hub")), "live"))
