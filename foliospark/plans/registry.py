@@ -554,3 +554,4 @@ from . import measured as _measured  # noqa: E402, F401
 from . import assembly as _assembly  # noqa: E402, F401
 from . import failures as _failures  # noqa: E402, F401
 from . import letters as _letters  # noqa: E402, F401
+from . import running as _running  # noqa: E402, F401

@@ -106,3 +106,12 @@ def test_a_cancelled_run_leaves_nothing(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["clean"]
     with pytest.raises(R.Cancelled):
         run.start()
+
+
+def test_scans_in_forms_down_to_the_fourth(spark):
+    from foliospark.sources import files as S
+
+    chain = [(k, k + 1, "Form", None, None) for k in range(1, 8)] + [(8, 9, "Image", 1000, 300), (8, 10, "Image", 1000, 299), (20, 21, "Form", None, None), (21, 20, "Form", None, None), (30, 31, "Image", 10, 10), (40, 40, "Form", None, None), (40, 41, "Image", 600, 500)]
+    x = spark.createDataFrame(chain, "parent int, child int, subtype string, w long, h long")
+    assert sorted(r.root for r in S.xobject_scans(x).collect()) == [5, 6, 7, 8, 40]
+    assert S.xobject_scans(x.limit(0)).count() == 0
