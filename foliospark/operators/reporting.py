@@ -42,12 +42,12 @@ def audit_report(judged: DataFrame, cuts: DataFrame, lost: DataFrame, heads: Dat
     """(file_id, section, k1, k2, k3, line). judged: elements with their reasons; cuts: file_id, page_id, cut_top, cut_base, H; lost:
     file_id, page_id, line; heads: file_id, name, pages, chars (characters of each file). A section without rows has its heading
     alone. Lines of one page or reason are shown up to a number, with how many more there are."""
-    all_ = losses(judged).persist()  # small tables, and read by several sections
+    all_ = losses(judged)
     page = all_.where("whole = 0").join(judged.where("kind = 'T'").groupBy("file_id", "page_id").agg(F.sum("n_chars").alias("page_chars")), ["file_id", "page_id"], "left")
     noted = (c("chars") > 0) | (c("area") >= NOTED)
     pages = page.where(noted).groupBy("file_id", "reason").agg(F.sort_array(F.collect_list("page_id")).alias("p"))  # pages of one reason
     rank = Win.partitionBy("file_id").orderBy(F.desc(c("chars") + 1000 * c("area")), "reason")
-    total = all_.where("whole = 1").join(pages, ["file_id", "reason"], "left").withColumn("place", F.row_number().over(rank)).join(heads.select("file_id", c("chars").alias("doc_chars")), "file_id").persist()
+    total = all_.where("whole = 1").join(pages, ["file_id", "reason"], "left").withColumn("place", F.row_number().over(rank)).join(heads.select("file_id", c("chars").alias("doc_chars")), "file_id")
     told = F.concat(F.array_join(F.transform(F.slice(F.coalesce("p", F.array().cast("array<int>")), 1, FIRST_PAGES), lambda x: x.cast("string")), ", "), F.when(F.size("p") > FIRST_PAGES, " ...").otherwise(""))
     quoted = lambda x: F.concat(F.lit("`"), x, F.lit("`"))
     row = lambda *x: F.concat(F.lit("| "), F.concat_ws(" | ", *x), F.lit(" |"))
@@ -68,7 +68,7 @@ def audit_report(judged: DataFrame, cuts: DataFrame, lost: DataFrame, heads: Dat
     cut = judged.where("reason is not null and kind = 'T' and n_chars > 0").withColumn("k", F.row_number().over(w)).where(c("k") <= MOST_SNIPPETS).join(places, ["file_id", "reason"])
     out.append(_lines(cut, 3, F.concat(F.lit("- (pág "), c("page_id").cast("string"), F.lit(") "), quoted(F.substring("txt", 1, WIDTH))), c("place"), c("k")))
     out.append(_lines(places.where(c("n_texts") > MOST_SNIPPETS), 3, F.concat(F.lit("- ... e mais "), (c("n_texts") - MOST_SNIPPETS).cast("string"), F.lit(" linha(s)")), c("place"), MOST_SNIPPETS + 1))
-    n = lost.groupBy("file_id", "page_id").agg(F.count(F.lit(1)).alias("n")).persist()
+    n = lost.groupBy("file_id", "page_id").agg(F.count(F.lit(1)).alias("n"))
     whole = heads.join(n.groupBy("file_id").agg(F.sum("n").alias("n")), "file_id", "left")
     out.append(_lines(whole, 4, F.concat(F.lit("\n## 4. Linhas do original que não aparecem no limpo\n\n"), F.when(c("n").isNull(), F.lit("Nenhuma linha perdida.")).otherwise(F.concat(c("n").cast("string"), F.lit(" linha(s)."))))))
     out.append(_lines(n, 4, F.concat(F.lit("\n### Página "), c("page_id").cast("string"), F.lit(" — "), c("n").cast("string"), F.lit(" linha(s) perdida(s)\n")), 1, c("page_id")))

@@ -10,6 +10,7 @@ from ..functions import geometry as G
 from ..functions import text as T
 from ..operators import boilerplate as B
 from ..operators import verdict as D
+from ..sources.kept import kept
 from .registry import ORACLE, QUERIES, c, query, r6
 from .vehicles import CTE, sql, table
 
@@ -73,12 +74,12 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as p", f"explode(sequence(0, {_EACH - 1})) as k")
     d = d.select("p", F.expr(f"inline(array_compact(array({rows})))")).selectExpr("cast(p % 4 as int) as file_id", "cast(p as int) as page_id", *(x for x in _COLS if x != "many"), *(f"cast({x.split(' as ')[0]} as double) as {x.split(' as ')[1]}" for x in _SIZES.split(", ")))
     w = Win.partitionBy("page_id").orderBy(F.desc("y0"), "x0", "x1", "y1", "kind", "n_pts", "txt")
-    return d.withColumn("el_ix", F.row_number().over(w)).withColumn("key", G.element_key(T.key_text(c("txt")))).persist()
+    return kept(d.withColumn("el_ix", F.row_number().over(w)).withColumn("key", G.element_key(T.key_text(c("txt")))))
 
 
 @query(sql("judged verdict", "select j.page_id, j.el_ix, j.reason, v.reason as final from judged j join verdict v using (file_id, page_id, el_ix) where j.reason is not null", _GIVEN))
 def letter_reasons(spark, sf_dir):
-    judged = D.reasons(letters(spark, sf_dir)).persist()
+    judged = kept(D.reasons(letters(spark, sf_dir)))
     back = D.page_loss(judged).select("file_id", "page_id", "rolled_back")
     return judged.where("reason is not null").join(back, ["file_id", "page_id"]).select("page_id", "el_ix", "reason", F.when(~c("rolled_back"), c("reason")).alias("final"))
 

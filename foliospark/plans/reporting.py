@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import boilerplate as B
 from ..operators import reporting as X
 from ..operators import verdict as D
+from ..sources.kept import kept
 from .letters import _GIVEN, letters
 from .registry import c, query
 from .vehicles import sql
@@ -48,8 +49,8 @@ rp as (
 @query(sql("judged", "@", _GIVEN).replace(" @", f", {_SECTIONS} select file_id, string_agg(line, chr(10) order by section, k1, k2, k3) || chr(10) as text from rp group by file_id"))
 def audit_report(spark, sf_dir):
     e = letters(spark, sf_dir)
-    judged = D.reasons(e).persist()  # every section reads it
+    judged = kept(D.reasons(e))  # every section reads it
     lost = judged.where("kind = 'T' and reason is not null and n_chars > 0").select("file_id", "page_id", c("txt").alias("line"))
-    cuts = B.short_document_cuts(e).withColumn("H", F.lit(842.0))
-    heads = e.groupBy("file_id").agg(F.countDistinct("page_id").alias("pages"), F.sum(F.when(c("kind") == "T", c("n_chars")).otherwise(0)).alias("chars")).withColumn("name", F.concat(F.lit("file "), c("file_id").cast("string"))).persist()
+    cuts = kept(B.short_document_cuts(e).withColumn("H", F.lit(842.0)))
+    heads = e.groupBy("file_id").agg(F.countDistinct("page_id").alias("pages"), F.sum(F.when(c("kind") == "T", c("n_chars")).otherwise(0)).alias("chars")).withColumn("name", F.concat(F.lit("file "), c("file_id").cast("string")))
     return X.as_text(X.audit_report(judged, cuts, lost, heads))
