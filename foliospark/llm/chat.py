@@ -47,15 +47,18 @@ def read_back(formatted: str) -> list[Turn]:
 
 def locate(turns: list[Turn], render: Callable[[list[Turn]], str] = template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
     """The rendering of all turns; for each turn its begin, its text's begin and end, and its end; whether each
-    longer prefix only adds to the shorter one. The text's place in a turn is found with a probe text."""
+    longer prefix only adds to the shorter one. The text's place in a turn is found with a probe text that its role doesn't hold."""
     before, spans = render([]), []
     for k in range(len(turns)):
+        mark = _PROBE
+        while mark in turns[k][0]:
+            mark = _PROBE[0] + mark
         now = render(turns[: k + 1])
         if not now.startswith(before):
             return render(turns), [], False
-        probe = render([*turns[:k], (turns[k][0], _PROBE)])
+        probe = render([*turns[:k], (turns[k][0], mark)])
         bare = render([*turns[:k], (turns[k][0], "")])
-        at = probe.find(_PROBE, len(before))
+        at = probe.find(mark, len(before))
         if at < 0 or not probe.startswith(before):
             return render(turns), [], False
         spans.append((len(before), at, at + len(now) - len(bare), len(now)))
