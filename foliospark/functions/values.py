@@ -39,6 +39,11 @@ HEADING_MOST = 60
 
 # Reasons for a removal. The calibrated ones hold inside tables and never count as loss.
 CALIBRATED = ("assinatura_rotacionada", "assinatura_vetorial", "carimbo_copia", "tarja_margem")
+# What a regression baseline holds: frames, as against cuts and strips.
+FRAME_REASONS = (
+    "assinatura_rotacionada", "assinatura_vetorial", "carimbo_copia", "cluster_topo", "boiler_texto", "boiler_imagem", "boiler_path",
+    "glifo_orfao", "canto_direito", "tarja_margem",
+)
 # Page classes.
 NATIVE, HYBRID, IMAGE_ONLY, CORRUPT = "NATIVA_DIGITAL", "HIBRIDA_COM_OCR", "IMAGEM_SEM_OCR", "TEXTO_CORROMPIDO"
 # Labels that open a document part.

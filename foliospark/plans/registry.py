@@ -556,3 +556,4 @@ from . import failures as _failures  # noqa: E402, F401
 from . import letters as _letters  # noqa: E402, F401
 from . import running as _running  # noqa: E402, F401
 from . import reporting as _reporting  # noqa: E402, F401
+from . import baseline as _baseline  # noqa: E402, F401
