@@ -13,6 +13,7 @@ from ..operators import parts as R
 from ..operators import reports as X
 from ..operators import verdict as D
 from ..operators import zones as Z
+from ..sources.kept import kept
 from .registry import _CUT, _LONG, _PAGES, _SOLID, _STRIP, _USABLE, _bad, _classified, _cut, c, docs, query, r6
 from .vehicles import elements, sql, table
 
@@ -131,8 +132,7 @@ def planned_for_ocr(spark, sf_dir):
 
 @query(sql("verdict", "select (select count(*) from (select distinct file_id, page_id from verdict where reason is not null)) as changed, (select count_if(rolled_back) from loss) as protected"))
 def clean_totals(spark, sf_dir):
-    e = elements(spark, sf_dir)
-    judged = D.reasons(e)
+    judged = kept(D.reasons(elements(spark, sf_dir)))  # read twice
     return X.clean_totals(judged, D.page_loss(judged))
 
 
