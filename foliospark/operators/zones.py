@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import values as V
+from . import pagewise as P
 from .boilerplate import PAGE
 
 c = F.col
@@ -30,30 +30,18 @@ def grid_lines(elements: DataFrame, stroked_only: bool = False) -> DataFrame:
 
 
 def _zones(least_flat: int, least_tall: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Components of one page's lines by a sweep over x, with union-find."""
-        pdf = pdf.sort_values("x0", kind="stable").reset_index(drop=True)
-        x0, y0, x1, y1 = (pdf[k].to_numpy() for k in ("x0", "y0", "x1", "y1"))
-        root = list(range(len(pdf)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        open_: list[int] = []
-        for i in range(len(pdf)):
-            open_ = [j for j in open_ if x1[j] >= x0[i] - V.TOUCH]
-            for j in open_:
-                if y0[j] <= y1[i] + V.TOUCH and y0[i] <= y1[j] + V.TOUCH:
-                    root[find(j)] = find(i)
-            open_.append(i)
-        pdf["root"] = [find(i) for i in range(len(pdf))]
-        g = pdf.groupby("root", sort=True).agg(file_id=("file_id", "first"), page_id=("page_id", "first"), n_flat=("flat", "sum"), n=("flat", "size"), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"))
-        g["n_flat"] = g["n_flat"].astype("int64")
-        g["n_tall"] = (g["n"] - g["n_flat"]).astype("int64")
-        return g[(g.n_flat >= least_flat) & (g.n_tall >= least_tall)][["file_id", "page_id", "n_flat", "n_tall", "x0", "y0", "x1", "y1"]]
+    def run(table: pa.Table) -> pa.Table:
+        """Components of touching lines of whole pages, with their counts and boxes."""
+        box = x0, y0, x1, y1 = P.numbers(table, "x0", "y0", "x1", "y1")
+        label = P.touching(P.pages_of(table, PAGE), *box, V.TOUCH)
+        o = np.argsort(label, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], label[o][1:] != label[o][:-1]])) if len(o) else o
+        n_flat = np.add.reduceat(table.column("flat").to_numpy()[o].astype(np.int64), at) if len(o) else o
+        n_tall = np.diff(np.append(at, len(o))) - n_flat
+        far = [f.reduceat(v[o], at) if len(o) else v for f, v in zip((np.minimum, np.minimum, np.maximum, np.maximum), box)]
+        kept = (n_flat >= least_flat) & (n_tall >= least_tall)
+        pages = table.select(PAGE).take(pa.array(o[at][kept]))
+        return pa.table([*pages.columns, *(pa.array(v[kept]) for v in (n_flat, n_tall, *far))], names=[*PAGE, "n_flat", "n_tall", "x0", "y0", "x1", "y1"])
 
     return run
 
@@ -61,8 +49,8 @@ def _zones(least_flat: int, least_tall: int):
 def table_zones(elements: DataFrame, stroked_only: bool = False, least_flat: int = 2, least_tall: int = 2) -> DataFrame:
     """(file, page, n_flat, n_tall, box) of groups of touching lines. A page is the unit: its lines fit in a task."""
     d = grid_lines(elements, stroked_only)
-    kind = d.schema
-    return d.groupBy(*PAGE).applyInPandas(_zones(least_flat, least_tall), f"file_id {kind['file_id'].dataType.simpleString()}, page_id {kind['page_id'].dataType.simpleString()}, n_flat bigint, n_tall bigint, x0 double, y0 double, x1 double, y1 double")
+    keys = ", ".join(f"{k} {d.schema[k].dataType.simpleString()}" for k in PAGE)
+    return P.by_page(d, PAGE, _zones(least_flat, least_tall), f"{keys}, n_flat bigint, n_tall bigint, x0 double, y0 double, x1 double, y1 double")
 
 
 def in_zones(elements: DataFrame, zones: DataFrame) -> DataFrame:
