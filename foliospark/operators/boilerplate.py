@@ -5,12 +5,15 @@ from __future__ import annotations
 
 import functools
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import values as V
+from . import pagewise as P
 
 GROUP = ["file_id", "W", "H"]
 PAGE = ["file_id", "page_id"]
@@ -54,14 +57,24 @@ def repeated_values(rows: DataFrame, group: list[str], page: str, value: str, fr
 
 @whole_points
 def rulers(elements: DataFrame) -> DataFrame:
-    """Wide thin rules at head or foot that aren't the edge of a box: not both ends have a thin vertical there."""
-    side = elements.where((c("kind") == "P") & ~c("rot")).withColumn("side", G.ruler_side()).where("side is not null")
-    v = elements.where(G.thin_vertical()).select(*PAGE, ((c("x0") + c("x1")) / 2).alias("vx"), c("y0").alias("v0"), c("y1").alias("v1"))
-    y = (c("y0") + c("y1")) / 2
-    near = lambda x: F.abs(c("vx") - c(x)) <= V.BOX_TOL
-    meets = (c("v0") <= y + V.BOX_TOL) & (c("v1") >= y - V.BOX_TOL) & ((y - c("v0") >= V.BOX_REACH) | (c("v1") - y >= V.BOX_REACH))
-    ends = side.join(v, PAGE).where(meets & (near("x0") | near("x1"))).groupBy(*PAGE, "el_ix").agg(F.max(near("x0")).alias("left"), F.max(near("x1")).alias("right"))
-    return side.join(ends.where("left and right"), [*PAGE, "el_ix"], "left_anti")
+    """(file, page, el_ix, W, H, box, side): wide thin rules at head or foot that aren't the edge of a box, as not both ends have a
+    thin vertical there."""
+    d = elements.where((c("kind") == "P") & ~c("rot")).withColumn("side", G.ruler_side()).where(F.col("side").isNotNull() | G.thin_vertical())
+    d = d.select(*PAGE, "el_ix", "W", "H", *(c(x).cast("double").alias(x) for x in _BOX), "side")
+    return P.by_page(d, PAGE, _open_rulers, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema))
+
+
+_BOX = ("x0", "y0", "x1", "y1")
+
+
+def _open_rulers(table: pa.Table) -> pa.Table:
+    """Of whole pages' rulers (side isn't null) and thin verticals, the rulers that lack a vertical at an end."""
+    page, ruler = P.pages_of(table, PAGE), table.column("side").is_valid().to_numpy()
+    x0, y0, x1, y1 = P.numbers(table, *_BOX)
+    v = page[~ruler], ((x0 + x1) / 2)[~ruler], y0[~ruler], y1[~ruler]
+    y = ((y0 + y1) / 2)[ruler]
+    both = np.logical_and(*(P.beside(page[ruler], x[ruler], y, *v, V.BOX_TOL, V.BOX_REACH) for x in (x0, x1)))
+    return table.take(pa.array(np.flatnonzero(ruler)[~both]))
 
 
 @whole_points
@@ -89,17 +102,13 @@ def top_clusters(elements: DataFrame) -> DataFrame:
     """Lines of small paths in the top zone. A path joins the line whose first member is within the gap; a fold over
     each page's paths, from the top down."""
     p = elements.where((c("kind") == "P") & ~c("rot") & (c("y0") >= G.H * (1 - V.TOP_ZONE)) & (G.height <= V.CLUSTER_HEIGHT))
-    row = F.struct((-c("y0")).alias("o"), c("x0"), c("el_ix"), c("y0"), c("x1"), c("n_pts"))
-    p = p.groupBy(*PAGE, "W", "H").agg(F.sort_array(F.collect_list(row)).alias("m"))
-    start = F.struct(F.lit(None).cast("double").alias("y"), F.lit(-1).alias("k"), F.array().cast("array<struct<line:int,y:double,el_ix:int,x0:double,x1:double,n_pts:bigint>>").alias("out"))
-
-    def step(acc, e):
-        same = F.coalesce(F.abs(acc["y"] - e["y0"]) <= V.CLUSTER_GAP, F.lit(False))
-        y, k = F.when(same, acc["y"]).otherwise(e["y0"]), F.when(same, acc["k"]).otherwise(acc["k"] + 1)
-        one = F.struct(k.alias("line"), y.alias("y"), e["el_ix"].cast("int").alias("el_ix"), e["x0"].alias("x0"), e["x1"].alias("x1"), e["n_pts"].cast("bigint").alias("n_pts"))
-        return F.struct(y.alias("y"), k.alias("k"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    m = p.select(*PAGE, "W", "H", F.explode(F.aggregate("m", start, step)["out"]).alias("e")).select(*PAGE, "W", "H", "e.*")
+    row = F.struct(c("el_ix").cast("int").alias("el_ix"), "y0", "x0", "x1", c("n_pts").cast("bigint").alias("n_pts"))
+    p = p.groupBy(*PAGE, "W", "H").agg(F.collect_list(row).alias("m"), F.sort_array(F.collect_set("y0"), asc=False).alias("ys"))
+    # the fold keeps where lines start alone, a few values, however many paths a page has
+    starts = F.aggregate("ys", F.array().cast("array<double>"), lambda acc, y: F.when(F.coalesce(F.abs(F.try_element_at(acc, F.lit(-1)) - y) <= V.CLUSTER_GAP, F.lit(False)), acc).otherwise(F.concat(acc, F.array(y))))
+    place = lambda e: F.size(F.filter("starts", lambda s: s >= e["y0"]))
+    placed = F.transform("m", lambda e: F.struct((place(e) - 1).alias("line"), F.element_at("starts", place(e)).alias("y"), *(e[x].alias(x) for x in ("el_ix", "x0", "x1", "n_pts"))))
+    m = p.withColumn("starts", starts).select(*PAGE, "W", "H", F.explode(placed).alias("e")).select(*PAGE, "W", "H", "e.*")
     line = m.groupBy(*PAGE, "W", "H", "line").agg(F.min("y").alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count(F.lit(1)).alias("n"), F.sum("n_pts").alias("pts"), F.sort_array(F.collect_list("el_ix")).alias("members")).where(c("n") >= V.CLUSTER_LEAST)
     q = lambda x: F.rint(c(x) / 4).cast("int").cast("string")
     return line.withColumn("key", F.concat_ws("|", F.lit("PL"), q("y"), q("x0"), q("x1"), c("n").cast("string"), (c("pts") % V.CLUSTER_MOD).cast("string")))
