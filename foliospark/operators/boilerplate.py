@@ -137,6 +137,10 @@ def own_page_cuts(elements: DataFrame, rules: DataFrame | None = None, clusters:
 @whole_points
 def short_document_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, rules: DataFrame | None = None, clusters: DataFrame | None = None) -> DataFrame:
     """Cuts of all pages: in files of few pages own rulers count too, and where there is none a fixed strip."""
+    if rules is None or clusters is None:  # both come from few of the elements, which are numbered once
+        part = (c("kind") == "P") & ~c("rot") & (G.ruler_side().isNotNull() | G.thin_vertical() | ((c("y0") >= G.H * (1 - V.TOP_ZONE)) & (G.height <= V.CLUSTER_HEIGHT)))
+        framing = elements.where(part).select(*PAGE, "el_ix", "kind", "rot", *_BOX, "n_pts", "paint_op", "W", "H").persist()
+        rules, clusters = rules or rulers(framing).persist(), clusters or top_clusters(framing)
     pages = elements.select(*PAGE, "W", "H").distinct()
     short = pages.groupBy("file_id").agg((F.countDistinct("page_id") <= V.SHORT_DOC).alias("short"))
     own = own_page_cuts(elements, rules, clusters).select(*PAGE, c("cut_top").alias("ot"), c("cut_base").alias("ob"))
