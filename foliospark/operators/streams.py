@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -163,9 +164,13 @@ def elements_of(ops: DataFrame, key: list[str], order: str) -> DataFrame:
 def rewritten(ops: DataFrame, removed: DataFrame, key: list[str], order: str) -> DataFrame:
     """The operations that are left when elements go (removed: key, kind, first_op, last_op): a text object goes as a whole, of
     a path what builds, clips and paints it, an image by itself. All else stays, state and clipping with it."""
-    r = removed.select(*(c(k).alias(f"_{k}") for k in key), c("kind").alias("_kind"), "first_op", "last_op")
-    drawn = c("op").isin(*PATHS, *CLIPS, *PAINTS)
-    return ops.join(r, [ops[k].eqNullSafe(r[f"_{k}"]) for k in key] + [c(order).between(c("first_op"), c("last_op")), (c("_kind") != "P") | drawn], "left_anti")
+    # starts of ranges lie among the operations: an operation goes if a range that began reaches it, however long the page is
+    starts = removed.where("first_op is not null").select(*key, c("first_op").alias(order), F.coalesce("kind", F.lit("P")).alias("_kind"), c("last_op").alias("_last"), F.lit(True).alias("_start"))
+    w = Win.partitionBy(*key).orderBy(order)  # up to the row and those of its place
+    reach = lambda which: F.coalesce(F.max(F.when(which, c("_last"))).over(w) >= c(order), F.lit(False))
+    d = ops.unionByName(starts, True).withColumns({"_whole": reach(c("_kind") != "P"), "_path": reach(c("_kind") == "P")})
+    drawn = F.coalesce(c("op").isin(*PATHS, *CLIPS, *PAINTS), F.lit(False))
+    return d.where(c("_start").isNull() & ~c("_whole") & ~(c("_path") & drawn)).select(*ops.columns)
 
 
 def expanded(forms: DataFrame, depth: int = FORM_DEPTH) -> DataFrame:

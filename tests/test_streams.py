@@ -75,3 +75,12 @@ def test_what_is_left_after_a_removal(spark):
     assert left(e.where("kind = 'P'")) == ["q", "cm", "w", "BT", "Tf", "Tj", "ET", "Do", "re", "W", "n", "Q"]
     assert left(e.where("kind in ('T', 'I')")) == ["q", "cm", "re", "w", "S", "re", "W", "n", "Q"]
     assert left(e.where("page = 1")) == [x[0] for x in page]
+
+
+def test_removed_ranges_meet_operations_without_pairs(spark):
+    ops = spark.range(0, 3000).selectExpr("0 as page", "id as i", "case when id % 3 = 0 then 'q' when id % 3 = 1 then 're' else 'f' end as op")
+    gone = spark.range(0, 900).selectExpr("0 as page", "case when id % 2 = 0 then 'P' else 'T' end as kind", "3 * id as first_op", "3 * id + 2 + id % 5 as last_op")
+    left = E.rewritten(ops, gone, ["page"], "i")
+    ranges = [(r.kind, r.first_op, r.last_op) for r in gone.collect()]
+    want = [r.i for r in ops.collect() if not any(a <= r.i <= z and (kind != "P" or r.op != "q") for kind, a, z in ranges)]
+    assert sorted(r.i for r in left.collect()) == want and "Join" not in left._jdf.queryExecution().executedPlan().toString()
