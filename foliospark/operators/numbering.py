@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
+from ..sources.kept import kept
+
 c = F.col
 
 
@@ -16,7 +18,8 @@ def numbered(d: DataFrame, key: str, order: list[str], number: str = "page_no",
     (prefix sums over one row a block and key), so that no task holds a whole key. Every row gets a number, repeated rows and
     null keys or orders too; rows that are equal in key and order are numbered in any order.
     """
-    d = d.repartitionByRange(c(key), *(c(x) for x in order)).withColumn("_block", F.spark_partition_id())
+    # written, as both uses below must see the same blocks, which another run (or adaptive execution) would cut elsewhere
+    d = kept(d.repartitionByRange(c(key), *(c(x) for x in order)).withColumn("_block", F.spark_partition_id()))
     n = d.groupBy("_block", key).agg(F.count(F.lit(1)).alias("_n"))
     of_key = Win.partitionBy(key)
     before = of_key.orderBy("_block").rowsBetween(Win.unboundedPreceding, -1)

@@ -103,3 +103,26 @@ def test_pages_of_one_size_in_whole_points(spark):
     d = spark.createDataFrame(rows, "file_id int, page_id int, el_ix int, kind string, x0 double, y0 double, x1 double, y1 double, rot boolean, key string, W double, H double")
     got = B.repeated_keys(d).collect()
     assert [(r.key, r.pages, r.W, r.H) for r in got] == [("T|200|head", 4, 595.0, 842.0)]
+
+
+def test_ordinals_that_follow_each_other(spark):
+    assert one(spark, T.fix_ordinals(F.lit("jªª 1ª ªªl 1ºº"))) == "jaa 1ª aal 1ºº"
+
+
+def test_letters_of_any_language_are_no_rule(spark):
+    from foliospark.operators import reports
+
+    assert [one(spark, reports.digits_only(F.lit(f"T|-3|{x}"))) for x in ("Ö Ö Ö", "é", "--- #", "")] == [False, False, True, True]
+
+
+def test_every_row_is_numbered_however_blocks_are_cut(spark):
+    from foliospark.operators import numbering
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("source", "doc_id", "text")
+        got = numbering.numbered(d, "source", ["doc_id"])
+        assert got.select("source", "page_no").distinct().count() == d.count() == got.count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
