@@ -55,8 +55,9 @@ def contained_words(small: Column, large: Column, least: float = V.CONTAINED) ->
 def fix_ordinals(text: Column) -> Column:
     """Ordinal signs that touch a letter are a and o that were misread; those at digits stay."""
     for sign, letter in (("ª", "a"), ("º", "o")):
-        text = F.regexp_replace(text, f"(?<=[A-Za-zÀ-ÿ]){sign}", letter)
-        text = F.regexp_replace(text, f"{sign}(?=[A-Za-zÀ-ÿ])", letter)
+        # twice each, as a sign becomes a letter that the next sign may touch
+        for found, put in ((f"([A-Za-zÀ-ÿ]){sign}", f"$1{letter}"), (f"{sign}([A-Za-zÀ-ÿ])", f"{letter}$1")):
+            text = F.regexp_replace(F.regexp_replace(text, found, put), found, put)
     return text
 
 
