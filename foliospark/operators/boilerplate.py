@@ -39,15 +39,26 @@ def group_sizes(elements: DataFrame) -> DataFrame:
     return elements.groupBy(*GROUP).agg(F.countDistinct("page_id").alias("n_pages"))
 
 
+def can_repeat() -> Column:
+    """Elements whose keys are compared."""
+    return ~c("rot") & F.when(c("kind") == "P", c("y1") <= 0.10 * G.H).otherwise(G.in_edge_zone())
+
+
 @whole_points
 def repeated_keys(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
     """(group, key, kind, pages, y0): keys on enough distinct pages of their group. Texts and images count in the
     edge zones only, paths at the foot; rotated elements don't. y0 is that of the last occurrence."""
-    able = ~c("rot") & F.when(c("kind") == "P", c("y1") <= 0.10 * G.H).otherwise(G.in_edge_zone())
-    n = elements.where(able).groupBy(*GROUP, "key", "kind").agg(F.countDistinct("page_id").alias("pages"), F.max_by("y0", F.struct("page_id", "el_ix")).alias("y0"))
+    n = elements.where(can_repeat()).groupBy(*GROUP, "key", "kind").agg(F.countDistinct("page_id").alias("pages"), F.max_by("y0", F.struct("page_id", "el_ix")).alias("y0"))
     return n.join(group_sizes(elements), GROUP).where(c("pages") >= threshold(c("n_pages"), fraction)).drop("n_pages")
 
 
+def repeated_facts(keys: DataFrame, pages: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
+    """repeated_keys of rows (page, W, H, kind, key, y0) with each key once a page, y0 that of its last place on it."""
+    n = keys.groupBy(*GROUP, "key", "kind").agg(F.count(F.lit(1)).alias("pages"), F.max("page_id").alias("page_id"))
+    n = n.join(group_sizes(pages), GROUP).where(c("pages") >= threshold(c("n_pages"), fraction)).drop("n_pages")
+    return n.join(keys.select(*GROUP, "key", "kind", "page_id", "y0"), [*GROUP, "key", "kind", "page_id"]).drop("page_id")
+
+
 def repeated_values(rows: DataFrame, group: list[str], page: str, value: str, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
     """The same rule for any value, such as the lines of documents."""
     sizes = rows.groupBy(*group).agg(F.countDistinct(page).alias("n_pages"))
@@ -61,13 +72,13 @@ def rulers(elements: DataFrame) -> DataFrame:
     thin vertical there."""
     d = elements.where((c("kind") == "P") & ~c("rot")).withColumn("side", G.ruler_side()).where(F.col("side").isNotNull() | G.thin_vertical())
     d = d.select(*PAGE, "el_ix", "W", "H", *(c(x).cast("double").alias(x) for x in _BOX), "side")
-    return P.by_page(d, PAGE, _open_rulers, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema))
+    return P.by_page(d, PAGE, open_rulers, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema))
 
 
 _BOX = ("x0", "y0", "x1", "y1")
 
 
-def _open_rulers(table: pa.Table) -> pa.Table:
+def open_rulers(table: pa.Table) -> pa.Table:
     """Of whole pages' rulers (side isn't null) and thin verticals, the rulers that lack a vertical at an end."""
     page, ruler = P.pages_of(table, PAGE), table.column("side").is_valid().to_numpy()
     x0, y0, x1, y1 = P.numbers(table, *_BOX)
@@ -88,20 +99,30 @@ def page_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, rules: D
 
 
 @whole_points
-def base_bands(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
+def base_bands(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, keys: DataFrame | None = None) -> DataFrame:
     """(group, lo, hi): heights at the foot where several repeated paths lie close together."""
-    y = repeated_keys(elements, fraction).where("kind = 'P'")
+    y = (repeated_keys(elements, fraction) if keys is None else keys).where("kind = 'P'")
     w = Win.partitionBy(*GROUP).orderBy("y0", "key")
     y = y.withColumn("new", F.coalesce((c("y0") - F.lag("y0").over(w) > V.BAND_GAP).cast("int"), F.lit(0)))
     y = y.withColumn("band", F.sum("new").over(w))
     return y.groupBy(*GROUP, "band").agg(F.min("y0").alias("a"), F.max("y0").alias("z"), F.count(F.lit(1)).alias("n")).where(c("n") >= V.BAND_LEAST).select(*GROUP, (c("a") - V.BAND_LOW).alias("lo"), (c("z") + V.BAND_HIGH).alias("hi"))
 
 
+def in_top_line() -> Column:
+    """Small paths that may be of a line in the top zone."""
+    return (c("kind") == "P") & ~c("rot") & (c("y0") >= G.H * (1 - V.TOP_ZONE)) & (G.height <= V.CLUSTER_HEIGHT)
+
+
+def with_cluster_key(lines: DataFrame) -> DataFrame:
+    q = lambda x: F.rint(c(x) / 4).cast("int").cast("string")
+    return lines.withColumn("key", F.concat_ws("|", F.lit("PL"), q("y"), q("x0"), q("x1"), c("n").cast("string"), (c("pts") % V.CLUSTER_MOD).cast("string")))
+
+
 @whole_points
 def top_clusters(elements: DataFrame) -> DataFrame:
     """Lines of small paths in the top zone. A path joins the line whose first member is within the gap; a fold over
     each page's paths, from the top down."""
-    p = elements.where((c("kind") == "P") & ~c("rot") & (c("y0") >= G.H * (1 - V.TOP_ZONE)) & (G.height <= V.CLUSTER_HEIGHT))
+    p = elements.where(in_top_line())
     row = F.struct(c("el_ix").cast("int").alias("el_ix"), "y0", "x0", "x1", c("n_pts").cast("bigint").alias("n_pts"))
     p = p.groupBy(*PAGE, "W", "H").agg(F.collect_list(row).alias("m"), F.sort_array(F.collect_set("y0"), asc=False).alias("ys"))
     # the fold keeps where lines start alone, a few values, however many paths a page has
@@ -110,8 +131,7 @@ def top_clusters(elements: DataFrame) -> DataFrame:
     placed = F.transform("m", lambda e: F.struct((place(e) - 1).alias("line"), F.element_at("starts", place(e)).alias("y"), *(e[x].alias(x) for x in ("el_ix", "x0", "x1", "n_pts"))))
     m = p.withColumn("starts", starts).select(*PAGE, "W", "H", F.explode(placed).alias("e")).select(*PAGE, "W", "H", "e.*")
     line = m.groupBy(*PAGE, "W", "H", "line").agg(F.min("y").alias("y"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.count(F.lit(1)).alias("n"), F.sum("n_pts").alias("pts"), F.sort_array(F.collect_list("el_ix")).alias("members")).where(c("n") >= V.CLUSTER_LEAST)
-    q = lambda x: F.rint(c(x) / 4).cast("int").cast("string")
-    return line.withColumn("key", F.concat_ws("|", F.lit("PL"), q("y"), q("x0"), q("x1"), c("n").cast("string"), (c("pts") % V.CLUSTER_MOD).cast("string")))
+    return with_cluster_key(line)
 
 
 @whole_points

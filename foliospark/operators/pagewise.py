@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as Win
+from pyspark.sql import functions as F
 
 #: Rows that are worked on together, but for a page that has more.
 CHUNK = 100_000
@@ -46,13 +48,13 @@ def chunks(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 
 
 def by_page(d: DataFrame, keys: list[str], f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """f over tables of whole pages."""
+    """f over tables of whole pages. A window brings a page's rows together, without a shuffle or a sort where they already are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in chunks(batches, keys):
             yield from f(table).to_batches()
 
-    return d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return d.withColumn("_of_page", F.count(F.lit(1)).over(Win.partitionBy(*keys))).mapInArrow(run, schema)
 
 
 def pages_of(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -145,7 +147,7 @@ def touching(page: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y
     return label
 
 
-def _first_where(lo: np.ndarray, hi: np.ndarray, holds: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+def first_where(lo: np.ndarray, hi: np.ndarray, holds: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """For each query the first place from lo (before hi) where a condition holds that then goes on holding, else hi."""
     lo, hi = lo.copy(), hi.copy()
     while (open_ := lo < hi).any():
@@ -188,14 +190,14 @@ def beside(page, x, y, v_page, vx, v0, v1, tol: float, reach: float) -> np.ndarr
     o = np.lexsort((vx, v_page))
     v_page, vx, v0, v1 = v_page[o], vx[o], v0[o], v1[o]
     start, stop = np.searchsorted(v_page, page), np.searchsorted(v_page, page, "right")
-    first = _first_where(start, stop, lambda k: vx[k] - x >= -tol)
-    end = _first_where(first, stop, lambda k: vx[k] - x > tol)
+    first = first_where(start, stop, lambda k: vx[k] - x >= -tol)
+    end = first_where(first, stop, lambda k: vx[k] - x > tol)
     o = np.lexsort((v0, v_page))
     rank, low = np.empty(len(o), np.int64), v0[o]
     rank[o] = np.arange(len(o))
     tops, worth = np.unique(v1, return_inverse=True)
     found = np.zeros(len(x), bool)
     for holds, goes in ((lambda k: ~(y - low[k] >= reach), lambda top: top >= y - tol), (lambda k: low[k] > y + tol, lambda top: top - y >= reach)):
-        best = highest(first, end, _first_where(start, stop, holds), rank, worth)
+        best = highest(first, end, first_where(start, stop, holds), rank, worth)
         found |= (best >= 0) & goes(tops[best])
     return found

@@ -8,38 +8,32 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import values as V
 from . import boilerplate as B
-from . import zones as Z
+from . import framing as R
 from .boilerplate import GROUP, PAGE
 
 c = F.col
 
 
-def _flag(elements: DataFrame, rows: DataFrame, on: list[str], name: str) -> DataFrame:
-    d = elements.join(rows.select(*on).distinct().withColumn(name, F.lit(True)), on, "left")
-    return d.withColumn(name, F.coalesce(name, F.lit(False)))
-
-
 def context(elements: DataFrame, fraction: float = V.REPEAT_FRACTION) -> DataFrame:
     """Elements with all that the rules ask of their page and file."""
-    rules, clusters = B.rulers(elements).persist(), B.top_clusters(elements).persist()  # small, and read several times
-    keys = B.repeated_keys(elements, fraction).persist()
-    lines = B.repeated_clusters(elements, fraction, clusters).persist()
-    d = _flag(elements, keys.select(*GROUP, "key"), [*GROUP, "key"], "repeats")
-    # what is known of pages, and of elements, comes together first, so that the elements are joined once with each
-    pages = B.short_document_cuts(elements, fraction, rules, clusters).unionByName(Z.signature_columns(elements), True)
-    pages = pages.unionByName(Z.scanned_strips(elements).select(*PAGE, c("protect").alias("strips")), True)
-    d = d.join(pages.groupBy(*PAGE).agg(*(F.max(x).alias(x) for x in ("cut_top", "cut_base", "sig_x0", "sig_x1", "strips"))), PAGE, "left")
-    spans = lines.select(*PAGE, c("x0").alias("s0"), c("x1").alias("s1"), c("y").alias("sy"))
-    close = elements.where("kind = 'P'").join(spans, PAGE).where((c("s0") - 12 <= c("x0")) & (c("x1") <= c("s1") + 12) & (F.abs(c("y0") - c("sy")) <= 7) & (c("y0") >= G.H * (1 - V.TOP_ZONE)))
-    low = elements.where((c("kind") == "P") & (c("y1") <= G.H * V.BASE_ZONE)).join(B.base_bands(elements, fraction), GROUP).where("y0 between lo and hi")
-    found = {"in_line": lines.select(*PAGE, F.explode("members").alias("el_ix")), "orphan": close, "in_band": low, "in_table": Z.in_zones(elements, Z.table_zones(elements))}
-    marks = None
-    for name, rows in found.items():
-        m = rows.select(*PAGE, "el_ix", F.lit(name).alias("mark"))
-        marks = m if marks is None else marks.unionByName(m)
-    marks = marks.groupBy(*PAGE, "el_ix").agg(*(F.max(c("mark") == name).alias(name) for name in found))
-    d = d.join(marks, [*PAGE, "el_ix"], "left")
-    return d.withColumns({name: F.coalesce(name, F.lit(False)) for name in found})
+    all_ = R.framed(elements).persist()
+    pages, rules, clusters, keys = (d.persist() for d in R.facts(all_, fraction))
+    d = all_.where("fact is null").select(*elements.columns, "in_table", "line")
+    lines = B.repeated_clusters(pages, fraction, clusters).groupBy(*PAGE).agg(F.collect_list(F.struct("line", "x0", "x1", "y")).alias("lines"))
+    bands = B.base_bands(pages, fraction, keys).groupBy("file_id").agg(F.collect_list(F.struct("W", "H", "lo", "hi")).alias("bands"))
+    known = pages.groupBy(*PAGE).agg(*(F.max(x).alias(x) for x in ("sig_x0", "sig_x1", "strips")))
+    known = known.join(B.short_document_cuts(pages, fraction, rules, clusters), PAGE, "left").join(lines, PAGE, "left").join(bands, "file_id", "left")
+    repeats = keys.select(*GROUP, "key").distinct().withColumn("repeats", F.lit(True))
+    d = d.join(known, PAGE, "left").join(repeats, [*GROUP, "key"], "left")
+    beside = lambda s: (s["x0"] - 12 <= c("x0")) & (c("x1") <= s["x1"] + 12) & (F.abs(c("y0") - s["y"]) <= 7)
+    found = {
+        "in_line": c("line").isNotNull() & F.exists("lines", lambda s: s["line"] == c("line")),
+        "orphan": (c("kind") == "P") & (c("y0") >= G.H * (1 - V.TOP_ZONE)) & F.exists("lines", beside),
+        "in_band": (c("kind") == "P") & (c("y1") <= G.H * V.BASE_ZONE) & F.exists("bands", lambda b: (b["W"] == c("W")) & (b["H"] == c("H")) & c("y0").between(b["lo"], b["hi"])),
+        "in_table": c("in_table"),
+        "repeats": c("repeats"),
+    }
+    return d.withColumns({name: F.coalesce(x, F.lit(False)) for name, x in found.items()}).drop("line", "lines", "bands")
 
 
 def raw_reason() -> Column:

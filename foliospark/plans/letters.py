@@ -73,7 +73,7 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ", ".join(f"if(({where}) and {'true' if cols['many'] == 'true' else 'k = 0'}, named_struct({', '.join(f'{n!r}, {x}' for n, x in cols.items() if n != 'many')}), null)" for where, cols in _LETTER)
     d = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as p", f"explode(sequence(0, {_EACH - 1})) as k")
     d = d.select("p", F.expr(f"inline(array_compact(array({rows})))")).selectExpr("cast(p % 4 as int) as file_id", "cast(p as int) as page_id", *(x for x in _COLS if x != "many"), *(f"cast({x.split(' as ')[0]} as double) as {x.split(' as ')[1]}" for x in _SIZES.split(", ")))
-    w = Win.partitionBy("page_id").orderBy(F.desc("y0"), "x0", "x1", "y1", "kind", "n_pts", "txt")
+    w = Win.partitionBy("file_id", "page_id").orderBy(F.desc("y0"), "x0", "x1", "y1", "kind", "n_pts", "txt")
     return kept(d.withColumn("el_ix", F.row_number().over(w)).withColumn("key", G.element_key(T.key_text(c("txt")))))
 
 

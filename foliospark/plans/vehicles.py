@@ -47,7 +47,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     d = spark.sql(BOXES.replace("from lineitem", "from {lines}"), lines=lines)
-    w = Win.partitionBy("page_id").orderBy(F.desc("y0"), "x0", *ORDER)
+    w = Win.partitionBy("file_id", "page_id").orderBy(F.desc("y0"), "x0", *ORDER)
     d = d.withColumn("el_ix", F.row_number().over(w)).withColumn("key", G.element_key(T.key_text(F.col("txt"))))
     return d.select("file_id", "page_id", "el_ix", "kind", "shape", "x0", "y0", "x1", "y1", "rot", "paint_op", "n_pts", "txt", "n_chars", "key", "W", "H")
 
