@@ -71,7 +71,7 @@ def rulers(elements: DataFrame) -> DataFrame:
     """(file, page, el_ix, W, H, box, side): wide thin rules at head or foot that aren't the edge of a box, as not both ends have a
     thin vertical there."""
     d = elements.where((c("kind") == "P") & ~c("rot")).withColumn("side", G.ruler_side()).where(F.col("side").isNotNull() | G.thin_vertical())
-    d = d.select(*PAGE, "el_ix", "W", "H", *(c(x).cast("double").alias(x) for x in _BOX), "side")
+    d = d.select(*PAGE, *({"el_ix"} & set(d.columns)), "W", "H", *(c(x).cast("double").alias(x) for x in _BOX), "side")
     return P.by_page(d, PAGE, open_rulers, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema))
 
 
@@ -91,7 +91,8 @@ def open_rulers(table: pa.Table) -> pa.Table:
 @whole_points
 def page_cuts(elements: DataFrame, fraction: float = V.REPEAT_FRACTION, rules: DataFrame | None = None) -> DataFrame:
     """(file, page, cut_top, cut_base) from rulers at a height that enough pages of the group share."""
-    r = (rulers(elements) if rules is None else rules).withColumn("bucket", F.rint(c("y0") / 6))
+    # which elements they are isn't asked, so those of a page need no numbers here
+    r = (rulers(elements.drop("el_ix")) if rules is None else rules).withColumn("bucket", F.rint(c("y0") / 6))
     n = r.groupBy(*GROUP, "side", "bucket").agg(F.countDistinct("page_id").alias("pages")).join(group_sizes(elements), GROUP)
     n = n.where(c("pages") >= threshold(c("n_pages"), fraction)).select(*GROUP, "side", "bucket")
     r = r.join(n, [*GROUP, "side", "bucket"], "left_semi")

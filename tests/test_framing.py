@@ -39,3 +39,20 @@ def test_rules_read_the_elements_once(spark):
     read = seen.value
     spark.catalog.clearCache()
     assert read == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_page_cuts_number_no_elements(spark):
+    """A number for each element of a page takes a shuffle of all that elements have."""
+    from foliospark.plans.registry import QUERIES
+
+    plan = QUERIES["page_cuts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+
+
+def test_letters_are_dealt_out_before_they_are_written(spark, monkeypatch):
+    from foliospark.plans import letters
+
+    seen = []
+    monkeypatch.setattr(letters, "kept", lambda d: seen.append(d._jdf.queryExecution().optimizedPlan().toString()) or d)
+    letters.letters(spark, "/root/testdata/sf0.001")
+    assert "RepartitionByExpression" in seen[0]
