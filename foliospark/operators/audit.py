@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
@@ -45,22 +45,28 @@ def lost_lines(before: DataFrame, after: DataFrame, key: str, text: str = "text"
     return lines(before).exceptAll(lines(after))
 
 
-def _diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Texts whose lines are Python objects at one time.
+DIFF_ROWS = 64
+
+
+def _diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from difflib import SequenceMatcher
 
-    for b in batches:
-        out = []
-        for a, z in zip(b["a"], b["z"]):
-            a, z = list(a), list(z)
-            out.append([x for op, i, j, _, _ in SequenceMatcher(None, a, z, autojunk=False).get_opcodes() if op in ("delete", "replace") for x in a[i:j]])
-        yield pd.DataFrame({"_k": b["_k"], "lost": out})
+    for batch in batches:
+        for at in range(0, batch.num_rows, DIFF_ROWS):
+            b = batch.slice(at, DIFF_ROWS)
+            out = []
+            for a, z in zip(b.column("a"), b.column("z")):
+                a, z = a.as_py() or [], z.as_py() or []
+                out.append([x for op, i, j, _, _ in SequenceMatcher(None, a, z, autojunk=False).get_opcodes() if op in ("delete", "replace") for x in a[i:j]])
+            yield pa.RecordBatch.from_arrays([b.column("_k"), pa.array(out, pa.list_(pa.string()))], names=["_k", "lost"])
 
 
 def lost_lines_in_order(before: DataFrame, after: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, lost): the lines that an ordered comparison says were deleted or replaced."""
     d = before.select(c(key).alias("_k"), normal_lines(c(text)).alias("a")).join(after.select(c(key).alias("_k"), normal_lines(c(text)).alias("z")), "_k", "left")
     d = d.withColumn("z", F.coalesce("z", F.array().cast("array<string>")))
-    return d.mapInPandas(_diff, f"_k {d.schema['_k'].dataType.simpleString()}, lost array<string>").withColumnRenamed("_k", key)
+    return d.mapInArrow(_diff, f"_k {d.schema['_k'].dataType.simpleString()}, lost array<string>").withColumnRenamed("_k", key)
 
 
 def retention(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -126,3 +126,14 @@ def test_every_row_is_numbered_however_blocks_are_cut(spark):
         assert got.select("source", "page_no").distinct().count() == d.count() == got.count()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_ordered_differences_make_objects_of_few_texts_at_a_time():
+    import pyarrow as pa
+
+    from foliospark.operators import audit
+
+    lines = pa.array([["a", "b"]] * 300, pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), lines, pa.array([["b"]] * 300, pa.list_(pa.string()))], names=["_k", "a", "z"])
+    got = list(audit._diff(iter([batch])))
+    assert max(b.num_rows for b in got) <= 64 and sum((b.column("lost").to_pylist() for b in got), []) == [["a"]] * 300
