@@ -18,7 +18,7 @@ from .vehicles import CTE, sql, table
 def _el(where: str, kind: str, x0, y0, w, h, n_pts="9", op="'f'", txt="null", n_chars="0", rot="false", each: str | None = None) -> tuple[str, dict[str, str]]:
     """An element of a letter; each: a number of copies, told apart by k."""
     cols = {"kind": f"'{kind}'", "x0": f"cast({x0} as double)", "y0": f"cast({y0} as double)", "x1": f"cast({x0} as double) + {w}", "y1": f"cast({y0} as double) + {h}", "n_pts": f"cast({n_pts} as int)", "paint_op": op, "txt": f"cast({txt} as string)", "n_chars": f"cast({n_chars} as bigint)", "rot": rot}
-    return where if each is None else f"({where}) and k < {each}", cols | {"many": "true" if each else "false"}
+    return where if each is None else f"({where}) and k < {each}", cols | {"many": each or ""}
 
 
 #: A word of its own for each page; digits would be masked.
@@ -64,15 +64,18 @@ _SIZES = "595 + 0.2 * (p % 3 - 1) as W, 842 - 0.3 * (p % 2) as H"
 _COLS = list(_LETTER[0][1])
 _EACH = 70
 _LETTERS_SQL = "select cast(p % 4 as int) as file_id, cast(p as int) as page_id, cast(null as string) as shape, " + ", ".join(x for x in _COLS if x != "many") + f", {_SIZES} from (" + " union all ".join(
-    f"select p, k, {', '.join(f'{x} as {n}' for n, x in cols.items() if n != 'many')} from (select *, s_suppkey as p, unnest(range(0, {_EACH})) as k from supplier) where ({where}) and {'true' if cols['many'] == 'true' else 'k = 0'}" for where, cols in _LETTER
+    f"select p, k, {', '.join(f'{x} as {n}' for n, x in cols.items() if n != 'many')} from (select *, s_suppkey as p, unnest(range(0, {_EACH})) as k from supplier) where ({where}) and {'true' if cols['many'] else 'k = 0'}" for where, cols in _LETTER
 ) + ")"
 _GIVEN = {"el": ("", CTE["el"][1].replace("y0 desc, x0, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate", "y0 desc, x0, x1, y1, kind, n_pts, txt").replace("from boxes", f"from ({_LETTERS_SQL})").replace(", W, H,", ", 595.0 as W, 842.0 as H,"))}
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ", ".join(f"if(({where}) and {'true' if cols['many'] == 'true' else 'k = 0'}, named_struct({', '.join(f'{n!r}, {x}' for n, x in cols.items() if n != 'many')}), null)" for where, cols in _LETTER)
-    d = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as p", f"explode(sequence(0, {_EACH - 1})) as k")
-    d = d.select("p", F.expr(f"inline(array_compact(array({rows})))")).selectExpr("cast(p % 4 as int) as file_id", "cast(p as int) as page_id", *(x for x in _COLS if x != "many"), *(f"cast({x.split(' as ')[0]} as double) as {x.split(' as ')[1]}" for x in _SIZES.split(", ")))
+    fields = lambda cols: [x for x in cols.items() if x[0] != "many"]
+    # pages are few and small: they are dealt out before each becomes its elements
+    pages = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as p", "0 as k").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p")
+    rows = ", ".join(f"if({where}, named_struct({', '.join(f'{n!r}, {x}' for n, x in fields(cols))}), null)" for where, cols in _LETTER if not cols["many"])
+    several = [f"transform(filter(sequence(0, {cols['many']} - 1), k -> {where}), k -> named_struct({', '.join(f'{n!r}, {x}' for n, x in fields(cols))}))" for where, cols in _LETTER if cols["many"]]
+    d = pages.select("p", F.expr(f"inline(concat(array_compact(array({rows})), {', '.join(several)}))")).selectExpr("cast(p % 4 as int) as file_id", "cast(p as int) as page_id", *(x for x in _COLS if x != "many"), *(f"cast({x.split(' as ')[0]} as double) as {x.split(' as ')[1]}" for x in _SIZES.split(", ")))
     w = Win.partitionBy("file_id", "page_id").orderBy(F.desc("y0"), "x0", "x1", "y1", "kind", "n_pts", "txt")
     return kept(d.withColumn("el_ix", F.row_number().over(w)).withColumn("key", G.element_key(T.key_text(c("txt")))))
 
