@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from .pagewise import pages_of
 
 c = F.col
 OPERANDS = list("abcdef")
@@ -24,6 +26,8 @@ SHOWS, LINES = ("Tj", "TJ", "'", '"'), ("T*", "'", '"')
 PATHS = ("m", "l", "c", "v", "y", "re", "h")
 CLIPS, PAINTS = ("W", "W*"), ("S", "s", "f", "F", "f*", "B", "B*", "b", "b*", "n")
 FORM_DEPTH = 4
+#: Operations of forms that are sent to all tasks.
+FEW = 100_000
 _UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 _ELEMENT = "el_ix int, kind string, x0 double, y0 double, x1 double, y1 double, rot boolean, n_pts int, paint_op string, key_text string, n_chars bigint"
 
@@ -50,13 +54,18 @@ class _Points:
 
     def add(self, *points) -> None:
         self.n += len(points)
-        self.box = _box(points if self.box is None else [*points, self.box[:2], self.box[2:]])
+        x0, y0, x1, y1 = self.box or (*points[0], *points[0])
+        for x, y in points:
+            x0, x1 = x if x < x0 else x0, x if x > x1 else x1
+            y0, y1 = y if y < y0 else y0, y if y > y1 else y1
+        self.box = x0, y0, x1, y1
 
 
 class _Page:
-    """The open state of a page."""
+    """The open state of a page; one with an operation that couldn't be read has that one first, and no elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, readable: bool = True) -> None:
+        self.readable, self.began = readable, None
         self.matrix, self.kept, self.path, self.clip, self.opened = _UNIT, [], _Points(), False, None
         self.in_text, self.n = False, 0
 
@@ -119,19 +128,53 @@ class _Page:
             return self.element("II", _box([_moved(self.matrix, 0, 0), _moved(self.matrix, 1, 1)]), at, at)
 
 
+def _words(column: pa.Array) -> list:
+    """A column of few different words as a list."""
+    d = column.dictionary_encode()
+    words = [*d.dictionary.to_pylist(), None]
+    return [words[k] for k in d.indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()]
+
+
+def _operands(batch: pa.RecordBatch) -> list[list[float]]:
+    """The operands of each row, without nulls."""
+    cols = [batch.column(n) for n in OPERANDS]
+    valid = np.column_stack([x.is_valid().to_numpy(zero_copy_only=False) for x in cols])
+    rows = np.column_stack([x.fill_null(0.0).to_numpy(zero_copy_only=False) for x in cols]).tolist()
+    out = [v[:n] for v, n in zip(rows, valid.sum(1).tolist())]
+    for i in np.flatnonzero((valid[:, 1:] & ~valid[:, :-1]).any(1)).tolist():
+        out[i] = [x for x, known in zip(rows[i], valid[i]) if known]
+    return out
+
+
 def _walk(keys: list[str], schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page = now = None
         for batch in batches:
-            cols = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-            out = []
-            for key, at, op, text, n_chars, sub, *v in zip(zip(*(cols[k] for k in keys)), *(cols[n] for n in ("_at", "op", "_key", "_chars", "sub", *OPERANDS))):
-                if page is None or key != now:
-                    page, now = _Page(), key
-                found = page.step(at, op, [x for x in v if x is not None], text, n_chars, sub)
-                if found:
-                    out.append((*key, *found))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out) if out else [()] * len(schema), schema)], schema=schema)
+            n = batch.num_rows
+            if not n:
+                continue
+            here = pages_of(pa.Table.from_batches([batch]), keys)
+            fresh = np.ones(n, bool)
+            fresh[1:] = here[1:] != here[:-1]
+            ends = batch.select(keys).take(pa.array([0, n - 1])).to_pylist() if keys else [{}, {}]
+            fresh[0] = page is None or ends[0] != now
+            now, out = ends[1], []
+            for at, new, op, text, n_chars, sub, v in zip(range(n), fresh.tolist(), *(_words(batch.column(x)) for x in ("op", "_key")), batch.column("_chars").to_pylist(), _words(batch.column("sub")), _operands(batch)):
+                if new:
+                    page = _Page(op is not None)
+                if page.readable:
+                    found = page.step(at, op, v, text, n_chars, sub)
+                    if found:
+                        out.append((*found, at))
+            # places are looked up for elements alone; those that stay open take theirs along
+            places = batch.column("_at")
+            if page.readable:
+                page.began, page.opened = ((places[x].as_py(),) if isinstance(x, int) else x for x in (page.began, page.opened))
+            *cols, first, _, last = zip(*out) if out else [()] * (len(schema) - len(keys) + 1)
+            rows = pa.array(last, pa.int64())
+            first = pa.array([x[0] if isinstance(x, tuple) else places[x].as_py() for x in first], schema.field("first_op").type)
+            cols = [*(batch.column(k).take(rows) for k in keys), *cols, first, places.take(rows)]
+            yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
 
     return run
 
@@ -151,9 +194,10 @@ def elements_of(ops: DataFrame, key: list[str], order: str) -> DataFrame:
     from an empty stack gives the identity. Unfinished paths and texts give nothing; pages in `unparsed` have no elements.
     """
     at = ops.schema[order].dataType.simpleString()
-    d = ops.join(unparsed(ops, key), key, "left_anti") if key else ops
-    d = d.select(*key, c(order).alias("_at"), "op", *(c(x).cast("double").alias(x) for x in OPERANDS), T.key_text(c("text")).alias("_key"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_chars"), "sub")
-    d = d.repartition(*key).sortWithinPartitions(*key, "_at")
+    d = ops.select(*key, c(order).alias("_at"), "op", *(c(x).cast("double").alias(x) for x in OPERANDS), T.key_text(c("text")).alias("_key"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_chars"), "sub")
+    order_ = ["_at"] if not at.startswith("array") else [F.get("_at", F.lit(0)), "_at"]  # arrays are compared at length where they must be
+    # a window brings pages together in order; no shuffle where they already are. What couldn't be read comes first
+    d = d.withColumn("_place", F.row_number().over(Win.partitionBy(*key).orderBy(F.desc(c("op").isNull()), *order_)))
     kinds = f"{', '.join(f'{k} {ops.schema[k].dataType.simpleString()}' for k in key)}, {_ELEMENT}, first_op {at}, last_op {at}"
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -192,7 +236,10 @@ def expanded(forms: DataFrame, depth: int = FORM_DEPTH) -> DataFrame:
 def _replaced(d: DataFrame, inner: DataFrame, order: str, rest: list[str]) -> DataFrame:
     """Calls of known forms replaced by what they draw, in their place."""
     body = ["op", *OPERANDS, "text", "name", "sub"]
-    met = d.join(inner, (d["op"] == "Do") & (d["sub"] == "Form") & (d["name"] == inner["_form"]), "left")
+    # rows that call nothing have a key each that no form has, so that they don't all meet in one place
+    call = F.coalesce((d["op"] == "Do") & (d["sub"] == "Form"), F.lit(False)) & d["name"].isNotNull()
+    d = d.withColumn("_call", F.when(call, F.concat(F.lit("+"), c("name"))).otherwise(F.xxhash64(order, *rest).cast("string")))
+    met = d.join(inner.withColumn("_callee", F.concat(F.lit("+"), c("_form"))), c("_call") == c("_callee"), "left")
     called = c("_form").isNotNull()
     return met.select(*rest, F.when(called, F.concat(d[order], c("_path"))).otherwise(d[order]).alias(order), *(F.when(called, c(f"_{x}")).otherwise(d[x]).alias(x) for x in body))
 
@@ -203,4 +250,5 @@ def with_forms(ops: DataFrame, forms: DataFrame, order: str, depth: int = FORM_D
     rest = [x for x in ops.columns if x not in (order, "op", "text", "name", "sub", *OPERANDS)]
     body = ["op", *OPERANDS, "text", "name", "sub"]
     inner = expanded(forms, depth).select(c("form").alias("_form"), c("path").alias("_path"), *(c(x).alias(f"_{x}") for x in body))
-    return _replaced(ops.withColumn(order, F.array(c(order).cast("long"))), inner, order, rest)
+    few = inner.limit(FEW + 1).count() <= FEW  # then they go to the operations, which stay where they are
+    return _replaced(ops.withColumn(order, F.array(c(order).cast("long"))), F.broadcast(inner) if few else inner, order, rest)

@@ -75,8 +75,11 @@ FORMS = "\nunion all ".join(
 
 def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = spark.sql(_BOXED.replace("from lineitem", "from {lines}") + "select * from e", lines=table(spark, sf_dir, "lineitem"))
-    rows = ", ".join(f"if({where}, named_struct({', '.join(f'{n!r}, {x}' for n, x in cols.items())}), null)" for where, cols in _ROWS)
-    return boxes.select("file_id", "page_id", F.expr(f"inline(array_compact(array({rows})))"))
+    row = lambda where, cols: f"if({where}, named_struct({', '.join(f'{n!r}, {x}' for n, x in cols.items())}), null)"
+    # an element is looked at for the operations of its kind alone
+    of = {k: ", ".join(row(*r) for r in _ROWS if not r[0].startswith("kind = ") or r[0].startswith(k)) for k in (_T, _P, _I)}
+    kinds = " ".join(f"when {k.removesuffix(' and ')} then array_compact(array({rows}))" for k, rows in of.items())
+    return boxes.select("file_id", "page_id", F.expr(f"inline(case {kinds} end)"))
 
 
 def _mul(m: list[str], n: list[str]) -> str:

@@ -84,3 +84,19 @@ def test_removed_ranges_meet_operations_without_pairs(spark):
     ranges = [(r.kind, r.first_op, r.last_op) for r in gone.collect()]
     want = [r.i for r in ops.collect() if not any(a <= r.i <= z and (kind != "P" or r.op != "q") for kind, a, z in ranges)]
     assert sorted(r.i for r in left.collect()) == want and "Join" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_operations_that_call_nothing_are_not_one_key(spark, monkeypatch):
+    """Rows without a name met in one task where forms are many."""
+    monkeypatch.setattr(E, "FEW", -1)
+    body = "op string, " + ", ".join(f"{x} double" for x in "abcdef") + ", text string, name string, sub string"
+    ops = spark.createDataFrame([(1, i, "q", *[None] * 9) for i in range(400)], f"page int, i long, {body}")
+    forms = spark.createDataFrame([("F", 1, "q", *[None] * 9)], f"form string, i long, {body}")
+    for setting, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(setting, value)
+    try:
+        rows = E.with_forms(ops, forms, "i").rdd.glom().map(len).collect()
+    finally:
+        for setting in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"):
+            spark.conf.unset(setting)
+    assert sum(rows) == 400 and max(rows) < 200
