@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from ..sources.kept import kept
 
 c = F.col
 STAGES = ("analysis", "cleaning", "ocr", "numbering", "splitting", "export")
@@ -35,12 +36,27 @@ def lost_report(lost: DataFrame, key: str, most: int = 80, width: int = 160) ->
 
 
 def word_preview(rows: DataFrame, key: str, a: str, z: str, words: int = 12, pages: int = 10) -> DataFrame:
-    """(key, only): of the first pages whose array a has words that z lacks, the first of those words, repeats included."""
+    """(key, only): of the first pages whose array a has words that z lacks, the first of those words, repeats included.
+    A page may have several rows; what any of them has in z, the page has.
+
+    The pages are found by comparing the arrays of each row; words become rows only of these pages, and of those with several rows."""
+    d = rows.where(c(key).isNotNull())
+    keys = d.select(c(key).alias("_k"), F.coalesce(F.size(F.array_except(a, F.coalesce(z, F.array().cast("array<string>")))) > 0, F.lit(False)).alias("_gone"))
+    keys = kept(keys.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("_gone").alias("_gone")).where("_gone"))
+    some = keys.where("_n = 1").select("_k")
+    if not keys.where("_n > 1").isEmpty():
+        several = d.join(keys.where("_n > 1").select(c("_k").alias(key)), key)
+        some = some.unionByName(_only(several, key, a, z).select(c(key).alias("_k")).distinct())
+    first = some.orderBy("_k").limit(pages).select(c("_k").alias(key))
+    gone = _only(d.join(F.broadcast(first), key), key, a, z)
+    gone = gone.withColumn("place", F.row_number().over(Win.partitionBy(key).orderBy("i"))).where(c("place") <= words)
+    return gone.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("w")).select(key, F.array_join("w.word", " ").alias("only"))
+
+
+def _only(rows: DataFrame, key: str, a: str, z: str) -> DataFrame:
+    """(key, i, word): the words of a that z lacks on all rows of the key."""
     own = rows.select(key, F.posexplode(a).alias("i", "word"))
-    gone = own.join(rows.select(key, F.explode(z).alias("word")).distinct(), [key, "word"], "left_anti")
-    some = gone.join(F.broadcast(gone.select(key).distinct().orderBy(key).limit(pages)), key)
-    some = some.withColumn("place", F.row_number().over(Win.partitionBy(key).orderBy("i"))).where(c("place") <= words)
-    return some.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "word"))).alias("w")).select(key, F.array_join("w.word", " ").alias("only"))
+    return own.join(rows.select(key, F.explode(z).alias("word")).distinct(), [key, "word"], "left_anti")
 
 
 def additive_gate(pages: DataFrame, key: str, frame: str, least_conf: float = V.WORD_CONFIDENCE, sample: list | None = None) -> DataFrame:
