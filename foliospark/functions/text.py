@@ -13,8 +13,12 @@ def solid(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s", "")
 
 
+#: All characters of (?U)\\s.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def alnum_fraction(text: Column) -> Column:
@@ -54,11 +58,13 @@ def contained_words(small: Column, large: Column, least: float = V.CONTAINED) ->
 
 def fix_ordinals(text: Column) -> Column:
     """Ordinal signs that touch a letter are a and o that were misread; those at digits stay."""
+    fixed = text
     for sign, letter in (("ª", "a"), ("º", "o")):
         # twice each, as a sign becomes a letter that the next sign may touch
         for found, put in ((f"([A-Za-zÀ-ÿ]){sign}", f"$1{letter}"), (f"{sign}([A-Za-zÀ-ÿ])", f"{letter}$1")):
-            text = F.regexp_replace(F.regexp_replace(text, found, put), found, put)
-    return text
+            fixed = F.regexp_replace(F.regexp_replace(fixed, found, put), found, put)
+    # few texts have one, and to look for it takes no regular expression
+    return F.when(F.contains(text, F.lit("ª")) | F.contains(text, F.lit("º")), fixed).otherwise(text)
 
 
 def heading(line: Column) -> Column:
@@ -104,10 +110,11 @@ def key_text(text: Column) -> Column:
 
 def helvetica_width(text: Column) -> Column:
     """Natural width at font size 1."""
-    total = 556 * F.length(text)
-    for width, chars in V.WIDTHS.items():
-        total = total + (width - 556) * (F.length(text) - F.length(F.translate(text, chars, "")))
-    return total / 1000.0
+    # a look-up for each character; all that have a width of their own are below U+0100
+    known = {ord(x): width for width, chars in V.WIDTHS.items() for x in chars}
+    widths = F.expr(f"cast(split('{','.join(str(known.get(i, 556)) for i in range(256))}', ',') as array<int>)")
+    one = lambda x: F.when(x == "", 0).otherwise(F.coalesce(F.get(widths, F.ascii(x)), F.lit(556)))
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda total, x: total + one(x)) / 1000.0
 
 
 def escape_pdf(text: Column) -> Column:

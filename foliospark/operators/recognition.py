@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,8 +30,12 @@ def unpacked(arrays: DataFrame, keys: list[str]) -> DataFrame:
 
 def accepted(words: DataFrame) -> DataFrame:
     """Words that aren't empty and have the confidence; an unreadable confidence is -1."""
-    d = words.withColumn("conf", F.coalesce(F.expr("try_cast(conf as double)"), F.lit(-1.0)).cast("int"))
-    return d.withColumn("text", T.fix_ordinals(T.strip(F.coalesce("text", F.lit(""))))).where((c("text") != "") & (c("conf") >= V.WORD_CONFIDENCE))
+    d = words.withColumn("conf", _confidence(c("conf"))).where(c("conf") >= V.WORD_CONFIDENCE)
+    return d.withColumn("text", T.strip(F.coalesce("text", F.lit("")))).where(c("text") != "").withColumn("text", T.fix_ordinals(c("text")))
+
+
+def _confidence(conf: Column) -> Column:
+    return F.coalesce(conf.try_cast("double"), F.lit(-1.0)).cast("int")
 
 
 def layout(words: DataFrame, sx: float, sy: float, page_h: float, x0: float = 0.0, y0: float = 0.0, dx: float = 0.0, dy: float = 0.0) -> DataFrame:

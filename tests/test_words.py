@@ -1,8 +1,30 @@
 """Recognised words at size: plans without a shuffle of words, and rows that are odd."""
 
+from pyspark.sql import functions as F
+
+from foliospark.functions import text as T
+from foliospark.functions import values as V
 from foliospark.operators import reports as X
 
 
+def plan(d):
+    return d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_widths_are_looked_up_once_a_character(spark):
+    texts = ["", "Ação (l)", "WM@", "\U0001f600x", "ā一", "|{}\"'^", None]
+    want = [None if t is None else sum({x: w for w, cs in V.WIDTHS.items() for x in cs}.get(x, 556) for x in t) / 1000.0 for t in texts]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r[0] for r in d.orderBy("i").select(T.helvetica_width(F.col("t"))).collect()] == want
+    assert "translate" not in plan(d.select(T.helvetica_width(F.col("t"))))
+
+
+def test_white_space_at_the_ends(spark):
+    d = spark.createDataFrame([(chr(i) + "a" + chr(i),) for i in range(0x3100)], "t string")
+    assert d.where(T.strip(F.col("t")) != F.regexp_replace("t", r"(?U)^\s+|\s+$", "")).count() == 0
+    assert "regexp" not in plan(d.select(T.strip(F.col("t"))))
+
+
 def test_preview_of_pages_with_several_rows(spark):
     d = spark.createDataFrame([(1, ["a", "b"], ["a"]), (1, ["c"], ["b", "c"]), (2, ["x", "y", "x"], ["y"]), (3, ["k"], None), (None, ["q"], []), (4, None, ["z"]), (5, ["s"], [])], "k int, a array<string>, z array<string>")
     assert sorted(map(tuple, X.word_preview(d, "k", "a", "z", words=2, pages=2).collect())) == [(2, "x x"), (3, "k")]
