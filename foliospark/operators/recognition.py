@@ -56,3 +56,27 @@ def blocks(words: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:
     # the page's words are found once for a page, not for each region
     t = texts.select(*keys, T.long_words(c("page_text")).alias("_page"))
     return b.join(t, keys, "left").where(~T.contained_words(T.long_words(c("text")), F.coalesce("_page", F.array().cast("array<string>")))).drop("_page")
+
+
+def page_blocks(pages: DataFrame, keys: list[str], regions: str, page_text: str) -> DataFrame:
+    """(keys, region, text, conf): what `blocks` gives, of pages that have their regions in one row, so that nothing is shuffled.
+    regions: an array of arrays of words (text, conf), both in order; region is the place of the first kind, from 0."""
+    ok = lambda r: F.filter(r, lambda w: _confidence(w["conf"]) >= V.WORD_CONFIDENCE)
+    word = lambda w: F.struct(T.strip(F.coalesce(w["text"], F.lit(""))).alias("text"), _confidence(w["conf"]).alias("conf"))
+    some = lambda r: F.filter(F.transform(ok(r), word), lambda w: w["text"] != "")
+    mean = lambda w: F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + x["conf"]) / F.size(w)
+    # signs that touch letters do so within a word, so that a block's text is mended as one
+    text = lambda w: _once(F.array_join(w["text"], " "), T.fix_ordinals)
+    named = lambda i, t, m: F.struct(i.alias("region"), t.alias("text"), m.alias("conf"), T.long_words(t).alias("_own"))
+    block = lambda r, i: _once(some(r), lambda w: F.when(F.size(w) > 0, _once(text(w), lambda t: named(i, t, mean(w)))))
+    found = F.filter(F.transform(regions, block), lambda b: b.isNotNull())
+    # blocks are held against what the page lacks, which is found once and is short
+    known = lambda own, lacks: F.when(F.size(own) == 0, False).otherwise((F.size(own) - F.size(F.array_intersect(own, lacks))) / F.size(own) >= V.CONTAINED)
+    lacking = lambda blocks: F.array_except(F.flatten(blocks["_own"]), T.long_words(c(page_text)))
+    new = _once(found, lambda blocks: _once(lacking(blocks), lambda lacks: F.filter(blocks, lambda b: ~known(b["_own"], lacks))))
+    return pages.select(*keys, F.inline(new)).drop("_own")
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x made once for a row, however often f reads it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
