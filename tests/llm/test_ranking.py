@@ -66,3 +66,31 @@ def test_odd_rows(spark):
     none = spark.createDataFrame([(1, None), (None, 1), (1, 7)], "doc_id long, quality int")
     assert not ranking.fit_ranking(docs, none).weights.any() and not ranking.fit_ranking(docs.limit(0), none).weights.any()
     assert ranking.rank_quality(docs.drop("held_out").withColumnRenamed("doc_id", "name"), ranking.Ranking.plain(), id_col="name", keep=["_text"]).columns == ["name", "_text", "held_out", "score", "predicted"]
+
+
+def test_all_labels_teach(spark, monkeypatch):
+    docs, labels = queries.table(spark, SF, "documents"), queries.table(spark, SF, "labels")
+    seen = []
+    monkeypatch.setattr(ranking.Ranking, "learn", lambda total, share: seen.append(total(ranking._moments)[0]) or ranking.Ranking.plain())
+    # more documents with a label than any sample had
+    many = docs.join(labels, "doc_id").select("doc_id", "text").crossJoin(spark.range(3)).select((F.col("doc_id") + F.col("id") * 10**9).alias("doc_id"), "text")
+    marks = labels.crossJoin(spark.range(3)).select((F.col("doc_id") + F.col("id") * 10**9).alias("doc_id"), "quality")
+    ranking.fit_ranking(many, marks)
+    assert seen == [marks.where(~ranking.held_out("doc_id")).count()] and seen[0] > 4000
+
+
+def test_parts_give_what_the_whole_gives_and_the_loss_is_least():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, ranking.N_FEATURES))
+    good = x[:, 2] + rng.normal(size=900) > 0.5
+    one = ranking.Ranking.fit(x, good, 0.7)
+    other = ranking.Ranking.learn(lambda f: sum(f(x[i::7], good[i::7]) for i in range(7)), 0.7)
+    assert np.allclose(one.weights, other.weights, atol=2e-6) and abs(one.threshold - other.threshold) < 1e-4
+    assert abs(one.threshold - np.quantile(one.worth(x), 0.7)) < 1e-5
+
+    def loss(w):
+        s = one.normal(x) @ w
+        return np.logaddexp(0, s[~good][:, None] - s[good][None, :]).mean() + ranking.DECAY / 2 * w @ w
+
+    assert all(loss(one.weights) < loss(one.weights + rng.normal(size=len(one.weights)) * 0.01) for _ in range(20))
+    assert loss(one.weights) < loss(one.weights * 1.01) and loss(one.weights) < loss(one.weights * 0.99)
